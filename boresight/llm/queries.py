@@ -8,6 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from boresight.llm.common import small_batches, table
 from boresight.llm.mixing import mix
+from boresight.llm.pii import find_private
+from boresight.llm.secrets import find_secrets
+
+
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return find_secrets(table(spark, sf_dir, "documents")).drop("found")
+
+
+def op6_private(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return find_private(table(spark, sf_dir, "documents")).drop("found")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,7 +28,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_mixing": op7_mixing}
+    return {"op3_secrets": op3_secrets, "op6_private": op6_private, "op7_mixing": op7_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
