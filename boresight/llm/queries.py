@@ -7,9 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from boresight.llm.common import small_batches, table
+from boresight.llm.exact_dedup import exact_groups
 from boresight.llm.mixing import mix
 from boresight.llm.pii import find_private
 from boresight.llm.secrets import find_secrets
+from boresight.llm.simhash import near_groups
+
+
+def op1_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return exact_groups(table(spark, sf_dir, "documents"))
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +24,11 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(table(spark, sf_dir, "documents")).drop("found")
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return near_groups(table(spark, sf_dir, "documents"))
+
+
 def op6_private(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return find_private(table(spark, sf_dir, "documents")).drop("found")
@@ -28,7 +40,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_secrets": op3_secrets, "op6_private": op6_private, "op7_mixing": op7_mixing}
+    return {"op1_exact": op1_exact, "op4_simhash": op4_simhash, "op3_secrets": op3_secrets, "op6_private": op6_private, "op7_mixing": op7_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
