@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from boresight.llm.chat import as_tree, choose_paths, format_paths, read_back
 from boresight.llm.common import small_batches, table
+from boresight.llm.decontaminate import contaminated
 from boresight.llm.exact_dedup import exact_groups
 from boresight.llm.mixing import mix
 from boresight.llm.pii import find_private
@@ -54,8 +55,13 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_exact, op3_secrets, op4_simhash, op5_chat, op6_private, op7_mixing, op8_quality)
+    found = (op1_exact, op3_secrets, op4_simhash, op5_chat, op6_private, op7_mixing, op8_quality, op9_decontaminate)
     return {f.__name__: f for f in found}
 
 
