@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from boresight.llm.chat import as_tree, choose_paths, format_paths, read_back
 from boresight.llm.common import small_batches, table
 from boresight.llm.decontaminate import contaminated
 from boresight.llm.exact_dedup import exact_groups
 from boresight.llm.mixing import mix
+from boresight.llm.phrases import remove_repeats
 from boresight.llm.pii import find_private
 from boresight.llm.quality import rate
 from boresight.llm.secrets import find_secrets
@@ -60,8 +62,13 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_exact, op3_secrets, op4_simhash, op5_chat, op6_private, op7_mixing, op8_quality, op9_decontaminate)
+    found = (op1_exact, op3_secrets, op4_simhash, op5_chat, op6_private, op7_mixing, op8_quality, op9_decontaminate, op10_phrases)
     return {f.__name__: f for f in found}
 
 
