@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boresight.llm.common import keep_ids, parts_for
+from boresight.llm.common import map_batches, parts_for
 
 RATE, RECALL, BLOCK = 0.2, 0.99, 2000
 STEPS = (12, 4, 1)  # of the walks, for items of at least so many words
@@ -239,15 +239,20 @@ def _search(matcher: Matcher):
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
-    """``doc_id, item_id, distance, item_words, start_word, end_word`` of every item found in a document, at its best place."""
+def matchers(benchmark: DataFrame, rate: float, recall: float, block: int) -> Iterator[Matcher]:
+    """A matcher for each block of about ``block`` items."""
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("binary").alias("text"))
     blocks = parts_for(items.count(), block)
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
-    out = None
     for b in range(blocks):
         mine = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        matcher = Matcher(sorted(map(tuple, mine.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or b"")), rate, recall)  # about ``block`` rows
+        yield Matcher(sorted(map(tuple, mine.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or b"")), rate, recall)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+    """``doc_id, item_id, distance, item_words, start_word, end_word`` of every item found in a document, at its best place."""
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
+    out = None
+    for matcher in matchers(benchmark, rate, recall, block):
         found = texts.mapInArrow(_search(matcher), FOUND)
         out = found if out is None else out.unionByName(found)
     place = F.struct("distance", "start_word", "end_word", "item_words")
@@ -255,6 +260,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, reca
     return best.select("doc_id", "item_id", "best.distance", "best.item_words", "best.start_word", "best.end_word")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, recall: float = RECALL) -> DataFrame:
-    """The documents, all columns, in which no benchmark item was found."""
-    return keep_ids(docs, contaminated(docs, benchmark, rate, recall).select("doc_id").distinct(), "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+    """The documents, all columns, in which no benchmark item was found; texts stay where they are read."""
+
+    def clean(matcher: Matcher):
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            found = matcher.find(list(range(batch.num_rows)), batch.column("text").cast(pa.binary()).to_pylist())
+            mask = np.ones(batch.num_rows, bool)
+            mask[[row[0] for row in found]] = False
+            return batch.filter(pa.array(mask))
+
+        return run
+
+    for matcher in matchers(benchmark, rate, recall, block):
+        docs = map_batches(docs, clean(matcher), docs.schema)
+    return docs
