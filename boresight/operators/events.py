@@ -74,7 +74,7 @@ def merge_events(events: DataFrame, key: list[str], reach: float = 15.0, order:
     order = order or ["md", "confidence", "sources"]
     w = Window.partitionBy(*key).orderBy(*order)
     stretch = F.sum(F.coalesce((F.col("md") - F.lag("md").over(w) > reach).cast("int"), F.lit(0))).over(w)
-    cut = events.withColumn("__stretch", stretch)
+    cut, columns = events.withColumn("__stretch", stretch), events.columns
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, at = [], None
@@ -88,9 +88,9 @@ def merge_events(events: DataFrame, key: list[str], reach: float = 15.0, order:
                 row = {k: (list(v) if hasattr(v, "tolist") else v) for k, v in row.items()}
                 held = merge_runs([*held, row], reach) if not held else held[:-1] + merge_runs([held[-1], row], reach)
             if out:
-                yield pd.DataFrame(out, columns=events.columns)
+                yield pd.DataFrame(out, columns=columns)
         if held:
-            yield pd.DataFrame(held, columns=events.columns)
+            yield pd.DataFrame(held, columns=columns)
 
     return cut.repartition(*[F.col(k) for k in key], F.col("__stretch")).sortWithinPartitions(*key, "__stretch", *order).mapInPandas(fold, events.schema)
 
