@@ -3,7 +3,8 @@
 A source's target is a share of all words by its weight, held at ``most`` times the source's size (water filling). Each
 document starts with the fractional copy count ``target / source_size``. Its whole part is certain. The fractions are
 rounded in pairs: mass moves from one document to the other, in words, until one of the two is whole, so a source's words
-stay at its target throughout and only the last, single residual is rounded alone. Long documents go first: the residual
+stay at its target throughout and only the last, single residual is rounded alone, to the nearer whole number: a source
+ends within half of that one document of its target. Long documents go first: the residual
 of a pair is the longer one, and the shorter ones that follow make it whole, so what is left at the end is short. Pairs form within hashed leaves; what a
 leaf leaves over climbs a tree of fan-in ``FAN_IN``, one narrow stage a level, so a source of any size is spread over all
 tasks and no task holds more than one residual in memory. Draws are hashes of the two ids: reruns agree, whatever the
@@ -52,7 +53,7 @@ def _settle(seed: int, root: bool):
             return row | {"part": 0.0, "copies": row["copies"] + int(whole), "settled": True}
 
         def left(row: dict) -> dict:
-            return done(row, draw(seed, row["doc_id"]) < row["part"]) if root else row
+            return done(row, round(row["part"])) if root else row
 
         for batch in batches:
             out = []
