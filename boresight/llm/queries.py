@@ -17,6 +17,7 @@ from boresight.llm.pii import find_private
 from boresight.llm.quality import rate
 from boresight.llm.secrets import find_secrets
 from boresight.llm.simhash import near_groups
+from boresight.llm.warc import as_responses, derive
 
 
 def op1_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +25,12 @@ def op1_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark, 500)
+    made = derive(as_responses(table(spark, sf_dir, "pages")))
+    return made.withColumnRenamed("source_key", "page_id").withColumn("content_sha256", F.sha2("content", 256)).drop("header", "content")
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return find_secrets(table(spark, sf_dir, "documents")).drop("found")
@@ -68,7 +75,7 @@ def op10_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_exact, op3_secrets, op4_simhash, op5_chat, op6_private, op7_mixing, op8_quality, op9_decontaminate, op10_phrases)
+    found = (op1_exact, op2_warc, op3_secrets, op4_simhash, op5_chat, op6_private, op7_mixing, op8_quality, op9_decontaminate, op10_phrases)
     return {f.__name__: f for f in found}
 
 
