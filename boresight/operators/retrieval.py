@@ -42,9 +42,9 @@ def bm25(posted: DataFrame, stats: DataFrame, queries: DataFrame, doc_id: str, k
     Only postings of query terms are joined; score ties go to the greater doc id.
     """
     terms = queries.select("term").distinct()
-    near = posted.join(F.broadcast(terms), "term", "left_semi")
+    near = posted.join(terms, "term", "left_semi")
     idf = corpus_idf(near.join(F.broadcast(stats)).select(doc_id, "term", "tf", "doc_len", "n_docs", "avg_len"), F.lit(0)).select("term", "df")
-    scored = near.join(idf, "term").join(F.broadcast(stats)).join(F.broadcast(queries), "term")
+    scored = near.join(idf, "term").join(F.broadcast(stats)).join(queries, "term")
     weight = F.ln(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("weight") * weight * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.greatest("avg_len", F.lit(1e-9))))
     totals = scored.groupBy("query_id", doc_id).agg(F.round(F.sum(part), 4).alias("score"))

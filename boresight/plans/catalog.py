@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from boresight.plans import sequences, spatial
+from boresight.plans import sequences, spatial, texts
 
-PARTS = (spatial, sequences)
+PARTS = (spatial, sequences, texts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
