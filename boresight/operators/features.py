@@ -1,7 +1,7 @@
 """Rolling features of a drilling record stream, rules, scores, episodes.
 
-The features are Column expressions over an array of the last records, so batch (a window frame) and streaming (a state
-buffer) share them.
+The features are projections of an array of the last records, so batch (a window frame) and streaming (a state buffer)
+share them.
 """
 
 from __future__ import annotations
@@ -36,25 +36,30 @@ def mean(a: Column) -> Column:
 
 
 def median(a: Column) -> Column:
-    s, n = F.array_sort(a), F.size(a)
+    """Of the known values; null without any."""
+    s = F.sort_array(F.array_compact(a))
+    n = F.size(s)
     low, high = F.try_element_at(s, F.greatest(F.floor((n + 1) / 2), F.lit(1)).cast("int")), F.try_element_at(s, F.greatest(F.floor(n / 2 + 1), F.lit(1)).cast("int"))
     return (low + high) / 2
 
 
 def deviation(a: Column) -> Column:
-    """Population standard deviation."""
-    m = mean(a)
-    return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + (x - m) * (x - m)) / F.greatest(F.size(a), F.lit(1)))
+    """Population standard deviation; the mean travels in the accumulator, so it is not computed again for each element."""
+    start = F.struct(mean(a).alias("m"), F.lit(0.0).alias("v"))
+    squares = F.aggregate(a, start, lambda s, x: F.struct(s["m"].alias("m"), (s["v"] + (x - s["m"]) * (x - s["m"])).alias("v")), lambda s: s["v"])
+    return F.sqrt(squares / F.greatest(F.size(a), F.lit(1)))
 
 
 def slope(a: Column, dt: float, least: int = 6) -> Column:
-    """Least-squares slope against index * dt; 0 under ``least`` points."""
+    """Least-squares slope against index * dt; 0 under ``least`` points.
+
+    In one pass: with centred indexes the mean of the values drops out, and the indexes' squares sum to n (n^2 - 1) / 12.
+    """
     n = F.size(a)
-    mx, my = (n - 1) * dt / 2, mean(a)
-    pairs = F.transform(a, lambda y, i: (i * dt - mx) * (y - my))
-    squares = F.transform(a, lambda y, i: (i * dt - mx) * (i * dt - mx))
-    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x)
-    return F.when(n < least, 0.0).otherwise(total(pairs) / F.greatest(total(squares), F.lit(1e-9)))
+    start = F.struct((-(n - 1) / 2).alias("i"), F.lit(0.0).alias("v"))
+    product = F.aggregate(a, start, lambda s, y: F.struct((s["i"] + 1).alias("i"), (s["v"] + s["i"] * y).alias("v")), lambda s: s["v"])
+    squares = n * (n * n - 1) / 12 * (dt * dt)
+    return F.when(n < least, 0.0).otherwise(product * dt / F.greatest(squares, F.lit(1e-9)))
 
 
 def drilling_exponent(rop: Column, rpm: Column, wob: Column, ecd: Column) -> Column:
@@ -64,34 +69,65 @@ def drilling_exponent(rop: Column, rpm: Column, wob: Column, ecd: Column) -> Col
     return F.when((up > 0) & (down > 0) & (down != 1), F.log10(up) / F.log10(down) * 1.03 / F.greatest(ecd, F.lit(0.9)))
 
 
-def buffered(records: DataFrame, key: list[str], order: str, fields: list[str], size: int = BUFFER) -> DataFrame:
-    """Each record with its last ``size`` records of the key as the array ``buffer``."""
-    w = Window.partitionBy(*key).orderBy(order).rowsBetween(-(size - 1), 0)
-    return records.withColumn("buffer", F.collect_list(F.struct(*fields)).over(w))
+def numbered(records: DataFrame, key: list[str], order: str, width: int | None = None) -> DataFrame:
+    """Adds ``__n``, the row's place in its key by ``order``.
 
+    With ``width``, for a whole-number ``order``: rows are counted by ranges of that width first, so that a key with a large
+    share of all rows is ranked in as many tasks as it has ranges.
+    """
+    if width is None:
+        return records.withColumn("__n", F.row_number().over(Window.partitionBy(*key).orderBy(order)))
+    ranged = records.withColumn("__range", F.floor(F.col(order) / width))
+    counts = ranged.groupBy(*key, "__range").count()
+    before = counts.withColumn("__before", F.sum("count").over(Window.partitionBy(*key).orderBy("__range")) - F.col("count")).drop("count")
+    for k in [*key, "__range"]:
+        before = before.withColumnRenamed(k, f"__b_{k}")
+    same = [F.col(k).eqNullSafe(F.col(f"__b_{k}")) for k in [*key, "__range"]]
+    place = F.row_number().over(Window.partitionBy(*key, "__range").orderBy(order)) + F.col("__before")
+    return ranged.join(before, same).withColumn("__n", place).drop("__range", "__before", *[f"__b_{k}" for k in [*key, "__range"]])
+
+
+def buffered(records: DataFrame, key: list[str], order: str, fields: list[str], size: int = BUFFER, block: int = 4096, width: int | None = None) -> DataFrame:
+    """Each record with its last ``size`` records of the key as the array ``buffer``.
+
+    A key's rows are cut into blocks of ``block`` rows, each with the ``size - 1`` rows before it, so a hot key fills many tasks.
+    """
+    placed = numbered(records, key, order, width).withColumn("__own", F.floor((F.col("__n") - 1) / block))
+    last = F.floor((F.col("__n") + size - 2) / block)  # the last block whose first rows look back to this one
+    spread = placed.withColumn("__block", F.explode(F.sequence("__own", last)))
+    w = Window.partitionBy(*key, "__block").orderBy("__n").rowsBetween(-(size - 1), 0)
+    framed = spread.withColumn("buffer", F.collect_list(F.struct(*fields)).over(w))
+    return framed.where(F.col("__own") == F.col("__block")).drop("__n", "__own", "__block")
 
-def features(buffer: Column, overpull: Column) -> dict[str, Column]:
-    """The nine features of a buffer of records (flow_in, flow_out, pit, spp, torque, rop, gas, dxc, on_bottom)."""
-    pumped = F.filter(buffer, lambda r: r["flow_in"] > 500)
-    drilled = F.filter(pumped, lambda r: r["on_bottom"] > 0)
+
+def add_features(framed: DataFrame, buffer: str = "buffer", overpull: str = "overpull") -> DataFrame:
+    """Replaces a buffer of records (flow_in, flow_out, pit, spp, torque, rop, gas, dxc, on_bottom) by its ten features.
+
+    In steps, so that each filtered or sorted array is made once and read by all features on it; projections only, so it
+    serves batch and streaming frames alike.
+    """
+    kept = [c for c in framed.columns if c not in (buffer, overpull)]
     pick = lambda a, f: F.transform(a, lambda r: r[f])
-    torque, rop, gas, spp = pick(drilled, "torque"), pick(drilled, "rop"), pick(buffer, "gas"), pick(pumped, "spp")
-    dxc = F.filter(pick(drilled, "dxc"), lambda x: x.isNotNull())
-    t12 = tail(torque, 12)
-    p6, d12, b6 = F.size(pumped) >= 6, F.size(drilled) >= 12, F.size(buffer) >= 6
-    gap = F.transform(tail(pumped, 12), lambda r: (r["flow_out"] - r["flow_in"]) / r["flow_in"])
-    return {
-        "dflow": F.when(p6, mean(gap)).otherwise(0.0),
-        "pit_slope": F.when(p6, slope(tail(pick(pumped, "pit"), 30), 1 / 6)).otherwise(0.0),
-        "spp_dev": F.when(p6, (mean(tail(spp, 6)) - median(spp)) / F.greatest(median(spp), F.lit(1.0))).otherwise(0.0),
-        "tq_z": F.when(d12, (mean(t12) - mean(torque)) / F.greatest(deviation(torque), F.lit(0.3))).otherwise(0.0),
-        "tq_ssi": F.when(d12, (F.array_max(t12) - F.array_min(t12)) / F.greatest(mean(t12), F.lit(0.5))).otherwise(0.0),
-        "rop_ratio": F.when(d12, mean(tail(rop, 12)) / F.greatest(median(rop), F.lit(0.5))).otherwise(1.0),
-        "dxc_ratio": F.when(d12 & (F.size(dxc) >= 12), mean(tail(dxc, 12)) / F.greatest(median(dxc), F.lit(1e-3))).otherwise(1.0),
-        "gas_level": F.when(b6, mean(tail(gas, 12))).otherwise(0.0),
-        "gas_ratio": F.when(b6, mean(tail(gas, 12)) / F.greatest(median(gas), F.lit(0.2))).otherwise(1.0),
+    lift = lambda df, **new: df.select(*df.columns, *[x.alias(f"__{n}") for n, x in new.items()])
+    c = lambda n: F.col(f"__{n}")
+    df = lift(framed, pumped=F.filter(buffer, lambda r: r["flow_in"] > 500), gas=pick(F.col(buffer), "gas"), filled=F.size(buffer) >= 6)
+    df = lift(df, drilled=F.filter(c("pumped"), lambda r: r["on_bottom"] > 0), spp=pick(c("pumped"), "spp"), p6=F.size(c("pumped")) >= 6)
+    df = lift(df, torque=pick(c("drilled"), "torque"), rop=pick(c("drilled"), "rop"), dxc=F.array_compact(pick(c("drilled"), "dxc")), d12=F.size(c("drilled")) >= 12)
+    df = lift(df, t12=tail(c("torque"), 12), tmean=mean(tail(c("torque"), 12)), gmean=mean(tail(c("gas"), 12)), mspp=median(c("spp")), mrop=median(c("rop")), mdxc=median(c("dxc")), mgas=median(c("gas")))
+    gap = F.transform(tail(c("pumped"), 12), lambda r: (r["flow_out"] - r["flow_in"]) / r["flow_in"])
+    made = {
+        "dflow": F.when(c("p6"), mean(gap)).otherwise(0.0),
+        "pit_slope": F.when(c("p6"), slope(pick(tail(c("pumped"), 30), "pit"), 1 / 6)).otherwise(0.0),
+        "spp_dev": F.when(c("p6"), (mean(tail(c("spp"), 6)) - c("mspp")) / F.greatest(c("mspp"), F.lit(1.0))).otherwise(0.0),
+        "tq_z": F.when(c("d12"), (c("tmean") - mean(c("torque"))) / F.greatest(deviation(c("torque")), F.lit(0.3))).otherwise(0.0),
+        "tq_ssi": F.when(c("d12"), (F.array_max(c("t12")) - F.array_min(c("t12"))) / F.greatest(c("tmean"), F.lit(0.5))).otherwise(0.0),
+        "rop_ratio": F.when(c("d12"), mean(tail(c("rop"), 12)) / F.greatest(c("mrop"), F.lit(0.5))).otherwise(1.0),
+        "dxc_ratio": F.when(c("d12") & (F.size(c("dxc")) >= 12), mean(tail(c("dxc"), 12)) / F.greatest(c("mdxc"), F.lit(1e-3))).otherwise(1.0),
+        "gas_level": F.when(c("filled"), c("gmean")).otherwise(0.0),
+        "gas_ratio": F.when(c("filled"), c("gmean") / F.greatest(c("mgas"), F.lit(0.2))).otherwise(1.0),
         "overpull": F.coalesce(overpull, F.lit(0.0)),
     }
+    return df.select(*kept, *[x.alias(n) for n, x in made.items()])
 
 
 def run_overpull(records: DataFrame, key: list[str], order: str, off: Column, value: str) -> DataFrame:

@@ -30,9 +30,9 @@ def _records(spark: SparkSession, d: str) -> DataFrame:
 def _features(spark: SparkSession, d: str) -> DataFrame:
     records = features.run_overpull(_records(spark, d), ["event_type"], "event_id", F.col("on_bottom") == 0, "hookload")
     fields = ["flow_in", "flow_out", "pit", "spp", "torque", "rop", "gas", "dxc", "on_bottom"]
-    framed = features.buffered(records, ["event_type"], "event_id", fields)
-    made = features.features(F.col("buffer"), F.col("overpull"))
-    return framed.select("event_id", "event_type", "flow_in", *[F.round(x, 4).alias(n) for n, x in made.items()])
+    framed = features.buffered(records, ["event_type"], "event_id", fields, width=1 << 20)
+    made = features.add_features(framed.select("event_id", "event_type", "flow_in", "overpull", "buffer"))
+    return made.select("event_id", "event_type", "flow_in", *[F.round(n, 4).alias(n) for n in [*NAMES, "overpull"]])
 
 
 def rolling_features(spark: SparkSession, d: str) -> DataFrame:
