@@ -26,14 +26,16 @@ def tokens(text: Column, stop: tuple[str, ...] | list[str] = STOP) -> Column:
 
 
 def postings(docs: DataFrame, doc_id: str, terms: Column) -> DataFrame:
-    """``doc_id, term, tf, doc_len``."""
-    exploded = docs.select(doc_id, F.size(terms).alias("doc_len"), F.explode(terms).alias("term"))
+    """``doc_id, term, tf, doc_len``. The length is taken before the explode: beside it, Spark would split the text again for each term."""
+    listed = docs.select(doc_id, terms.alias("__terms")).select(doc_id, F.size("__terms").alias("doc_len"), "__terms")
+    exploded = listed.select(doc_id, "doc_len", F.explode("__terms").alias("term"))
     return exploded.groupBy(doc_id, "term", "doc_len").agg(F.count("*").alias("tf"))
 
 
-def corpus_idf(posted: DataFrame, n_docs: Column) -> DataFrame:
-    df = posted.groupBy("term").agg(F.count("*").alias("df"))
-    return df.withColumn("idf", F.ln(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+def corpus_idf(posted: DataFrame, stats: DataFrame) -> DataFrame:
+    """``term, df, idf`` of postings; ``stats(n_docs, ...)`` is one row."""
+    df = posted.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(stats.select("n_docs")))
+    return df.select("term", "df", F.ln(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
 
 
 def bm25(posted: DataFrame, stats: DataFrame, queries: DataFrame, doc_id: str, k: int) -> DataFrame:
@@ -43,10 +45,8 @@ def bm25(posted: DataFrame, stats: DataFrame, queries: DataFrame, doc_id: str, k
     """
     terms = queries.select("term").distinct()
     near = posted.join(terms, "term", "left_semi")
-    idf = corpus_idf(near.join(F.broadcast(stats)).select(doc_id, "term", "tf", "doc_len", "n_docs", "avg_len"), F.lit(0)).select("term", "df")
-    scored = near.join(idf, "term").join(F.broadcast(stats)).join(queries, "term")
-    weight = F.ln(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = F.col("weight") * weight * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.greatest("avg_len", F.lit(1e-9))))
+    scored = near.join(corpus_idf(near, stats), "term").join(F.broadcast(stats)).join(queries, "term")
+    part = F.col("weight") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.greatest("avg_len", F.lit(1e-9))))
     totals = scored.groupBy("query_id", doc_id).agg(F.round(F.sum(part), 4).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc(doc_id))
     return totals.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)

@@ -22,8 +22,7 @@ def _posted(spark: SparkSession, d: str) -> DataFrame:
 
 def corpus_idf(spark: SparkSession, d: str) -> DataFrame:
     n = table(spark, d, "documents").agg(F.count("*").alias("n_docs"))
-    found = retrieval.corpus_idf(_posted(spark, d).join(F.broadcast(n)).groupBy("doc_id", "term").agg(F.first("n_docs").alias("n_docs")), F.lit(0))
-    return found.join(F.broadcast(n)).select("term", "df", F.round(F.ln(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), 4).alias("idf"))
+    return retrieval.corpus_idf(_posted(spark, d), n).select("term", "df", F.round("idf", 4).alias("idf"))
 
 
 CORPUS_IDF = f"WITH {_POSTED} SELECT term, df, round(ln(1 + ((SELECT count(*) FROM documents) - df + 0.5) / (df + 0.5)), 4) idf FROM df"
