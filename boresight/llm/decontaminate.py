@@ -6,7 +6,10 @@ differences. Bit-sampling tables key a walk by the words emitted at a few random
 that share a key in any table are candidates. As a walk of M steps sees at most M words, each item is indexed at every
 offset, document windows start every few words, and an item-sized region around a candidate is verified: its exact word
 edit distance to the item (free ends) must be at most ``rate`` of the item's words. The number of walks follows from the
-wanted recall, measured on randomly edited copies of the items themselves.
+wanted recall, for each class of item lengths: all walks run over the same edited copies of the class's items, with edits at
+random, spread evenly and at either end, and each must reach the recall. Where a few walks don't, the class takes an exact
+path instead: an item of n words and k allowed edits is cut into k + 1 pieces, one of which is left whole by any k edits, so
+the first floor(n / (k + 1)) words of the pieces find every match.
 
 Items come in blocks of at most about ``block`` rows; a block's tables have that bound, go to the workers as one closure,
 and each block takes one pass over all documents, without a shuffle of texts. Words are compared without ASCII case and
@@ -34,6 +37,7 @@ from boresight.llm.common import map_batches, parts_for
 
 RATE, RECALL, BLOCK = 0.2, 0.99, 2000
 STEPS = (12, 4, 1)  # of the walks, for items of at least so many words
+CLASSES = (1, 5, 10, 15, 20, 30, 50, 100, 200)  # least words of the item lengths that get their own walks
 TABLES, SAMPLED = 4, 8  # tables a walk, steps a table
 FOUND = "doc_id long, item_id long, distance int, item_words int, start_word int, end_word int"
 
@@ -93,6 +97,7 @@ class Tables:
     keys: np.ndarray | None = None  # sorted
     owners: np.ndarray | None = None  # (item, offset) by key
     probe: np.ndarray | None = None
+    rate: float = RATE
 
     def samples(self, walk: int) -> list[list[int]]:
         rng = random.Random(self.seed * 1000 + walk)
@@ -120,10 +125,14 @@ class Tables:
                     at += ((bits[at] >> np.uint64(step + 20)) & np.uint64(1)).view(np.int64)
             return [k ^ (k >> np.uint64(31)) for k in keys]
 
+    def spots(self) -> list[tuple[int, int]]:
+        """(item, offset) of all windows to index."""
+        return [(k, f) for k, (_, ws) in enumerate(self.items) for f in range(len(ws) - self.steps + 1)]
+
     def index(self) -> None:
         hashes = np.array([h for _, ws in self.items for h in ws], np.uint64)
         first = np.cumsum([0, *(len(ws) for _, ws in self.items)])
-        spots = [(k, f) for k, (_, ws) in enumerate(self.items) for f in range(len(ws) - self.steps + 1)]
+        spots = self.spots()
         at = np.array([first[k] + f for k, f in spots], np.int64)
         keys = [key for w in range(self.walks) for key in self.embed(hashes, at, w)]
         all_keys, owners = np.concatenate(keys), np.tile(np.array(spots, np.int64), (len(keys), 1))
@@ -148,24 +157,68 @@ def allowed(n: int, rate: float) -> int:
     return math.floor(rate * n + 1e-9)
 
 
-def walks_for(tables: Tables, rate: float, recall: float, tries: int = 300, most: int = 16) -> int:
-    """Walks that reach the recall on copies of the items with as many random word edits as the rate allows."""
-    rng, hit = random.Random(5), 0
-    probe = Tables(tables.steps, tables.stride, 1, tables.seed)
-    for t in range(tries):
-        _, ws = tables.items[rng.randrange(len(tables.items))]
-        copy = list(ws)
-        for _ in range(allowed(len(ws), rate)):
-            i, kind = rng.randrange(len(copy)), rng.randrange(3)
-            copy[i : i + 1] = [[rng.getrandbits(62)], [], [rng.getrandbits(62), copy[i]]][kind]
-        whole = [rng.getrandbits(62) for _ in range(rng.randrange(5) + 5)] + copy + [rng.getrandbits(62) for _ in range(tables.steps)]
-        a, b = np.array(ws, np.uint64), np.array(whole, np.uint64)
-        walk = t % most
-        mine = probe.embed(a, np.arange(len(ws) - tables.steps + 1), walk)
-        theirs = probe.embed(b, np.arange(0, len(whole) - tables.steps + 1, tables.stride), walk)
-        hit += any(np.isin(x, y).any() for x, y in zip(mine, theirs))
-    miss = 1 - min(hit / tries, 0.9999)
-    return min(most, max(2, math.ceil(math.log(1 - recall) / math.log(miss)))) if miss < 1 else most
+def edits_of(ws: list[int], kind: str, rng: random.Random, k: int) -> list[int]:
+    """A copy with ``k`` word edits: random ones, or replaced words spread evenly or at an end."""
+    copy, n = list(ws), len(ws)
+    fresh = lambda: rng.getrandbits(62)
+    if kind == "random":
+        for _ in range(k):
+            i, what = rng.randrange(len(copy)), rng.randrange(3)
+            copy[i : i + 1] = [[fresh()], [], [fresh(), copy[i]]][what]
+    else:
+        for j in range(k):
+            copy[{"even": (j + 1) * n // (k + 1), "head": j, "tail": n - 1 - j}[kind]] = fresh()
+    return copy
+
+
+def walks_for(tables: Tables, rate: float, recall: float, tries: int = 300, most: int = 4) -> int | None:
+    """Walks that find the wanted share of copies with as many edits as the rate allows, for each way to place the edits.
+
+    All walks run over the same copies, so what fails in all of them together counts as missed. None: ``most`` don't do.
+    """
+    rng, needed = random.Random(5), 2
+    for kind in ("even", "random", "head", "tail"):
+        left, right, a, b, first, second = [], [], [], [], 0, 0
+        for t in range(tries):
+            _, ws = tables.items[rng.randrange(len(tables.items))]
+            copy = edits_of(ws, kind, rng, allowed(len(ws), rate))
+            whole = [rng.getrandbits(62) for _ in range(rng.randrange(5) + 5)] + copy + [rng.getrandbits(62) for _ in range(tables.steps)]
+            a += [(t, first + f) for f in range(len(ws) - tables.steps + 1)]
+            b += [(t, second + f) for f in range(0, len(whole) - tables.steps + 1, tables.stride)]
+            left, right = left + ws, right + whole
+            first, second = first + len(ws), second + len(whole)
+        one, two = np.array(left, np.uint64), np.array(right, np.uint64)
+        (t1, at1), (t2, at2) = np.array(a, np.int64).T, np.array(b, np.int64).T
+        found = np.zeros(tries, bool)
+        for walk in range(most):
+            for x, y in zip(tables.embed(one, at1, walk), tables.embed(two, at2, walk)):
+                found[t2[np.isin(y * _MIX + t2.astype(np.uint64), x * _MIX + t1.astype(np.uint64))]] = True
+            if found.mean() >= recall:
+                needed = max(needed, walk + 1)
+                break
+        else:
+            return None
+    return needed
+
+
+class Seeds(Tables):
+    """Exact path: of k + 1 pieces of an item, k edits leave one whole; ``steps`` words of each piece are its key."""
+
+    def embed(self, hashes: np.ndarray, at: np.ndarray, walk: int) -> list[np.ndarray]:
+        with np.errstate(over="ignore"):
+            key = np.full(len(at), self.steps, np.uint64)
+            for step in range(self.steps):
+                key = key * _MUL + hashes[at + step]
+            return [key ^ (key >> np.uint64(31))]
+
+    def spots(self) -> list[tuple[int, int]]:
+        return [(k, f) for k, (_, ws) in enumerate(self.items) for f in pieces(len(ws), self.rate)[1]]
+
+
+def pieces(n: int, rate: float) -> tuple[int, list[int]]:
+    """Words of a seed and where the pieces of an item start."""
+    many = allowed(n, rate) + 1
+    return n // many, [i * n // many for i in range(many)]
 
 
 class Matcher:
@@ -177,15 +230,22 @@ class Matcher:
         self.ids = [i for i, ws in kept if ws]
         self.words = [[int(h) for h in self.seen.of(ws)] for _, ws in kept if ws]
         self.sets = [frozenset(ws) for ws in self.words]
-        self.tables = []
-        for low, high in zip(STEPS, (None, *STEPS)):
+        self.tables, exact = [], defaultdict(list)
+        for low, high in zip(CLASSES, (*CLASSES[1:], None)):
             mine = [(k, ws) for k, ws in enumerate(self.words) if len(ws) >= low and (high is None or len(ws) < high)]
             if mine:
                 shortest = min(len(ws) for _, ws in mine)
-                t = Tables(low, max(1, min(3, shortest - allowed(shortest, rate) - low + 1)), 1, seed, mine)
-                t.walks = walks_for(t, rate, recall)
-                t.index()
-                self.tables.append(t)
+                steps = next(x for x in STEPS if shortest >= x)
+                t = Tables(steps, max(1, min(3, (shortest - allowed(shortest, rate) - steps) // 8)), 1, seed, mine)
+                if walks := walks_for(t, rate, recall):
+                    t.walks = walks
+                    self.tables.append(t)
+                else:
+                    for k, ws in mine:
+                        exact[pieces(len(ws), rate)[0]].append((k, ws))
+        self.tables += [Seeds(size, 1, 1, seed, mine, rate=rate) for size, mine in sorted(exact.items())]
+        for t in self.tables:
+            t.index()
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"seen": Hashes()}
