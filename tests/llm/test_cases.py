@@ -147,10 +147,24 @@ def test_phrases(docs, none):
     wanted = brute.repeats([(phrases.LAST if d is None else d, t) for d, t in TEXTS])
     assert made == sorted(((d, *wanted[phrases.LAST if d is None else d]) for d, _ in TEXTS), key=repr)
     assert phrases.remove_repeats(none).count() == 0
-    small = rows(phrases.remove_repeats(docs, chunk_bytes=100_000, bucket_windows=5_000), "doc_id", "n_removed")
+    small = rows(phrases.remove_repeats(docs, chunk_bytes=100_000, bucket_windows=5_000, shard_chunks=1), "doc_id", "n_removed")
     assert small == rows(phrases.remove_repeats(docs), "doc_id", "n_removed")
 
 
+def test_phrases_by_automata(spark):
+    """A passage in every document, hashes that clash, and what is removed is what the automata locate."""
+    texts = [(i, f"{' '.join(rng.choice(WORDS) for _ in range(20))} {PASSAGE} {' '.join(rng.choice(WORDS[:4]) for _ in range(60))}") for i in range(1, 121)]
+    table = spark.createDataFrame(texts, "doc_id long, text string")
+    found = lambda **how: {r.doc_id: (r.n_words, r.n_removed, brute.digest(r.kept)) for r in phrases.remove_repeats(table, **how).collect()}
+    wanted = brute.repeats(texts)
+    assert found() == wanted == found(chunk_bytes=5_000, bucket_windows=700, shard_chunks=2)
+    assert found(bits=3) == wanted  # nearly all windows clash; only texts tell them apart
+    shard = phrases.Shard(2)
+    shard.add(b"a b c a b")
+    assert shard.locate(b"x a b d b c")[1].tolist() == [False, True, False, False, True]
+    assert phrases.Shard(2).locate(b"a b c")[1].tolist() == [False, False]
+
+
 def test_quality(spark, docs, none):
     no_labels = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, quality int")
     made = quality.rate(docs, no_labels)
