@@ -76,4 +76,4 @@ def same_id(left: Column, right: Column) -> Column:
 def keep_ids(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
     """Rows of ``docs``, all columns as they are, whose doc_id is (or, ``left_anti``, isn't) in ``ids.doc_id``; null equals null."""
     ids = ids.select(F.col("doc_id").alias("__wanted_id"))
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["__wanted_id"]), how)
+    return docs.join(ids.hint("merge"), docs["doc_id"].eqNullSafe(ids["__wanted_id"]), how)  # alike at every size
