@@ -3,7 +3,8 @@
 Each map task inserts the full normalised byte strings of its rows into a compressed radix trie whose terminal nodes keep
 the best row (most code points, then smallest doc_id) and a count, so a group of copies leaves a task as one row however
 large it is. Rows go by length and content hash to owner partitions, whose tries merge the terminals. A trie over its memory budget
-writes its largest subtree to an unlinked temporary file of the task, which is read back on its own at the end. Documents
+writes its largest subtree to an unlinked temporary file of the task, which is read back on its own at the end; a single text
+over the budget is held whole, as any row is. Documents
 then meet their owner's verdict by digest in a plain equi-join, which adaptive execution splits where one text is hot.
 
 Texts are equal when they are identical after every character of ``[\\x20\\x09-\\x0D]`` is deleted. Cases: null counts as
@@ -104,25 +105,46 @@ class RadixTrie:
         return total
 
     def _spill(self) -> None:
-        """Write the largest subtree below the first fork to a file of its own."""
+        """Write the largest subtree below the first fork to a file of its own; a lone key stays, as it has to be held anyway."""
         top, before = self.root, b""
         while True:
             live = [k for k in top.kids.values() if k.spool is None]
             if not live:
                 return
             big = max(live, key=self._size)
-            if len(live) > 1 or not big.kids:
+            if len(live) > 1 or top.verdict is not None and top is not self.root:
                 break
+            if not big.kids:
+                return
             top, before = big, before + big.label
         file = tempfile.TemporaryFile(buffering=1 << 20)
         for key, v in self._walk(big, b""):
             pickle.dump((key, *v), file)
+        path, others = before + big.label, []
+        for at, inner in self.spilled:  # what was spilled from below it goes to its file, so a key has one file
+            if at.startswith(path):
+                for key, *v in self._records(inner):
+                    pickle.dump((at[len(before) :] + key, *v), file)
+            else:
+                others.append((at, inner))
+        self.spilled = others
         self.held -= self._size(big)
         stub = Node(big.label[:1])
         stub.spool = file
         top.kids[big.label[0]] = stub
         self.spilled.append((before, stub))
 
+    @staticmethod
+    def _records(stub: Node) -> Iterator[tuple]:
+        """What a spilled subtree's file holds; the file goes."""
+        stub.spool.seek(0)
+        while True:
+            try:
+                yield pickle.load(stub.spool)
+            except EOFError:
+                break
+        stub.spool.close()
+
     def _walk(self, node: Node, before: bytes) -> Iterator[tuple[bytes, list]]:
         todo = [(node, before)]
         while todo:
@@ -137,19 +159,15 @@ class RadixTrie:
     def drain(self) -> Iterator[tuple[bytes, list]]:
         """All keys with their verdicts, memory first, then each spilled subtree by itself; the trie is empty after."""
         yield from self._walk(self.root, b"")
-        spilled, self.root, self.held, self.spilled = self.spilled, Node(b""), 0, []
-        for before, stub in spilled:
+        waiting, self.root, self.held, self.spilled = self.spilled, Node(b""), 0, []
+        while waiting:
+            before, stub = waiting.pop()
             part = RadixTrie(self.budget)
-            stub.spool.seek(0)
-            while True:
-                try:
-                    key, points, best_id, members = pickle.load(stub.spool)
-                except EOFError:
-                    break
-                part.put(key, points, best_id, members)
-            stub.spool.close()
-            for key, v in part.drain():
+            for record in self._records(stub):
+                part.put(*record)
+            for key, v in part._walk(part.root, b""):
                 yield before + key, v
+            waiting += [(before + path, x) for path, x in part.spilled]
 
 
 def _batches(rows: Iterator[tuple], schema: pa.Schema, at_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
