@@ -11,7 +11,7 @@ valid files to any store; ``read_warc`` cuts such files by their lengths.
 
 Cases: a null payload counts as empty and gives empty text; without a target the header is left out; responses that repeat
 exactly give the same records twice; a digest that the source brings is kept as it is, else SHA-256 is taken; broken markup,
-unknown charsets and undecodable bytes never fail; an empty table gives no rows.
+unknown charsets and undecodable bytes never fail, and cost time in proportion to their length; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,14 +31,15 @@ from boresight.llm.common import map_batches
 
 END = "\r\n"
 # Elements whose content is never shown, and those that begin and end a line.
-HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)|<head\b[^>]*>.*?(?:</head\s*>|(?=<body\b))", re.I | re.S)
-BREAK = re.compile(r"</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|option|p|pre|section|table|td|th|title|tr|ul)\b[^>]*>", re.I)
-TAG = re.compile(r"</?[A-Za-z][^<>]*>|<![A-Za-z\[][^>]*>|<\?[^>]*>")
+HIDDEN = frozenset("script style noscript template svg iframe".split())
+BREAK = frozenset("address article aside blockquote body br dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol option p pre section table td th title tr ul".split())
+LINKED = frozenset("a area link img script iframe".split())
+NAME = re.compile(r"/?([A-Za-z][A-Za-z0-9]*)|[!?]")
 BLANKS, LINES = re.compile(r"[^\S\n]+"), re.compile(r" ?\n[ \n]*")
-TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.I | re.S)
-LANGUAGE = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z0-9-]+)", re.I)
-CHARSET = re.compile(rb"charset\s*=\s*[\"']?([A-Za-z0-9._-]+)", re.I)
-LINK = re.compile(r"<(a|area|link|img|script|iframe)\b[^>]*?\s(href|src)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
+LANGUAGE = re.compile(r"\slang\s*=\s*[\"']?([A-Za-z0-9-]+)", re.I)
+CHARSET = re.compile(r"charset\s*=\s*[\"']?([A-Za-z0-9._-]+)", re.I)
+META = re.compile(rb"<meta\b[^<>]*?\bcharset\s*=\s*[\"']?([A-Za-z0-9._-]+)", re.I)
+REFERENCE = re.compile(r"\s(href|src)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"']+))", re.I)
 
 RECORDS = pa.schema([
     ("source_key", pa.int64()), ("record_id", pa.string()), ("warc_type", pa.string()), ("refers_to", pa.string()), ("target_uri", pa.string()), ("date", pa.string()), ("content_type", pa.string()),
@@ -47,18 +48,63 @@ RECORDS = pa.schema([
 SCHEMA = ", ".join(f"{f.name} {'long' if f.type == pa.int64() else 'string'}" for f in RECORDS)
 
 
+def tags(page: str) -> Iterator[tuple[str, bool, int, int]]:
+    """(name, whether it closes, start, end) of all tags and comments (name ``!--``) in page order; end is behind the ``>``.
+
+    A tag runs to the first ``>`` and holds no ``<``; every search goes forward from the last one's result, so broken markup
+    costs no more than whole markup.
+    """
+    at, close, dashes = page.find("<"), 0, 0
+    while at >= 0:
+        if page.startswith("<!--", at):
+            if 0 <= dashes < at + 4:
+                dashes = page.find("-->", at + 4)
+            end = dashes + 3 if dashes >= 0 else len(page)
+            yield "!--", False, at, end
+            at = page.find("<", end)
+            continue
+        if 0 <= close <= at:
+            close = page.find(">", at)
+        if close < 0:
+            return
+        after = page.find("<", at + 1)
+        if (after < 0 or close < after) and (m := NAME.match(page, at + 1)):
+            yield (m[1] or "!").lower(), m[0][:1] == "/", at, close + 1
+        at = after
+
+
 def visible_text(page: str) -> str:
     """Text of a page as it is shown, a line for each block."""
-    shown = TAG.sub("", BREAK.sub("\n", HIDDEN.sub(" ", page)))
-    return LINES.sub("\n", BLANKS.sub(" ", html.unescape(shown).replace("\r", "\n"))).strip()
+    out, shown, inside, head = [], 0, None, None
+    for name, closes, start, end in tags(page):
+        if inside:  # what is hidden runs to its closing tag
+            if closes and name == inside:
+                inside, shown = None, end
+            continue
+        if head is not None and closes is (name == "head") and name in ("head", "body"):
+            del out[head:]
+            head, shown = None, start
+        out.append(page[shown:start])
+        shown = end
+        if name in HIDDEN and not closes:
+            inside = name
+            out.append(" ")
+        elif name == "head" and not closes and head is None:
+            head = len(out)
+        else:
+            out.append("\n" if name in BREAK else " " if name == "!--" else "")
+    if not inside:
+        out.append(page[shown:])
+    return LINES.sub("\n", BLANKS.sub(" ", html.unescape("".join(out)).replace("\r", "\n"))).strip()
 
 
 def decoded(payload: bytes, headers: str) -> str:
     """A payload by the charset of its header, else of its markup, else UTF-8."""
-    found = CHARSET.search(headers.encode("utf-8", "replace")) or CHARSET.search(payload[:2048])
+    found = CHARSET.search(headers) or META.search(payload)
+    name = found[1] if found else "utf-8"
     try:
-        return payload.decode(found[1].decode() if found else "utf-8", "replace")
-    except LookupError:
+        return payload.decode(name if isinstance(name, str) else name.decode(), "replace")
+    except (LookupError, ValueError):  # no such charset, or one that decodes no text
         return payload.decode("utf-8", "replace")
 
 
@@ -66,17 +112,25 @@ def one_line(text: str) -> str:
     return " ".join(text.split())
 
 
-def links(page: str, base: str) -> list[str]:
-    """``url kind`` of all links in page order."""
-    out = []
-    for m in LINK.finditer(page):
-        ref = html.unescape(m[3] or m[4] or m[5] or "").strip()
-        if ref and not ref.lower().startswith(("javascript:", "data:", "mailto:", "#")):
-            try:
-                out.append(f"{quote(urljoin(base, ref), safe=':/?#[]@!$&()*+,;=%~')} {m[1].lower()}/@{m[2].lower()}")
-            except ValueError:  # not a reference
-                continue
-    return out
+def about(page: str, base: str) -> tuple[str | None, str | None, list[str]]:
+    """Title, language, and ``url kind`` of all links in page order."""
+    title, begun, language, found = None, None, None, []
+    for name, closes, start, end in tags(page):
+        if name == "title" and title is None:
+            if closes and begun is not None:
+                title = page[begun:start]
+            elif not closes and begun is None:
+                begun = end
+        elif name == "html" and not closes and not language and (m := LANGUAGE.search(page, start, end)):
+            language = m[1]
+        elif name in LINKED and not closes and (m := REFERENCE.search(page, start, end - 1)):
+            ref = html.unescape(m[2] or m[3] or m[4] or "").strip()
+            if ref and not ref.lower().startswith(("javascript:", "data:", "mailto:", "#")):
+                try:
+                    found.append(f"{quote(urljoin(base, ref), safe=':/?#[]@!$&()*+,;=%~')} {name}/@{m[1].lower()}")
+                except ValueError:  # not a reference
+                    continue
+    return title, language, found
 
 
 def new_id(source: str, kind: str) -> str:
@@ -102,17 +156,16 @@ def derivatives(source_id: str, target: str | None, date: str, headers: str, pay
     """The metadata and the conversion record of one response."""
     kept = source_digest or digest(payload)
     page = decoded(payload, headers)
-    language, title = LANGUAGE.search(page), TITLE.search(page)
-    found = links(page, target or "")
+    title, language, found = about(page, target or "")
     text_id, about_id = new_id(source_id, "conversion"), new_id(source_id, "metadata")
     lines = headers.split("\n")
     fields = [("conversion-record", text_id), ("source-payload-digest", kept), ("source-payload-length", str(len(payload))), ("source-status", lines[0])]
     fields += [("source-header", line) for line in lines[1:] if line.strip()]
-    fields += [("title", html.unescape(title[1]))] if title else []
-    fields += [("language", language[1])] if language else []
+    fields += [("title", html.unescape(title))] if title is not None else []
+    fields += [("language", language)] if language else []
     fields += [("outlink", x) for x in found]
-    about = END.join(f"{k}: {one_line(v)}" for k, v in fields) + END
-    both = [record("metadata", about_id, source_id, target, date, "application/warc-fields", about), record("conversion", text_id, source_id, target, date, "text/plain; charset=utf-8", visible_text(page), language and language[1])]
+    described = END.join(f"{k}: {one_line(v)}" for k, v in fields) + END
+    both = [record("metadata", about_id, source_id, target, date, "application/warc-fields", described), record("conversion", text_id, source_id, target, date, "text/plain; charset=utf-8", visible_text(page), language)]
     return [r | {"source_digest": kept, "n_links": len(found)} for r in both]
 
 

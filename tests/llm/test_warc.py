@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import time
 from html.parser import HTMLParser
 
 from boresight.llm import queries as q
+from boresight.llm import warc
 from boresight.llm.warc import as_responses, derive, read_warc, visible_text, write_warc
 
 
@@ -71,3 +73,16 @@ def test_cases(spark, tmp_path):
     assert back == {(r.record_id, r.content.encode()) for r in found}
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     assert derive(as_responses(empty)).count() == 0
+
+
+def test_hostile_pages_end_soon():
+    """Codec names that decode no text, and broken markup on which a search of patterns takes the square of the length."""
+    began = time.perf_counter()
+    for name in ("undefined", "idna", "punycode", "base64", "no-such", "utf-16"):
+        for headers, page in ((f"HTTP/1.1 200 OK\nContent-Type: text/html; charset={name}", b"<p>a\xff"), ("HTTP/1.1 200 OK", f"<meta charset={name}><p>a".encode() + b"\xff" * 3000)):
+            assert len(warc.derivatives("<urn:x>", None, "", headers, page, None)) == 2
+    for piece in ("<a x ", "<title>", "<html ", "<head>", "<script>", "<!-- ", "<a href='", "</", "<p>&amp;", "<meta ", "<a href=x>"):
+        for end in ("", ">", "</title></head></script>-->"):
+            warc.derivatives("<urn:x>", "http://a/", "", "HTTP/1.1 200 OK", (piece * (1_000_000 // len(piece)) + end).encode(), None)
+    assert time.perf_counter() - began < 60
+    assert warc.decoded(b"x" * 5000 + "<meta charset=latin-1>\xe9".encode("latin-1"), "").endswith("\xe9")
