@@ -5,9 +5,10 @@ document starts with the fractional copy count ``target / source_size``. Its who
 rounded in pairs: mass moves from one document to the other, in words, until one of the two is whole, so a source's words
 stay at its target throughout and only the last, single residual is rounded alone, to the nearer whole number: a source
 ends within half of that one document of its target. Long documents go first: the residual
-of a pair is the longer one, and the shorter ones that follow make it whole, so what is left at the end is short. Pairs form within hashed leaves; what a
-leaf leaves over climbs a tree of fan-in ``FAN_IN``, one narrow stage a level, so a source of any size is spread over all
-tasks and no task holds more than one residual in memory. Draws are hashes of the two ids: reruns agree, whatever the
+of a pair is the longer one, and the shorter ones that follow make it whole, so what is left at the end is short. Each source
+has a reduction tree of its own, with as many hashed leaves as its documents need and fan-in ``FAN_IN``: a leaf leaves at most
+one residual, which climbs a level a stage. So a hot source is spread over all tasks, a million small ones end at their
+leaves, and no task holds more than one residual in memory. Draws are hashes of the two ids: reruns agree, whatever the
 partitioning.
 
 Cases: null text counts 0 words; a null source is a source of its own, last in order; null ids take part; empty documents
@@ -27,7 +28,7 @@ from boresight.llm.common import WORD, cut, parts_for
 
 FAN_IN = 64
 LEAF_ROWS = 20_000
-STATE = "doc_id long, source string, size long, source_size long, target double, node long, part double, copies long, settled boolean"
+STATE = "doc_id long, source string, size long, source_size long, target double, nodes long, node long, part double, copies long, settled boolean"
 
 
 def draw(seed: int, *ids: object) -> float:
@@ -43,8 +44,8 @@ def pivot(p: float, a: float, q: float, b: float, u: float) -> tuple[float, floa
     return (0.0, q + p * a / b) if p <= (1 - q) * b / a else (p - (1 - q) * b / a, 1.0)
 
 
-def _settle(seed: int, root: bool):
-    """Rows sorted by node and source: pairs them one after the other; leaves at most one unsettled row a node and source."""
+def _settle(seed: int):
+    """Rows sorted by source and node: pairs them one after the other; leaves at most one unsettled row a node, none at a root."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, key = None, None
@@ -53,12 +54,12 @@ def _settle(seed: int, root: bool):
             return row | {"part": 0.0, "copies": row["copies"] + int(whole), "settled": True}
 
         def left(row: dict) -> dict:
-            return done(row, round(row["part"])) if root else row
+            return done(row, round(row["part"])) if row["nodes"] == 1 else row
 
         for batch in batches:
             out = []
             for row in batch.to_pylist():
-                if (at := (row["node"], row["source"])) != key:
+                if (at := (row["source"], row["node"])) != key:
                     if held is not None:
                         out.append(left(held))
                     held, key = None, at
@@ -85,8 +86,8 @@ def _settle(seed: int, root: bool):
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """``source, source_size, target`` from ``source, size``: weights repeat over the sources in code-point order, null last."""
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    """``source, source_size, source_rows, target`` from ``source, size``: weights repeat over the sources in code-point order, null last."""
+    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_rows"))
     ordered = cut(per.orderBy(F.col("source").asc_nulls_last()).withColumn("at", F.monotonically_increasing_id()))
     first, counts = 0, {}
     for part, n in sorted(map(tuple, ordered.groupBy(F.shiftright("at", 33).alias("p")).count().collect())):  # a row a partition
@@ -105,29 +106,28 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share
             break
         held, level = n, (total - (capped or 0.0)) / open_weight
     target = F.least(full, F.lit(level or 0.0) * F.col("weight"))
-    return weighed.select("source", "source_size", target.cast("double").alias("target"))
+    return weighed.select("source", "source_size", "source_rows", target.cast("double").alias("target"))
 
 
-def mix(docs: DataFrame, seed: int = 7, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
+def mix(docs: DataFrame, seed: int = 7, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """``doc_id, source, size, source_size, target, copies, taken`` for every document."""
     sized = cut(docs.select(F.col("doc_id").cast("long"), "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")))
     targets = source_targets(sized, weights, share, most).withColumnRenamed("source", "of")
-    leaves = parts_for(sized.count(), LEAF_ROWS)
+    most_nodes, rows = (x or 1 for x in targets.agg(F.max(F.ceil(F.col("source_rows") / leaf_rows)), F.sum("source_rows")).first())
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    state = sized.join(targets, sized["source"].eqNullSafe(targets["of"])).select(
-        "doc_id", "source", "size", "source_size", "target", F.pmod(F.xxhash64("doc_id", "size"), F.lit(leaves)).alias("node"),
+    state = sized.join(targets, sized["source"].eqNullSafe(targets["of"])).withColumn("nodes", F.ceil(F.col("source_rows") / leaf_rows)).select(
+        "doc_id", "source", "size", "source_size", "target", "nodes", F.pmod(F.xxhash64("doc_id", "size"), F.col("nodes")).alias("node"),
         F.when(F.col("size") > 0, ratio - F.floor(ratio)).otherwise(0.0).alias("part"), F.floor(ratio).cast("long").alias("copies"), F.lit(False).alias("settled"),
     )
     settled = []
     while True:
-        root = leaves == 1
-        spread = state.repartition(max(1, min(leaves, 4096)), "node").sortWithinPartitions("node", "source", F.desc("size"), "doc_id")
-        level = cut(spread.mapInArrow(_settle(seed, root), STATE))
+        spread = state.repartition(min(parts_for(rows, leaf_rows), 4096), "source", "node").sortWithinPartitions("source", "node", F.desc("size"), "doc_id")
+        level = cut(spread.mapInArrow(_settle(seed), STATE))
         settled.append(level.where("settled"))
-        if root:
+        if most_nodes == 1:
             break
-        leaves = parts_for(leaves, FAN_IN)
-        state = level.where("not settled").withColumn("node", F.floor(F.col("node") / FAN_IN).cast("long"))
+        most_nodes, rows = parts_for(most_nodes, FAN_IN), parts_for(rows, leaf_rows / FAN_IN)
+        state = level.where("not settled").withColumn("node", F.floor(F.col("node") / FAN_IN).cast("long")).withColumn("nodes", F.ceil(F.col("nodes") / FAN_IN).cast("long"))
     out = settled[0]
     for more in settled[1:]:
         out = out.unionByName(more)
