@@ -301,7 +301,7 @@ def _search(matcher: Matcher):
 
 def matchers(benchmark: DataFrame, rate: float, recall: float, block: int) -> Iterator[Matcher]:
     """A matcher for each block of about ``block`` items."""
-    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("binary").alias("text"))
+    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("binary").alias("text")).distinct()
     blocks = parts_for(items.count(), block)
     for b in range(blocks):
         mine = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)

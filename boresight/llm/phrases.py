@@ -103,6 +103,8 @@ class Chunk:
 
     def parts(self, buckets: int, bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """(bucket, different short hashes by first place, places of the windows, entry of each place) of each bucket that has some."""
+        if not len(self.hashes):
+            return
         bucket = ((self.hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
         short = self.hashes & np.uint64(_SHORT >> np.uint64(48 - bits))
         order = np.argsort(bucket.astype(np.uint16 if buckets <= 1 << 16 else np.uint32), kind="stable")

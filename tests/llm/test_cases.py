@@ -60,6 +60,16 @@ def test_trie_spills():
     assert len(found) == len(wanted) and {k: tuple(v) for k, v in found} == wanted
 
 
+def test_trie_holds_texts_over_its_budget(spark):
+    for keys in ([b"x" * 9000], [b"x" * 9000, b"x" * 9000 + b"y", b"x" * 4000 + b"z" * 7000, b"q" * 9000, b"x", b""]):
+        trie = exact_dedup.RadixTrie(2000)
+        for i, k in enumerate(keys * 3):
+            trie.put(k, 1, i)
+        assert sorted((k, *v) for k, v in trie.drain()) == sorted((k, 1, i, 3) for i, k in enumerate(keys))
+    texts = spark.createDataFrame([(i, "ab" * (5000 + i % 3)) for i in range(9)], "doc_id long, text string")
+    assert sorted((r.keep_id, r.group_size) for r in exact_dedup.owners(texts, trie_bytes=6000).collect()) == [(0, 3), (1, 3), (2, 3)]
+
+
 def test_simhash(docs, none):
     found = simhash.near_groups(docs).collect()
     wanted = brute.near([t for t in TEXTS if t[0] is not None])
@@ -134,6 +144,18 @@ def test_mixing(docs, none):
     assert mixing.mix(none).count() == 0
 
 
+def test_mixing_of_many_sources_and_a_hot_one(spark):
+    """Leaves of a few rows: a hot source climbs several levels, small sources end at their leaf."""
+    texts = [(i, "w " * (1 + i % 7), "hot" if i % 3 else f"s{i % 50}") for i in range(900)]
+    made = mixing.mix(spark.createDataFrame(texts, "doc_id long, text string, source string"), leaf_rows=100).collect()
+    assert sorted(r.doc_id for r in made) == [i for i, _, _ in texts]
+    for s, (size, target) in brute.targets([(s, t) for _, t, s in texts]).items():
+        mine = [r for r in made if r.source == s]
+        assert {r.source_size for r in mine} == {size} and mine[0].target == pytest.approx(target)
+        assert abs(sum(r.taken for r in mine) - target) <= max(r.size for r in mine) / 2 + 1e-6
+        assert all(r.copies in (int(target / size), int(target / size) + 1) for r in mine if size)
+
+
 def test_pivot_keeps_mass():
     for _ in range(500):
         p, q, a, b = rng.random(), rng.random(), rng.randrange(1, 500), rng.randrange(1, 500)
