@@ -9,8 +9,8 @@ more where backslashes already stand between the two characters, which can be un
 assistant texts.
 
 Cases: null role or text counts as empty; a message whose parent is missing is a root; rows that repeat are turns of their
-own; in a flat conversation equal turn numbers are ordered by role, then text; empty tables give no rows. Messages on a
-parent cycle belong to no path. Extra columns are ignored.
+own; in a flat conversation equal turn numbers are ordered by role, then text; rows without a tree id are one tree; empty
+tables give no rows. Messages on a parent cycle, and those that answer one, belong to no path. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -58,35 +58,40 @@ def parse(formatted: str) -> list[tuple[str, str]]:
 def reply_paths(messages: DataFrame) -> DataFrame:
     """``tree_id, leaf_id, node_id, up`` for every leaf and each message on its way to the root; up 0 is the leaf.
 
-    ``messages(tree_id, node_id, parent_id)``; node ids are unique within a tree.
+    ``messages(tree_id, node_id, parent_id)``; node ids are unique within a tree. The jump tables come first: what still has
+    an ancestor farther away than its tree has messages hangs on a cycle and is left out.
     """
-    nodes = messages.select("tree_id", "node_id", "parent_id")
+    nodes = messages.select(F.struct("tree_id").alias("tree_id"), "node_id", "parent_id")  # a struct equals another one with a null in it
     present = nodes.select("tree_id", F.col("node_id").alias("parent_id"))
     jump = cut(nodes.join(present, ["tree_id", "parent_id"], "left_semi").select("tree_id", "node_id", F.col("parent_id").alias("to_id")))  # one step up
     parents = jump.select("tree_id", F.col("to_id").alias("node_id"))
-    found = cut(nodes.join(parents, ["tree_id", "node_id"], "left_anti").select("tree_id", F.col("node_id").alias("leaf_id"), "node_id", F.lit(0).cast("long").alias("up")))
-    reach = 1
-    while not jump.isEmpty():
-        more = found.join(jump, ["tree_id", "node_id"]).select("tree_id", "leaf_id", F.col("to_id").alias("node_id"), (F.col("up") + reach).alias("up"))
-        found = cut(found.unionByName(more))
+    largest = nodes.groupBy("tree_id").count().agg(F.max("count")).first()[0] or 0
+    jumps, reach = [], 1
+    while reach <= largest and not jump.isEmpty():
+        jumps.append((reach, jump))
         onward = jump.select("tree_id", F.col("node_id").alias("to_id"), F.col("to_id").alias("far_id"))
-        jump = cut(jump.join(onward, ["tree_id", "to_id"]).where("node_id <> far_id").select("tree_id", "node_id", F.col("far_id").alias("to_id")))
+        jump = cut(jump.join(onward, ["tree_id", "to_id"]).select("tree_id", "node_id", F.col("far_id").alias("to_id")))
         reach *= 2
-        if reach > 1 << 40:
-            raise ValueError("reply_paths: the parents form a cycle")
-    return found
+    leaves = nodes.join(parents, ["tree_id", "node_id"], "left_anti").join(jump, ["tree_id", "node_id"], "left_anti")
+    found = cut(leaves.select("tree_id", F.col("node_id").alias("leaf_id"), "node_id", F.lit(0).cast("long").alias("up")))
+    for reach, jump in jumps:
+        more = found.join(jump, ["tree_id", "node_id"]).select("tree_id", "leaf_id", F.col("to_id").alias("node_id"), (F.col("up") + reach).alias("up"))
+        found = cut(found.unionByName(more))
+    return found.select("tree_id.tree_id", "leaf_id", "node_id", "up")
 
 
 def choose_paths(messages: DataFrame, top: int | None = 1) -> DataFrame:
     """``tree_id, leaf_id, node_id, up, role, text`` of the ``top`` branches of each tree by mean score (None: all)."""
-    paths = reply_paths(messages)
-    full = paths.join(messages.select("tree_id", "node_id", "role", "text", F.coalesce("score", F.lit(0.0)).alias("score")), ["tree_id", "node_id"])
+    tree = F.struct("tree_id").alias("tree_id")
+    paths = reply_paths(messages).select(tree, "leaf_id", "node_id", "up")
+    full = paths.join(messages.select(tree, "node_id", "role", "text", F.coalesce("score", F.lit(0.0)).alias("score")), ["tree_id", "node_id"])
+    plain = lambda df: df.select("tree_id.tree_id", "leaf_id", "node_id", "up", "role", "text")
     if top is None:
-        return full.drop("score")
+        return plain(full)
     ranked = full.groupBy("tree_id", "leaf_id").agg(F.avg("score").alias("mean"))
     order = Window.partitionBy("tree_id").orderBy(F.desc("mean"), "leaf_id")
     best = ranked.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top).select("tree_id", "leaf_id")
-    return full.join(best, ["tree_id", "leaf_id"], "left_semi").drop("score")
+    return plain(full.join(best, ["tree_id", "leaf_id"], "left_semi"))
 
 
 FORMATTED = pa.schema([("conv_id", pa.int64()), ("leaf_id", pa.int64()), ("formatted", pa.string()), ("loss", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])

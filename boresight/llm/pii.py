@@ -1,7 +1,7 @@
 """Personal data by anchor expansion.
 
 One Aho-Corasick pass finds anchors: at-signs, plus signs, digits, URL schemes, and cue words of accounts and streets. Local
-parsers expand each anchor to the span around it and validate it: e-mail, IP, card (Luhn) and phone spans are the base
+parsers expand each anchor (an IBAN from its first digit, wherever it stands) to the span around it and validate it: e-mail, IP, card (Luhn) and phone spans are the base
 kinds, in the contract's grammar; url, iban (mod 97), account and address spans are added by the same means. A text is
 read once, whole, by one task; there is no shuffle.
 
@@ -33,7 +33,7 @@ QUAD = re.compile(r"([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 URL = re.compile(r"(?:https?|ftp)://[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+(?::[0-9]{1,5})?(?:/[^\x00-\x20\"'<>]*+)?")
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}+(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 ACCOUNT = re.compile(r"(?: *(?:number|no\.?|nr\.?|id))? *[:=#]? *([0-9][0-9-]{4,20}[0-9])(?![0-9])")
 STREET_BEFORE = re.compile(r"(?<![0-9])[0-9]{1,5} (?:[A-Z][a-z]{1,20} ){0,2}[A-Z][a-z]{1,20}$")
 STREET_AFTER = re.compile(r"(?:[A-Za-z]{1,20} ){0,3}[A-Za-z]{1,20},? [0-9]{1,5}(?![0-9])")
@@ -41,7 +41,7 @@ STREET_AFTER = re.compile(r"(?:[A-Za-z]{1,20} ){0,3}[A-Za-z]{1,20},? [0-9]{1,5}(
 
 def _automaton() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
-    for what, cues in (("at", "@"), ("plus", "+"), ("digit", "0123456789"), ("url", ("http://", "https://", "ftp://")), ("account", ACCOUNT_CUES), ("street", STREET_CUES), ("iban", ("iban",))):
+    for what, cues in (("at", "@"), ("plus", "+"), ("digit", "0123456789"), ("url", ("http://", "https://", "ftp://")), ("account", ACCOUNT_CUES), ("street", STREET_CUES)):
         for cue in cues:
             found.add_word(cue, (what, len(cue)))
     found.make_automaton()
@@ -88,6 +88,10 @@ class Scanner:
         digits = m[0].replace(" ", "").replace("-", "")
         return i, m.end(), 12 <= len(digits) <= 19 and luhn(digits)
 
+    def iban(self, text: str, i: int) -> tuple[int, int, bool] | None:
+        m = IBAN.match(text, i)
+        return m and (i, m.end(), mod97(m[0].replace(" ", "")))
+
     def phone(self, text: str, i: int) -> tuple[int, int, bool] | None:
         if not (m := PHONE.match(text, i)):
             return None
@@ -97,13 +101,10 @@ class Scanner:
         if what == "url":
             m = URL.match(text, start)
             return m and (start, m.end(), True)
-        if what == "iban":
-            m = IBAN.search(text, end, end + 60)
-            return m and (m.start(), m.end(), mod97(m[0].replace(" ", "")))
         if what == "account":
             m = ACCOUNT.match(text, end)
             return m and (m.start(1), m.end(1), True)
-        if m := STREET_BEFORE.search(text[max(0, start - 80) : start]):
+        if m := STREET_BEFORE.search(text[max(0, start - 80) : start]):  # the pattern spans 72 characters at most
             return start - len(m[0]), end, True
         m = STREET_AFTER.match(text, end) if text[start : start + 1].isupper() else None
         return m and (start, m.end(), True)
@@ -130,6 +131,8 @@ class Scanner:
                     put("ip", self.ip(text, start))
                 if start >= free["card"]:
                     put("card", self.card(text, start))
+                if start - 2 >= free["iban"] and text[start - 1].isupper():
+                    put("iban", self.iban(text, start - 2))
             elif what == "at":
                 put("email", self.email(text, start, free["email"]))
             elif what == "plus":

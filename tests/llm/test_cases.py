@@ -243,6 +243,17 @@ def test_reply_trees(spark):
     assert [t for _, t in chat.parse(next(r.formatted for r in formatted if r.leaf_id == 6))] == ["m1", "m3", "m5", "m6"]
 
 
+def test_cycles_and_missing_trees(spark):
+    """Cycles of any length end soon and give nothing, nor does what answers them; rows without a tree id are one tree."""
+    edges = [(4, 1, 3), (4, 2, 1), (4, 3, 2), (4, 8, 3), (4, 9, 8), (4, 20, None), (4, 21, 20), (None, 1, None), (None, 2, 1), (5, 1, 1)]
+    messages = spark.createDataFrame([(t, n, p, "user", f"m{n}", None) for t, n, p in edges], "tree_id long, node_id long, parent_id long, role string, text string, score double")
+    found = sorted((r.tree_id is None, r.leaf_id, r.up, r.node_id) for r in chat.choose_paths(messages, None).collect())
+    assert found == [(False, 21, 0, 21), (False, 21, 1, 20), (True, 2, 0, 2), (True, 2, 1, 1)]
+    flat = spark.createDataFrame([(None, 0, "user", "a"), (None, 1, "assistant", "b"), (3, 0, None, None)], "conv_id long, turn long, role string, text string")
+    made = {r.conv_id: (r.n_turns, r.loss_chars) for r in chat.read_back(chat.format_paths(chat.choose_paths(chat.as_tree(flat)))).collect()}
+    assert made == {None: (2, 1), 3: (1, 0)}
+
+
 def test_template_is_reversible():
     for _ in range(400):
         turns = [("".join(rng.choice("<|\\im_start>end\n a") for _ in range(rng.randrange(12))), "".join(rng.choice("<|\\im_start>end\n a") for _ in range(rng.randrange(40)))) for _ in range(3)]
