@@ -2,9 +2,11 @@
 
 Three base grammars give assignments, access keys and hex runs. Each value that stands in a credential context, whatever its
 form, is further rated by how many guesses an informed attacker needs: dynamic programming finds the cheapest segmentation
-into dictionary words, dates, repeats, keyboard walks and brute-force spans (log10 guesses, additive over segments).
+into dictionary words, dates, repeats, keyboard walks and brute-force spans (log10 guesses, additive over segments). The
+dictionary is learnt: the ``LEARNT`` commonest words of all documents, behind a few words of passwords.
 Values at or over ``strong`` are added as ``guess`` spans: they are too costly to be prose or a placeholder. Cheap ones
-(``password: monkey1``) are reported as ``weak`` spans. A text is read once, whole, by one task; there is no shuffle.
+(``password: monkey1``) are reported as ``weak`` spans. A text is scanned once, whole, by one task; only word counts are
+shuffled.
 
 Cases: null or empty text has no span; a base match that is too short is dropped but still consumes its characters; rows
 that repeat are scanned each. Extra columns are ignored.
@@ -15,6 +17,8 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
+from collections.abc import Callable, Mapping
 from itertools import accumulate
 
 import pyarrow as pa
@@ -30,11 +34,14 @@ ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HEX = re.compile(rb"[0-9a-f]{16,}+")
 CUES = (b"passw", b"secret", b"token", b"apikey", b"api_key", b"pwd", b"passphrase", b"credential")
 CONTEXT = re.compile(rb"(?i:(?:password|passwd|pwd|passphrase|secret|token|credential|api_?key))[\"']?(?:\x20+(?i:is|was))?\x20*[:=]?\x20*[\"']?([\x21-\x26\x28-\x7e]{6,})")
-# Common words of passwords, most common first; a word's rank is its cost.
+# Common words of passwords, most common first; they come before the words of the corpus.
 WORDS = tuple("password qwerty dragon monkey letmein football baseball shadow master sunshine princess welcome iloveyou admin login secret hello freedom whatever trustno test guest root changeme default example summer winter spring autumn".split())
+LETTERS = re.compile(rf"(?<![a-z])[a-z]{{4,{16}}}(?![a-z])".encode())
 ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
 DATE = re.compile(r"(?:(?:19|20)[0-9]{2}[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12][0-9]|3[01])|(?:0[1-9]|[12][0-9]|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)[0-9]{2}|(?:19|20)[0-9]{2})")
 LEET = str.maketrans("4@301$57", "aaeoisst")
+RANKS = {w: i + 1 for i, w in enumerate(WORDS)}
+LONGEST, LEARNT = 16, 20_000  # letters of a word, words learnt
 
 
 def _neighbours() -> set[tuple[str, str]]:
@@ -51,42 +58,97 @@ def _neighbours() -> set[tuple[str, str]]:
 NEAR = _neighbours()
 
 
-def guess_cost(value: str, words: tuple[str, ...] = WORDS) -> float:
-    """log10 of the guesses that the cheapest segmentation of ``value`` takes; time grows linearly with its length."""
+class Lane:
+    """Least cost[start] + price(position - start) over the starts given so far, for a price that grows ever more slowly.
+
+    As the price is concave, an older start that has become as good as a newer one stays so. The stack holds, from its top,
+    the starts in the order in which each is the best, so a start is put and taken once.
+    """
+
+    def __init__(self, price: Callable[[int], float], end: int) -> None:
+        self.price, self.end, self.stack = price, end, []  # start, its cost, the last position at which it is the best
+
+    def put(self, start: int, cost: float, now: int) -> None:
+        while self.stack:
+            old, its, until = self.stack[-1]
+            worse = lambda x: cost + self.price(x - start) >= its + self.price(x - old)
+            if until < now:
+                self.stack.pop()
+            elif worse(now):
+                return
+            elif until < self.end and not worse(until):
+                self.stack.pop()
+            else:
+                low, high = now, min(until, self.end) + 1  # not worse, worse
+                while high - low > 1:
+                    mid = (low + high) // 2
+                    low, high = (low, mid) if worse(mid) else (mid, high)
+                self.stack.append((start, cost, low))
+                return
+        self.stack.append((start, cost, self.end))
+
+    def least(self, now: int) -> float:
+        while self.stack and self.stack[-1][2] < now:
+            self.stack.pop()
+        if not self.stack:
+            return math.inf
+        start, cost, _ = self.stack[-1]
+        return cost + self.price(now - start)
+
+
+def stretches(flags: list[bool], least: int) -> list[tuple[int, int]]:
+    """Where runs of at least ``least`` true flags begin and end."""
+    out, begun = [], None
+    for i, flag in enumerate([*flags, False]):
+        if flag and begun is None:
+            begun = i
+        elif not flag and begun is not None:
+            if i - begun >= least:
+                out.append((begun, i))
+            begun = None
+    return out
+
+
+def guess_cost(value: str, words: Mapping[str, int] = RANKS, most: float = math.inf) -> float:
+    """log10 of the guesses that the cheapest segmentation of ``value`` takes, the true minimum where that is below ``most``.
+
+    Segments are words (their rank), dates, walks over neighbouring keys and repeated blocks, from every start and of every
+    length, and single characters by brute force. A block of p characters costs p characters and the count of its copies,
+    so blocks that cost ``most`` alone are left out. Time grows with the length times the block lengths tried.
+    """
     low, n = value.lower(), len(value)
     plain = low.translate(LEET)
-    rank = {w: i + 1 for i, w in enumerate(words)}
-    longest = max(map(len, words), default=0)
     char = math.log10(max(10, 10 * any(c.isdigit() for c in value) + 26 * any(c.islower() for c in value) + 26 * any(c.isupper() for c in value) + 33 * any(not c.isalnum() for c in value)))
     best = [0.0] + [math.inf] * n
-
-    def offer(i: int, j: int, cost: float) -> None:
-        best[j] = min(best[j], best[i] + cost)
-
-    same = walk = 0  # where the run of one character, and of neighbouring keys, that holds i began
+    dates: dict[int, list[tuple[int, float]]] = {}
     for i in range(n):
-        offer(i, i + 1, char)  # one more character by brute force
-        for j in range(i + 3, min(n, i + longest) + 1):
-            for form, more in ((low, 0.0), (plain, 0.3)):
-                if r := rank.get(form[i:j]):
-                    cased = math.log10(2) if value[i:j] != low[i:j] else 0.0
-                    offer(i, j, math.log10(r) + cased + more + 0.3)
         if m := DATE.match(value, i):
-            offer(i, m.end(), math.log10(365 * 120) if len(m[0]) > 4 else math.log10(120))
-        if i and low[i] != low[i - 1]:
-            same = i
-        if i - same >= 2:  # one more character of a run: its length is all there is to guess
-            offer(same, i + 1, char + math.log10(i + 1 - same))
-        if i and (low[i - 1], low[i]) not in NEAR:
-            walk = i
-        if i - walk >= 2:
-            offer(walk, i + 1, math.log10(40) + 0.6 * (i - walk) ** 0.5 + math.log10(i + 1 - walk))
-        for size in (2, 3, 4):  # a block that repeats
-            k = i
-            while low[i : i + size] and low[k + size : k + 2 * size] == low[i : i + size] and k - i < 64:
-                k += size
-            if k > i and len(low[i : i + size]) == size:
-                offer(i, k + size, size * char + math.log10((k - i) // size + 1))
+            dates.setdefault(m.end(), []).append((i, math.log10(365 * 120) if len(m[0]) > 4 else math.log10(120)))
+    opened: dict[int, list[tuple[int, Lane, int, int]]] = {}  # by first end: step of the ends, lane, size of the shortest segment, last end
+
+    def lane(first: int, last: int, shortest: int, step: int, price: Callable[[int], float]) -> None:
+        opened.setdefault(first, []).append((step, Lane(price, last), shortest, last))
+
+    for s, e in stretches([(a, b) in NEAR for a, b in zip(low, low[1:])], 2):  # e is the place of the last key
+        lane(s + 3, e + 1, 3, 1, lambda size: math.log10(40) + 0.6 * (size - 1) ** 0.5 + math.log10(size))
+    for p in range(1, min(n // 2, int(min(most / char, n))) + 1):
+        for s, e in stretches([low[i] == low[i + p] for i in range(n - p)], p):  # of period p from s to e + p
+            for k in range(min(p, e - s - p + 1)):
+                lane(s + k + 2 * p, e + p, 2 * p, p, lambda size, p=p: p * char + math.log10(size / p))
+    for j in range(1, n + 1):
+        cost = best[j - 1] + char
+        for i in range(max(0, j - LONGEST), j - 2):
+            for form, more in ((low, 0.3), (plain, 0.6)):
+                if r := words.get(form[i:j]):
+                    cost = min(cost, best[i] + math.log10(r) + more + (math.log10(2) if value[i:j] != low[i:j] else 0.0))
+        for i, price in dates.get(j, ()):
+            cost = min(cost, best[i] + price)
+        for step, it, shortest, last in opened.pop(j, ()):
+            it.put(j - shortest, best[j - shortest], j)
+            cost = min(cost, it.least(j))
+            if j + step <= last:
+                opened.setdefault(j + step, []).append((step, it, shortest, last))
+        best[j] = cost
     return best[n]
 
 
@@ -99,7 +161,7 @@ def _characters(data: bytes, spans: list[tuple[int, int, int]]) -> list[tuple[in
     return [(at[s], k, at[e]) for s, k, e in spans]
 
 
-def spans_of(data: bytes, strong: float, weak: float) -> list[tuple[int, int, int]]:
+def spans_of(data: bytes, strong: float, weak: float, words: Mapping[str, int] = RANKS) -> list[tuple[int, int, int]]:
     """(start, kind's place in KINDS, end) of all spans of a UTF-8 text, in code points, sorted."""
     found = [(m.start(), 2, m.end()) for m in HEX.finditer(data)]
     if b"AKIA" in data:
@@ -112,7 +174,7 @@ def spans_of(data: bytes, strong: float, weak: float) -> list[tuple[int, int, in
             has_sign = b":" in data[m.start() : m.start(1)] or b"=" in data[m.start() : m.start(1)]
             if len(value) < 6 or not (has_sign or any(c.isdigit() for c in value)):
                 continue  # prose after a cue word
-            cost = guess_cost(value)
+            cost = guess_cost(value, words, strong)
             if cost >= strong or (has_sign and cost < weak):
                 found.append((m.start(1), 3 if cost >= strong else 4, m.start(1) + len(value)))
     return sorted(_characters(data, found)) if found else found
@@ -123,12 +185,26 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
+def ranks(docs: DataFrame, most: int = LEARNT, least_docs: int = 3) -> dict[str, int]:
+    """Ranks of words: ``WORDS``, then the ``most`` words of 4 to ``LONGEST`` letters that most documents hold, of ``least_docs`` at least."""
+
+    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = Counter(w for t in batch.column("text").to_pylist() for w in set(LETTERS.findall(t.lower())))
+        return pa.RecordBatch.from_pydict({"word": pa.array([w.decode() for w in found], pa.string()), "n": pa.array(found.values(), pa.int64())})
+
+    counts = map_batches(docs.select(F.coalesce("text", F.lit("")).cast("binary").alias("text")), count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    learnt = [r.word for r in counts.where(F.col("n") >= least_docs).orderBy(F.desc("n"), "word").limit(most).collect()]
+    return {w: i + 1 for i, w in enumerate(dict.fromkeys([*WORDS, *learnt]))}
+
+
 def find_secrets(docs: DataFrame, strong: float = 12.0, weak: float = 6.0) -> DataFrame:
     """``doc_id``, a count a base kind, the digest of the base spans, all spans as text and as structs."""
     schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, found array<struct<kind:string,start:int,end:int>>"
 
+    words = ranks(docs)
+
     def scan(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [spans_of(t, strong, weak) for t in batch.column("text").to_pylist()]
+        rows = [spans_of(t, strong, weak, words) for t in batch.column("text").to_pylist()]
         base = [[s for s in r if s[1] < len(BASE)] for r in rows]
         counts = {f"n_{kind}": pa.array([sum(s[1] == k for s in r) for r in base], pa.int64()) for k, kind in enumerate(BASE)}
         structs = [[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in r] for r in rows]

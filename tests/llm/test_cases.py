@@ -133,6 +133,48 @@ def test_guess_cost():
     assert secrets.guess_cost("password") < secrets.guess_cost("passw0rd") < secrets.guess_cost("x9Q!v2Lp")
     assert secrets.guess_cost("aaaaaaaaaaaa") < secrets.guess_cost("abababababab") < secrets.guess_cost("kqzvxwjpyfhm")
     assert secrets.guess_cost("qwertyuiop") < 6 > secrets.guess_cost("1987-06-05") and secrets.guess_cost("") == 0
+    assert secrets.guess_cost("abc" * 200) < 8 and secrets.guess_cost("abcde" * 90) < 10
+
+
+def plain_cost(value: str, words: dict[str, int]) -> float:
+    """The same prices over every segment of every start and length."""
+    import math
+
+    low, char = value.lower(), math.log10(max(10, sum(n for n, f in ((10, str.isdigit), (26, str.islower), (26, str.isupper), (33, lambda c: not c.isalnum())) if any(map(f, value)))))
+    best = [0.0]
+    for j in range(1, len(value) + 1):
+        cost = best[j - 1] + char
+        for i in range(j):
+            s, size = low[i:j], j - i
+            for form, more in ((s, 0.3), (s.translate(secrets.LEET), 0.6)):
+                if size >= 3 and form in words:
+                    cost = min(cost, best[i] + math.log10(words[form]) + more + (math.log10(2) if value[i:j] != s else 0))
+            if (m := secrets.DATE.match(value, i)) and m.end() == j:
+                cost = min(cost, best[i] + math.log10(365 * 120 if size > 4 else 120))
+            if size >= 3 and all(p in secrets.NEAR for p in zip(s, s[1:])):
+                cost = min(cost, best[i] + math.log10(40) + 0.6 * (size - 1) ** 0.5 + math.log10(size))
+            for p in range(1, size // 2 + 1):
+                if size % p == 0 and s == s[:p] * (size // p):
+                    cost = min(cost, best[i] + p * char + math.log10(size // p))
+        best.append(cost)
+    return best[-1]
+
+
+def test_guess_cost_is_the_least():
+    words = {"monkey": 3, "key": 40, "pass": 7, "password": 1, "abab": 9}
+    values = ["monkeyuiop", "password1987-06-05qwerty", "abababababc", "xaaaaaaaaaay", "passswerty", "P4ssword!!", "abcabcabcabcab"]
+    values += ["".join(rng.choice(("a", "b", "ab", "key", "monkey", "qwe", "wer", "1990", "X", "9")) for _ in range(rng.randrange(1, 9))) for _ in range(400)]
+    for v in values:
+        assert secrets.guess_cost(v, words) == pytest.approx(plain_cost(v, words)), v
+        least = secrets.guess_cost(v, words, 6.0)
+        assert least == pytest.approx(plain_cost(v, words)) or min(least, plain_cost(v, words)) >= 6.0
+
+
+def test_words_are_learnt(spark):
+    table = spark.createDataFrame([(i, f"Silver lantern {'river' if i else ''} abcdefghijklmnopqrstu") for i in range(4)] + [(9, None)], "doc_id long, text string")
+    known = secrets.ranks(table)
+    assert list(known)[: len(secrets.WORDS)] == list(secrets.WORDS) and {"silver", "lantern", "river"} <= known.keys() and "abcdefghijklmnopqrstu" not in known
+    assert secrets.ranks(table.where("false")) == secrets.RANKS
 
 
 def test_mixing(docs, none):
