@@ -39,7 +39,7 @@ from boresight.llm.common import cut, map_batches, parts_for, text_bytes
 
 WIDTH = 13
 #: Bytes of text a chunk and a task are meant to hold, windows a bucket, and chunks that stream through one copy of a shard.
-CHUNK_BYTES, TASK_BYTES, BUCKET_WINDOWS, SHARD_CHUNKS = 4 << 20, 32 << 20, 2_000_000, 256
+CHUNK_BYTES, TASK_BYTES, BUCKET_WINDOWS, SHARD_CHUNKS = 4 << 20, 32 << 20, 2_000_000, 16
 LAST = np.iinfo(np.int64).max  # stands for a null doc_id
 _BASE = 0x9E3779B97F4A7C15
 _SHORT = np.uint64((1 << 48) - 1)  # bits of a window that travel; the bucket is taken from the upper ones
