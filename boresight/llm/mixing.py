@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from boresight.llm.common import WORD, cut, parts_for
 
 FAN_IN = 64
-LEAF_ROWS = 20_000
+LEAF_ROWS = 5_000
 STATE = "doc_id long, source string, size long, source_size long, target double, nodes long, node long, part double, copies long, settled boolean"
 
 
