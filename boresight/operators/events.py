@@ -5,10 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-FILLED = ("subtype", "md_base", "formation", "npt_h", "mw_sg", "loss_rate_m3ph", "event_date")
 
 
 def severity(subtype_score: Column, npt: Column, outcome: Column, practice: Column) -> Column:
@@ -36,63 +35,57 @@ def split_valid(events: DataFrame, depth: str, total: str, slack: float = 10.0)
     return marked.where("reject_reason IS NULL").drop("reject_reason"), marked.where("reject_reason IS NOT NULL")
 
 
-def merge_runs(rows: list[dict], reach: float, cut: float = 0.8) -> list[dict]:
-    """Fold depth-sorted rows of one group: a row within ``reach`` of the open cluster joins it.
+def merge_events(events: DataFrame, key: list[str], reach: float = 15.0, order: list[str] | None = None, cut: float = 0.8) -> DataFrame:
+    """Cross-document merging of one key's events: neighbours in depth that lie within ``reach`` of a cluster's depth are one event.
 
-    The surer row represents the cluster (the older on ties), its gaps are filled from the other, evidence is pooled and
-    certainty rises by 0.05. The cluster's depth moves with its representative, so this is no gaps-and-islands.
+    A cluster stands where its surest member stands (the earlier one on ties) and every merge raises its certainty by 0.05,
+    so whether a row joins depends on the rows before: no gaps-and-islands. That much is a fold over rows in depth order with
+    four numbers of memory, however large a key is. It gives each row its cluster and its precedence: a surer row goes before
+    all others of the cluster, another one behind them. All else is one aggregate: the first known value by precedence of
+    the other columns ('unknown' outcomes count as not known), pooled ``sources``, ``actions`` in order of precedence,
+    ``flags`` with multi_source. ``events`` has key columns, md, confidence, status, sources, actions, flags and others.
     """
-    done: list[dict] = []
-    for row in rows:
-        open_ = done[-1] if done else None
-        if open_ is None or abs(row["md"] - open_["md"]) > reach:
-            done.append(dict(row))
-            continue
-        first, other = (row, open_) if row["confidence"] > open_["confidence"] else (open_, row)
-        merged = dict(first)
-        for name in FILLED:
-            if name in merged and pd.isna(merged[name]):
-                merged[name] = other[name]
-        merged["sources"] = open_["sources"] + row["sources"]
-        merged["actions"] = list(dict.fromkeys([*first["actions"], *other["actions"]]))
-        merged["flags"] = sorted({*first["flags"], *other["flags"], "multi_source"})
-        merged["confidence"] = round(min(1.0, max(first["confidence"], other["confidence"]) + 0.05), 2)
-        merged["status"] = "auto" if merged["confidence"] >= cut else "needs_review"
-        done[-1] = merged
-    return done
-
-
-def merge_events(events: DataFrame, key: list[str], reach: float = 15.0, order: list[str] | None = None, part: int = 50_000) -> DataFrame:
-    """Cross-document merging of one key's events, in depth order.
-
-    A gap wider than ``reach`` between neighbours ends every cluster, so groups are first cut at such gaps by a window and
-    only the short stretches between are folded: no task ever holds a whole hot key. ``events`` has key columns, md,
-    confidence, status, sources, actions, flags, and any of ``FILLED``.
-    """
-    from pyspark.sql import Window
-
     order = order or ["md", "confidence", "sources"]
-    w = Window.partitionBy(*key).orderBy(*order)
-    stretch = F.sum(F.coalesce((F.col("md") - F.lag("md").over(w) > reach).cast("int"), F.lit(0))).over(w)
-    cut, columns = events.withColumn("__stretch", stretch), events.columns
+    placed = "__cluster long, __place int, __sure double"
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, at = [], None
+        at, cluster, md, sure, front, back = None, 0, 0.0, 0.0, 0, 0
         for pdf in batches:
             out = []
-            for row in pdf.to_dict("records"):
-                here = (*[row[k] for k in key], row.pop("__stretch"))
-                if here != at:
-                    out += merge_runs(held, reach)
-                    held, at = [], here
-                row = {k: (list(v) if hasattr(v, "tolist") else v) for k, v in row.items()}
-                held = merge_runs([*held, row], reach) if not held else held[:-1] + merge_runs([held[-1], row], reach)
-            if out:
-                yield pd.DataFrame(out, columns=columns)
-        if held:
-            yield pd.DataFrame(held, columns=columns)
-
-    return cut.repartition(*[F.col(k) for k in key], F.col("__stretch")).sortWithinPartitions(*key, "__stretch", *order).mapInPandas(fold, events.schema)
+            for *here, depth, certainty in zip(*(pdf[k] for k in key), pdf["__md"], pdf["__confidence"]):
+                if here != at or abs(depth - md) > reach:
+                    at, cluster, md, sure, front, back, place = here, cluster + 1, depth, certainty, 0, 0, 0
+                elif certainty > sure:
+                    md, sure, front = depth, min(1.0, certainty + 0.05), front - 1
+                    place = front
+                else:
+                    sure, back = min(1.0, sure + 0.05), back + 1
+                    place = back
+                out.append((cluster, place, sure))
+            made = pd.DataFrame(out, columns=["__cluster", "__place", "__sure"], index=pdf.index)
+            yield pd.concat([pdf[[*key, "__id"]], made], axis=1)
+
+    # The fold sees four columns; the rows themselves meet its answer in the aggregate, by their place in the key.
+    w = Window.partitionBy(*key).orderBy(*order)
+    ranked = events.withColumn("__id", F.row_number().over(w))
+    slim = ranked.select(*key, "__id", F.col("md").cast("double").alias("__md"), F.col("confidence").cast("double").alias("__confidence"))
+    kinds = ", ".join(f"{k} {events.schema[k].dataType.simpleString()}" for k in key)
+    folded = slim.repartition(*key).sortWithinPartitions(*key, "__id").mapInPandas(fold, f"{kinds}, __id int, {placed}")
+    first = lambda x: F.min_by(x, F.when(x.isNotNull(), F.col("__place")))
+    made: dict[str, Column] = {"md": first(F.col("md"))}
+    by_place = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("__place", F.col(c).alias("x")))), lambda s: s["x"])
+    by_depth = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("__id", F.col(c).alias("x")))), lambda s: s["x"])
+    for c in (c for c in events.columns if c not in key):
+        made[c] = first(F.nullif(F.col(c), F.lit("unknown"))) if c == "outcome" else first(F.col(c))
+    made |= {"sources": F.flatten(by_depth("sources")), "actions": F.array_distinct(F.flatten(by_place("actions")))}
+    extra = F.when(F.count("*") > 1, F.array(F.lit("multi_source"))).otherwise(F.array().cast("array<string>"))
+    made["flags"] = F.array_sort(F.array_union(F.array_distinct(F.flatten(F.collect_list("flags"))), extra))
+    made["confidence"] = F.round(F.max_by("__sure", "__id"), 3)
+    made["status"] = F.when(F.count("*") == 1, F.first("status")).when(F.round(F.max_by("__sure", "__id"), 3) >= cut, "auto").otherwise("needs_review")
+    if "outcome" in made:
+        made["outcome"] = F.coalesce(made["outcome"], F.lit("unknown"))
+    both = ranked.join(folded, [*key, "__id"])
+    return both.groupBy(*key, "__cluster").agg(*[x.alias(c) for c, x in made.items()]).select(*events.columns)
 
 
 def overlay_reviews(events: DataFrame, reviews: DataFrame, event_id: str = "event_id") -> DataFrame:

@@ -131,7 +131,7 @@ def alert_timeline(spark: SparkSession, d: str) -> DataFrame:
                     F.when(F.col("value") > 60, F.array(F.lit("LC"))).otherwise(F.array().cast("array<string>")).alias("fired"),
                     F.map_from_arrays(F.array(F.lit("LC")), F.array(F.least(F.col("value") / 100, F.lit(1.0)))).alias("live"))
     zones = [alerts.Zone("LC-2800", "LC", 2800.0, 2830.0, 0.9), alerts.Zone("SP-2900", "SP", 2900.0, 2910.0, 0.6)]
-    return alerts.timeline(feed, zones)
+    return alerts.numbered(alerts.timeline(feed, zones))
 
 
 def merge_mentions(spark: SparkSession, d: str) -> DataFrame:
