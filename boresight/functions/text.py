@@ -152,9 +152,9 @@ def before(text: Column, pattern: str, width: int = 60) -> Column:
     return F.when(at > 0, F.right(F.substring(text, F.lit(1), at - 1), F.lit(width)))
 
 
-def affirmed(text: Column, pattern: str) -> Column:
+def affirmed(text: Column, pattern: str, negator: str = NEGATED) -> Column:
     """Whether the first match of a pattern is there and not negated by the words before it."""
-    return F.coalesce(~before(text, pattern).rlike(NEGATED), F.lit(False))
+    return F.coalesce(~before(text, pattern).rlike(negator), F.lit(False))
 
 
 def tags(text: Column, lexicon: dict[str, str]) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 K1, B = 1.4, 0.75
 OUTCOME_WEIGHT = {"resolved": 1.0, "partial": 0.5, "failed": -0.5, "unknown": 0.2}
-# Words that are no search terms.
+# K1, B and OUTCOME_WEIGHT above, and the words that are no search terms.
 STOP = ("a an and are as at be by for from has have in is it its of on or that the this to was were what when where which who will with").split()
 
 
@@ -19,16 +19,25 @@ def stem(w: Column) -> Column:
     return out
 
 
+def words(text: Column, stop: tuple[str, ...] | list[str] = STOP) -> Column:
+    """Lower-case words that are no stop words, not stemmed."""
+    found = F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9]+(?:-[a-z0-9]+)?"), F.lit(0))
+    return F.filter(found, lambda t: ~t.isin(*stop))
+
+
 def tokens(text: Column, stop: tuple[str, ...] | list[str] = STOP) -> Column:
     """Lower-case terms; stop words go before stemming."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9]+(?:-[a-z0-9]+)?"), F.lit(0))
-    return F.transform(F.filter(found, lambda t: ~t.isin(*stop)), stem)
+    return F.transform(words(text, stop), stem)
+
 
+def postings(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``doc_id, term, tf, doc_len`` of a text column.
 
-def postings(docs: DataFrame, doc_id: str, terms: Column) -> DataFrame:
-    """``doc_id, term, tf, doc_len``. The length is taken before the explode: beside it, Spark would split the text again for each term."""
-    listed = docs.select(doc_id, terms.alias("__terms")).select(doc_id, F.size("__terms").alias("doc_len"), "__terms")
-    exploded = listed.select(doc_id, "doc_len", F.explode("__terms").alias("term"))
+    The length is taken before the explode: beside it, Spark would split the text again for each term. Stems are made after
+    it, where the expression is compiled.
+    """
+    listed = docs.select(doc_id, words(F.col(text)).alias("__terms")).select(doc_id, F.size("__terms").alias("doc_len"), "__terms")
+    exploded = listed.select(doc_id, "doc_len", F.explode("__terms").alias("word")).select(doc_id, "doc_len", stem(F.col("word")).alias("term"))
     return exploded.groupBy(doc_id, "term", "doc_len").agg(F.count("*").alias("tf"))
 
 

@@ -44,13 +44,14 @@ EVENT_BRIEF = "SELECT lang well_id, 'PR' family, doc_id, CASE WHEN doc_id % 5 =
 
 
 def quote_provenance(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that hold a benchmark passage word for word: they meet on runs of words, then the whole passage decides."""
-    width = 6
-    runs = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.size(c) - width + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(c, i, width), " ")))
-    items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("quote"), F.split("text", " ").alias("w")).where(F.size("w") >= width)
-    asked = items.select("item_id", "quote", F.element_at(runs(F.col("w")), 2).alias("run"), F.size("w").alias("n")).where(F.col("n") > width)
-    docs = table(spark, d, "documents").select("doc_id", "text", F.explode(F.array_distinct(runs(F.split("text", r"\s")))).alias("run"))
-    return docs.join(asked, "run").where(F.contains("text", "quote")).select("item_id", "doc_id", (F.instr("text", F.col("quote")) - 1).alias("start")).distinct()
+    """Documents that hold a benchmark passage word for word: they meet on the passage's longest inner word, then all of it decides."""
+    cut = lambda c: F.split(c, r"\s")
+    inner = F.slice(cut("text"), F.lit(2), F.greatest(F.size(cut("text")) - 2, F.lit(0)))
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("word"))))["word"]
+    asked = table(spark, d, "benchmark").select("item_id", F.col("text").alias("quote"), longest.alias("word")).where("word IS NOT NULL")
+    met = table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(cut("text"))).alias("word")).join(asked, "word")
+    both = met.join(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    return both.where(F.contains("text", "quote")).select("item_id", "doc_id", (F.instr("text", F.col("quote")) - 1).alias("start"))
 
 
 QUOTE_PROVENANCE = "SELECT item_id, doc_id, (instr(d.text, b.text) - 1)::INT AS start FROM benchmark b JOIN documents d ON contains(d.text, b.text)"
@@ -203,13 +204,13 @@ def recommendations(spark: SparkSession, d: str) -> DataFrame:
     from boresight.operators import retrieval
 
     lines = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    sim = F.round((1 - F.col("l_discount")) * (1 - F.col("l_tax")), 6)
+    sim = F.floor((1 - F.col("l_discount")) * (1 - F.col("l_tax")) * 1000 + 0.0001) / 1000
     cases = lines.select("p_brand", F.col("p_type").alias("action"), sim.alias("sim"), (F.col("l_returnflag") == "R").alias("exact"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.when(F.col("l_linenumber") % 3 == 0, "failed").when(F.col("l_linenumber") % 3 == 1, "resolved").otherwise("unknown").alias("outcome"), F.col("l_quantity").alias("cost"))
     ranked = retrieval.rank_actions(questions.choose_cases(cases, ["p_brand"], "sim", "exact", "id"), ["p_brand"], 4)
     return ranked.withColumn("verdict", questions.verdict(F.col("score"), F.col("success")))
 
 
-RECOMMENDATIONS = """WITH c AS (SELECT p_brand, p_type AS action, round((1 - l_discount) * (1 - l_tax), 6) sim, l_returnflag = 'R' exact, l_orderkey * 10 + l_linenumber id, l_linenumber % 3 o, l_quantity cost FROM lineitem JOIN part ON l_partkey = p_partkey),
+RECOMMENDATIONS = """WITH c AS (SELECT p_brand, p_type AS action, floor((1 - l_discount) * (1 - l_tax) * 1000 + 0.0001) / 1000 sim, l_returnflag = 'R' exact, l_orderkey * 10 + l_linenumber id, l_linenumber % 3 o, l_quantity cost FROM lineitem JOIN part ON l_partkey = p_partkey),
 m AS (SELECT *, count(*) FILTER (exact) OVER (PARTITION BY p_brand) x FROM c), k AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY sim DESC, id) n FROM m WHERE exact OR x < 3),
 a AS (SELECT p_brand, action, round(sum(sim * CASE o WHEN 0 THEN -0.5 WHEN 1 THEN 1.0 ELSE 0.2 END), 4) score, count(*) n, count(*) FILTER (o = 1) resolved, 0::BIGINT partial, count(*) FILTER (o = 0) failed, round(median(cost) FILTER (cost > 0), 4) median_cost FROM k WHERE n <= 25 GROUP BY 1, 2),
 r AS (SELECT *, round(resolved / n, 4) success, (row_number() OVER (PARTITION BY p_brand ORDER BY score DESC, action))::INT place FROM a)

@@ -17,7 +17,7 @@ posted AS (SELECT doc_id, doc_len, {_STEM} term, count(*) tf FROM e GROUP BY 1,
 
 
 def _posted(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.postings(table(spark, d, "documents"), "doc_id", retrieval.tokens(F.col("text")))
+    return retrieval.postings(table(spark, d, "documents"), "doc_id", "text")
 
 
 def corpus_idf(spark: SparkSession, d: str) -> DataFrame:
@@ -32,7 +32,7 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     """The five best documents for the terms of each benchmark item."""
     items = table(spark, d, "benchmark")
     asked = items.select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(retrieval.tokens(F.col("text")))).alias("term"), F.lit(1.0).alias("weight"))
-    stats = table(spark, d, "documents").agg(F.count("*").alias("n_docs"), F.avg(F.size(retrieval.tokens(F.col("text")))).alias("avg_len"))
+    stats = table(spark, d, "documents").agg(F.count("*").alias("n_docs"), F.avg(F.size(retrieval.words(F.col("text")))).alias("avg_len"))
     return retrieval.bm25(_posted(spark, d), stats, asked, "doc_id", 5).select("query_id", "doc_id", "score", "place")
 
 
@@ -67,13 +67,28 @@ def type_tags(spark: SparkSession, d: str) -> DataFrame:
 TYPE_TAGS = "SELECT doc_id, concat_ws(',', " + ", ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN '{n}' END" for n, p in LEXICON.items()) + ") tags FROM documents"
 
 
+# Blanks instead of word borders, which the two regular expression engines place differently beside letters with marks.
+_WORD, _DENIED = r"(?:^|[ \n])(?:the|die|que|le)(?:[ \n]|$)", r"(?:^|[ \n])(no|nil|without|not|never|zero|ni|und)(?:[ \n]+[a-z]+){0,3}[ \n]*$"
+
+
 def negated_terms(spark: SparkSession, d: str) -> DataFrame:
-    word = r"\b(the|die|que|le)\b"
-    return table(spark, d, "documents").where(F.col("text").rlike(word)).select("doc_id", text.affirmed(F.col("text"), word).alias("affirmed"))
+    return table(spark, d, "documents").select("doc_id", text.affirmed(F.col("text"), _WORD, _DENIED).alias("affirmed"))
+
+
+NEGATED_TERMS = rf"""WITH p AS (SELECT doc_id, regexp_matches(text, '{_WORD}') has, regexp_extract(text, '(?s)^(.*?){_WORD}', 1) before FROM documents)
+SELECT doc_id, coalesce(has AND NOT regexp_matches(right(before, 60), '{_DENIED}'), false) affirmed FROM p"""
 
 
 def unit_numbers(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.size(text.depth_mentions(F.col("text"))).alias("n_depths"))
+    return table(spark, d, "documents").select("doc_id", F.greatest(F.size(text.depth_mentions(F.col("text"))), F.lit(0)).alias("n_depths"))
+
+
+_MEASURE = rf"(?:({text.DIGITS})\s*({text.UNITS})?\s*(?:-|to|up to)\s*)?({text.DIGITS})\s*({text.UNITS})(?:[^A-Za-z0-9/]|$)".replace("'", "''")
+_PLAIN = "TRY_CAST(CASE WHEN regexp_matches({0}, '^[0-9]{{1,2}}[.,][0-9]{{3}}$') THEN replace(replace({0}, ',', ''), '.', '') ELSE replace({0}, ',', '') END AS DOUBLE) * CASE WHEN lower({1}) IN ('ft', 'feet', chr(39)) THEN 0.3048 ELSE 1 END"
+UNIT_NUMBERS = f"""WITH m AS (SELECT doc_id, {', '.join(f"unnest(regexp_extract_all(text, '{_MEASURE}', {k})) g{k}" for k in (1, 2, 3, 4))} FROM documents),
+v AS (SELECT doc_id, g1, g2, {_PLAIN.format("g1", "coalesce(nullif(g2, ''), g4)")} a, {_PLAIN.format("g3", "g4")} b FROM m),
+n AS (SELECT doc_id, sum(CASE WHEN g1 <> '' AND a BETWEEN 100 AND 7000 AND b BETWEEN a AND 7000 THEN 1 ELSE (g1 <> '' AND g2 <> '' AND a BETWEEN 100 AND 7000)::INT + (b BETWEEN 100 AND 7000)::INT END)::INT n FROM v GROUP BY 1)
+SELECT doc_id, coalesce(n, 0)::INT n_depths FROM documents LEFT JOIN n USING (doc_id)"""
 
 
 def html_text_usable(spark: SparkSession, d: str) -> DataFrame:
