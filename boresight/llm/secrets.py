@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boresight.llm.common import map_batches
+from boresight.llm.common import cut, map_batches
 
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "guess", "weak")
@@ -193,7 +193,8 @@ def ranks(docs: DataFrame, most: int = LEARNT, least_docs: int = 3) -> dict[str,
         return pa.RecordBatch.from_pydict({"word": pa.array([w.decode() for w in found], pa.string()), "n": pa.array(found.values(), pa.int64())})
 
     counts = map_batches(docs.select(F.coalesce("text", F.lit("")).cast("binary").alias("text")), count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    learnt = [r.word for r in counts.where(F.col("n") >= least_docs).orderBy(F.desc("n"), "word").limit(most).collect()]
+    top = cut(counts.where(F.col("n") >= least_docs).orderBy(F.desc("n"), "word").limit(most))  # merged by a task: the driver gets ``most`` rows
+    learnt = [r.word for r in sorted(top.collect(), key=lambda r: (-r.n, r.word))]
     return {w: i + 1 for i, w in enumerate(dict.fromkeys([*WORDS, *learnt]))}
 
 
