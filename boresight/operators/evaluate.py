@@ -8,6 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from boresight.operators import features
+
+CONFUSABLE = {"SP": "TQ", "TQ": "SP"}  # fixed values: families whose signs overlap
 
 def ndcg(ranked: DataFrame, group: str, gain: str, score: list[Column], k: int = 5) -> DataFrame:
     """NDCG at ``k`` of each group; groups without gain have 0."""
@@ -46,6 +49,21 @@ def choose_threshold(rates: DataFrame, most: float = 2.0) -> DataFrame:
     return rates.groupBy("family").agg(F.coalesce(good, F.min_by("threshold", F.struct("false_per_day", "threshold"))).alias("threshold"))
 
 
+def false_alarm_rates(scored: DataFrame, thresholds: list[float], every_s: float = 10.0) -> DataFrame:
+    """``family, threshold, false_per_day`` over segments that are neither of the family nor of one that looks like it.
+
+    ``scored(segment, kind, family, t, p)`` has a row each ``every_s`` seconds; an alarm is the second row in a row at the
+    threshold. A segment without a kind counts for all families. Each segment is ordered alone.
+    """
+    alike = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in CONFUSABLE.items() for x in kv]), F.col("family")), F.lit(""))
+    kept = scored.where(F.col("kind").isNull() | ((F.col("kind") != F.col("family")) & (F.col("kind") != alike)))
+    tried = kept.withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds))))
+    second = F.col("streak") == 2
+    counted = features.streaks(tried, ["segment", "family", "threshold"], "t", F.col("p") >= F.col("threshold"))
+    rates = counted.groupBy("family", "threshold").agg(F.count_if(second).alias("alarms"), F.count("*").alias("n"))
+    return rates.select("family", "threshold", (F.col("alarms") / F.greatest(F.col("n") * every_s / 3600, F.lit(1e-6)) * 24).alias("false_per_day"))
+
+
 def greedy_match(truth: DataFrame, found: DataFrame, key: list[str], reach: float) -> DataFrame:
     """One-to-one matches within ``reach``: truths in ``ord`` order, each takes its nearest unused find (least id on ties).
 

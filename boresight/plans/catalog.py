@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from boresight.plans import records, sequences, spatial, texts
+from boresight.plans import records, reports, sequences, spatial, texts
 
-PARTS = (spatial, sequences, texts, records)
+PARTS = (spatial, sequences, texts, records, reports)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
