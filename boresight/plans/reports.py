@@ -25,7 +25,7 @@ SELECT f || '-' || o_orderkey doc_id, well_id, CASE o_orderkey % 3 WHEN 0 THEN '
 
 
 def recovered_text(spark: SparkSession, d: str) -> DataFrame:
-    """Documents whose spaces before every seventh letter pair are lost, repaired by the vocabulary of the documents as they are."""
+    """Documents that lost spaces before words on a to f, repaired by the vocabulary of the documents as they are."""
     docs = table(spark, d, "documents").select("doc_id", "text")
     torn = docs.withColumn("text", F.regexp_replace("text", r"(?<=[a-z]{3}) (?=[a-f][a-z]{2})", ""))
     return reading.recovered(torn, reading.word_counts(docs), ["doc_id"]).select("doc_id", F.sha2("text", 256).alias("text_sha256"), F.length("text").alias("n_chars"))
