@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,6 +13,7 @@ from boresight.operators import features
 
 CONFUSABLE = {"SP": "TQ", "TQ": "SP"}  # fixed values: families whose signs overlap
 
+
 def ndcg(ranked: DataFrame, group: str, gain: str, score: list[Column], k: int = 5) -> DataFrame:
     """NDCG at ``k`` of each group; groups without gain have 0."""
     best = F.row_number().over(Window.partitionBy(group).orderBy(F.desc(gain)))
@@ -64,11 +66,20 @@ def false_alarm_rates(scored: DataFrame, thresholds: list[float], every_s: float
     return rates.select("family", "threshold", (F.col("alarms") / F.greatest(F.col("n") * every_s / 3600, F.lit(1e-6)) * 24).alias("false_per_day"))
 
 
+def _follow(links: list[int], i: int) -> int:
+    """Where the links from ``i`` end; the path is shortened on the way."""
+    while links[i] != i:
+        links[i] = links[links[i]]
+        i = links[i]
+    return i
+
+
 def greedy_match(truth: DataFrame, found: DataFrame, key: list[str], reach: float) -> DataFrame:
     """One-to-one matches within ``reach``: truths in ``ord`` order, each takes its nearest unused find (least id on ties).
 
     Finds farther apart than ``reach`` from every other row never compete, so each key's axis is cut at such gaps and each
-    stretch is matched alone: the hot key is not one group. ``truth(key, ord, at)``, ``found(key, id, at)``.
+    stretch is matched alone, in time n log n. A stretch is held by one task: a key with rows closer than ``reach`` all along
+    is one stretch. ``truth(key, ord, at)``, ``found(key, id, at)``.
     """
     t = truth.select(*key, F.lit(0).alias("side"), F.col("ord").cast("long").alias("n"), F.col("at").cast("double"))
     f = found.select(*key, F.lit(1).alias("side"), F.col("id").cast("long").alias("n"), F.col("at").cast("double"))
@@ -79,13 +90,25 @@ def greedy_match(truth: DataFrame, found: DataFrame, key: list[str], reach: floa
         held, at = [], None
 
         def solve() -> list[tuple]:
-            finds = [(x, n) for s, n, x in held if s == 1]
-            used, out = set(), []
+            places = sorted({x for s, _, x in held if s == 1})
+            free = [[] for _ in places]  # the unused finds at a place, least id last
+            for n, x in sorted(((n, x) for s, n, x in held if s == 1), reverse=True):
+                free[bisect_left(places, x)].append(n)
+            # Beside each place the nearest one, itself included, that may have unused finds; one more on either side stands for none.
+            after, before = list(range(len(places) + 1)), list(range(len(places) + 1))
+            out = []
             for _, n, x in sorted((r for r in held if r[0] == 0), key=lambda r: r[1]):
-                near = [(abs(fx - x), fn) for fx, fn in finds if fn not in used and abs(fx - x) <= reach]
-                if near:
-                    d, fn = min(near)
-                    used.add(fn)
+                k = bisect_left(places, x)
+                near = []
+                if (right := _follow(after, k)) < len(places):
+                    near.append((abs(places[right] - x), free[right][-1], right))
+                if (left := _follow(before, k)) > 0:  # shifted by one
+                    near.append((abs(places[left - 1] - x), free[left - 1][-1], left - 1))
+                if near and (best := min(near))[0] <= reach:
+                    d, fn, i = best
+                    free[i].pop()
+                    if not free[i]:
+                        after[i], before[i + 1] = i + 1, i
                     out.append((*at[:-1], n, fn, d))
             return out
 

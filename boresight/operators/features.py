@@ -69,6 +69,13 @@ def drilling_exponent(rop: Column, rpm: Column, wob: Column, ecd: Column) -> Col
     return F.when((up > 0) & (down > 0) & (down != 1), F.log10(up) / F.log10(down) * 1.03 / F.greatest(ecd, F.lit(0.9)))
 
 
+def beside(rows: DataFrame, other: DataFrame, on: list[str]) -> DataFrame:
+    """``rows`` with the further columns of the row of ``other`` whose ``on`` columns are the same, null like null; null without one."""
+    renamed = other.select(*[F.col(c).alias(f"__o_{c}" if c in on else c) for c in other.columns])
+    same = [F.col(c).eqNullSafe(F.col(f"__o_{c}")) for c in on]
+    return rows.join(renamed, same, "left").drop(*[f"__o_{c}" for c in on])
+
+
 def numbered(records: DataFrame, key: list[str], order: str, width: int | None = None) -> DataFrame:
     """Adds ``__n``, the row's place in its key by ``order``.
 
@@ -80,11 +87,8 @@ def numbered(records: DataFrame, key: list[str], order: str, width: int | None =
     ranged = records.withColumn("__range", F.floor(F.col(order) / width))
     counts = ranged.groupBy(*key, "__range").count()
     before = counts.withColumn("__before", F.sum("count").over(Window.partitionBy(*key).orderBy("__range")) - F.col("count")).drop("count")
-    for k in [*key, "__range"]:
-        before = before.withColumnRenamed(k, f"__b_{k}")
-    same = [F.col(k).eqNullSafe(F.col(f"__b_{k}")) for k in [*key, "__range"]]
     place = F.row_number().over(Window.partitionBy(*key, "__range").orderBy(order)) + F.col("__before")
-    return ranged.join(before, same).withColumn("__n", place).drop("__range", "__before", *[f"__b_{k}" for k in [*key, "__range"]])
+    return beside(ranged, before, [*key, "__range"]).withColumn("__n", place).drop("__range", "__before")
 
 
 def buffered(records: DataFrame, key: list[str], order: str, fields: list[str], size: int = BUFFER, block: int = 4096, width: int | None = None) -> DataFrame:
@@ -130,21 +134,34 @@ def add_features(framed: DataFrame, buffer: str = "buffer", overpull: str = "ove
     return df.select(*kept, *[x.alias(n) for n, x in made.items()])
 
 
-def run_overpull(records: DataFrame, key: list[str], order: str, off: Column, value: str) -> DataFrame:
+def run_overpull(records: DataFrame, key: list[str], order: str, off: Column, value: str, width: int | None = None, block: int = 4096) -> DataFrame:
     """Adds ``overpull``: when a run of off-bottom records ends, its greatest value over the median of up to four runs before.
 
-    Known from the record after the run, held until the next run ends; needs two runs before.
+    Known from the record after the run, held until the next run ends; needs two runs before. ``order`` is distinct in a key.
+    Runs are counted by ranges of ``order`` of that ``width`` and the counts are added up, and the runs are compared by blocks
+    of ``block`` runs, so a hot key fills many tasks; without a width each key's records are ordered in one task.
     """
-    w = Window.partitionBy(*key).orderBy(order)
-    runs = records.withColumn("__off", off).withColumn("__new", F.coalesce((F.col("__off") != F.lag("__off").over(w)).cast("int"), F.lit(1)))
-    runs = runs.withColumn("__run", F.sum("__new").over(w))
-    top = runs.where("__off").groupBy(*key, "__run").agg(F.max(value).alias("__top"))
-    before = Window.partitionBy(*key).orderBy("__run").rowsBetween(-4, -1)
-    past = F.collect_list("__top").over(before)
-    jump = F.when(F.size(past) >= 2, F.greatest(F.lit(0.0), F.col("__top") - median(past)))
-    jumps = top.select(*key, (F.col("__run") + 1).alias("__run"), jump.alias("__jump"))
-    held = runs.join(jumps, [*key, "__run"], "left")
-    return held.withColumn("overpull", F.coalesce(F.last("__jump", ignorenulls=True).over(w), F.lit(0.0))).select(*records.columns, "overpull")
+    cut = F.floor(F.col(order) / width) if width is not None else F.lit(0)
+    within = Window.partitionBy(*key, "__range").orderBy(order)
+    seen = records.withColumn("__off", F.coalesce(off, F.lit(False))).withColumn("__range", cut)
+    seen = seen.withColumn("__at", F.row_number().over(within)).withColumn("__begins", (F.col("__off") & ~F.coalesce(F.lag("__off").over(within), F.lit(False))).cast("long"))
+    ranges = seen.groupBy(*key, "__range").agg(F.sum("__begins").alias("__begun"), F.bool_or(F.col("__off") & (F.col("__at") == 1)).alias("__head"), F.max_by("__off", "__at").alias("__tail"))
+    across = Window.partitionBy(*key).orderBy("__range")
+    goes_on = (F.col("__head") & F.coalesce(F.lag("__tail").over(across), F.lit(False))).cast("long")
+    base = ranges.withColumn("__fresh", F.col("__begun") - goes_on).select(*key, "__range", (F.sum("__fresh").over(across) - F.col("__begun")).alias("__base"))
+    runs = beside(seen, base, [*key, "__range"]).withColumn("__run", F.sum("__begins").over(within) + F.col("__base"))
+
+    top = runs.where("__off").groupBy(*key, "__run").agg(F.max(value).alias("__top")).withColumn("__own", F.floor((F.col("__run") - 1) / block))
+    spread = top.withColumn("__block", F.explode(F.sequence("__own", F.floor((F.col("__run") + 3) / block))))
+    past = F.collect_list("__top").over(Window.partitionBy(*key, "__block").orderBy("__run").rowsBetween(-4, -1))
+    compared = spread.withColumn("__past", past).where(F.col("__own") == F.col("__block"))
+    jumps = compared.withColumn("__jump", F.when(F.size("__past") >= 2, F.greatest(F.lit(0.0), F.col("__top") - median(F.col("__past")))))
+    ends = jumps.groupBy(*key, "__own").agg(F.max_by("__jump", F.when(F.col("__jump").isNotNull(), F.col("__run"))).alias("__left"))
+    carried = ends.select(*key, "__own", F.last("__left", ignorenulls=True).over(Window.partitionBy(*key).orderBy("__own").rowsBetween(Window.unboundedPreceding, -1)).alias("__carried"))
+    local = F.last("__jump", ignorenulls=True).over(Window.partitionBy(*key, "__own").orderBy("__run"))
+    held = beside(jumps, carried, [*key, "__own"]).select(*key, F.col("__run").alias("__done"), F.coalesce(local, "__carried").alias("__held"))
+    known = beside(runs.withColumn("__done", F.col("__run") - F.col("__off").cast("long")), held, [*key, "__done"])
+    return known.select(*records.columns, F.coalesce("__held", F.lit(0.0)).alias("overpull"))
 
 
 def rules_fired(rules: dict[str, list[tuple[str, bool]]] = RULES, pumping: Column | None = None) -> Column:
@@ -180,14 +197,21 @@ def episodes(rows: DataFrame, key: list[str], order: str, flag: Column, at: int
     return streaks(rows, key, order, flag, "__streak").where(F.col("__streak") == at).drop("__streak")
 
 
-def rate_over(rows: DataFrame, key: list[str], at: str, value: str, span_s: int, least_h: float = 0.05, instant: Column | None = None) -> DataFrame:
-    """Adds ``rate``: change of ``value`` an hour since the oldest row within ``span_s`` seconds; ``instant`` on shorter spans."""
-    seconds = F.col("__s")
-    w = Window.partitionBy(*key).orderBy("__s").rangeBetween(-span_s, 0)
-    old = rows.withColumn("__s", F.unix_micros(F.col(at).cast("timestamp")) / F.lit(1e6)).withColumn("__t0", F.min(seconds).over(w)).withColumn("__v0", F.min_by(value, seconds).over(w))
+def rate_over(rows: DataFrame, key: list[str], at: str, value: str, span_s: int, least_h: float = 0.05, instant: Column | None = None, spans: int = 16) -> DataFrame:
+    """Adds ``rate``: change of ``value`` an hour since the oldest row within ``span_s`` seconds; ``instant`` on shorter spans.
+
+    A key's time is cut into blocks of ``spans`` spans; a row within a span of the next block is seen there too, so a hot key
+    fills many tasks. Rows without a time have ``instant``.
+    """
+    timed = rows.withColumn("__s", F.unix_micros(F.col(at).cast("timestamp")) / F.lit(1e6))
+    seconds, wide = F.col("__s"), span_s * spans
+    blocks = F.coalesce(F.sequence("__own", F.floor((seconds + span_s) / wide)), F.array(F.lit(None).cast("long")))
+    spread = timed.withColumn("__own", F.floor(seconds / wide)).withColumn("__block", F.explode(blocks))
+    w = Window.partitionBy(*key, "__block").orderBy("__s").rangeBetween(-span_s, 0)
+    old = spread.withColumn("__t0", F.min(seconds).over(w)).withColumn("__v0", F.min_by(value, seconds).over(w)).where(F.col("__own").eqNullSafe(F.col("__block")))
     hours = (seconds - F.col("__t0")) / 3600
     rate = F.when(hours > least_h, (F.col(value) - F.col("__v0")) / F.greatest(hours, F.lit(1e-9)))
-    return old.withColumn("rate", F.coalesce(rate, instant) if instant is not None else rate).drop("__s", "__t0", "__v0")
+    return old.withColumn("rate", F.coalesce(rate, instant) if instant is not None else rate).drop("__s", "__t0", "__v0", "__own", "__block")
 
 
 def label_windows(rows: DataFrame, segments: DataFrame, family: str) -> DataFrame:

@@ -28,7 +28,7 @@ def _records(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _features(spark: SparkSession, d: str) -> DataFrame:
-    records = features.run_overpull(_records(spark, d), ["event_type"], "event_id", F.col("on_bottom") == 0, "hookload")
+    records = features.run_overpull(_records(spark, d), ["event_type"], "event_id", F.col("on_bottom") == 0, "hookload", width=1 << 20)
     fields = ["flow_in", "flow_out", "pit", "spp", "torque", "rop", "gas", "dxc", "on_bottom"]
     framed = features.buffered(records, ["event_type"], "event_id", fields, width=1 << 20)
     made = features.add_features(framed.select("event_id", "event_type", "flow_in", "overpull", "buffer"))
@@ -59,7 +59,7 @@ ROLLING_FEATURES = f"WITH {_FEATURES} SELECT event_id, {', '.join(NAMES)} FROM f
 
 
 def run_overpull(spark: SparkSession, d: str) -> DataFrame:
-    found = features.run_overpull(_records(spark, d), ["event_type"], "event_id", F.col("on_bottom") == 0, "hookload")
+    found = features.run_overpull(_records(spark, d), ["event_type"], "event_id", F.col("on_bottom") == 0, "hookload", width=1 << 20)
     return found.select("event_id", F.round("overpull", 4).alias("overpull"))
 
 
