@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from boresight.llm import divergence, fingerprints, negatives
 from boresight.llm.chat import as_tree, choose_paths, format_paths, read_back
 from boresight.llm.common import small_batches, table
 from boresight.llm.decontaminate import contaminated
@@ -74,10 +75,24 @@ def op10_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return divergence.divergences(table(spark, sf_dir, "documents"))
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_exact, op2_warc, op3_secrets, op4_simhash, op5_chat, op6_private, op7_mixing, op8_quality, op9_decontaminate, op10_phrases)
+    found = (op1_exact, op2_warc, op3_secrets, op4_simhash, op5_chat, op6_private, op7_mixing, op8_quality, op9_decontaminate, op10_phrases, op11_negatives, op12_divergence, op13_fingerprints)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_negatives": negatives.ORACLE_SQL, "op12_divergence": divergence.ORACLE_SQL, "op13_fingerprints": fingerprints.ORACLE_SQL}
