@@ -33,7 +33,8 @@ ASSIGN = re.compile(rb"(?i:(?:password|passwd|secret|token|api_?key))[\"']?\x20*
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HEX = re.compile(rb"[0-9a-f]{16,}+")
 CUES = (b"passw", b"secret", b"token", b"apikey", b"api_key", b"pwd", b"passphrase", b"credential")
-CONTEXT = re.compile(rb"(?i:(?:password|passwd|pwd|passphrase|secret|token|credential|api_?key))[\"']?(?:\x20+(?i:is|was))?\x20*[:=]?\x20*[\"']?([\x21-\x26\x28-\x7e]{6,})")
+#: A cue, perhaps "is" or "was", blanks with at most one sign among them, and the value. Blanks are taken once, never given back: a padded page takes linear time.
+CONTEXT = re.compile(rb"(?i:(?:password|passwd|pwd|passphrase|secret|token|credential|api_?key))[\"']?+(?:\x20++(?i:is|was)(?![A-Za-z0-9_]))?+\x20*+(?:[:=]\x20*+)?+[\"']?+([\x21-\x26\x28-\x7e]{6,})")
 # Common words of passwords, most common first; they come before the words of the corpus.
 WORDS = tuple("password qwerty dragon monkey letmein football baseball shadow master sunshine princess welcome iloveyou admin login secret hello freedom whatever trustno test guest root changeme default example summer winter spring autumn".split())
 LETTERS = re.compile(rf"(?<![a-z])[a-z]{{4,{16}}}(?![a-z])".encode())
@@ -113,12 +114,30 @@ def guess_cost(value: str, words: Mapping[str, int] = RANKS, most: float = math.
     """log10 of the guesses that the cheapest segmentation of ``value`` takes, the true minimum where that is below ``most``.
 
     Segments are words (their rank), dates, walks over neighbouring keys and repeated blocks, from every start and of every
-    length, and single characters by brute force. A block of p characters costs p characters and the count of its copies,
-    so blocks that cost ``most`` alone are left out. Time grows with the length times the block lengths tried.
+    length, and single characters by brute force. A block of up to ``LONGEST`` characters costs what its own cheapest
+    segmentation does, a longer one its characters, and the count of its copies comes on top; long blocks that cost ``most``
+    alone are left out. Time grows with the length times the block lengths tried.
     """
+    return _least(value, words, most, _alphabet(value))
+
+
+def _alphabet(value: str) -> float:
+    """log10 of the guesses of one character, by the classes that the whole value uses."""
+    return math.log10(max(10, 10 * any(c.isdigit() for c in value) + 26 * any(c.islower() for c in value) + 26 * any(c.isupper() for c in value) + 33 * any(not c.isalnum() for c in value)))
+
+
+def _least(value: str, words: Mapping[str, int], most: float, char: float) -> float:
     low, n = value.lower(), len(value)
     plain = low.translate(LEET)
-    char = math.log10(max(10, 10 * any(c.isdigit() for c in value) + 26 * any(c.islower() for c in value) + 26 * any(c.isupper() for c in value) + 33 * any(not c.isalnum() for c in value)))
+    blocks: dict[str, float] = {}
+
+    def block(start: int, p: int) -> float:
+        if p > LONGEST:
+            return p * char
+        if (text := value[start : start + p]) not in blocks:
+            blocks[text] = _least(text, words, most, char)
+        return blocks[text]
+
     best = [0.0] + [math.inf] * n
     dates: dict[int, list[tuple[int, float]]] = {}
     for i in range(n):
@@ -131,10 +150,10 @@ def guess_cost(value: str, words: Mapping[str, int] = RANKS, most: float = math.
 
     for s, e in stretches([(a, b) in NEAR for a, b in zip(low, low[1:])], 2):  # e is the place of the last key
         lane(s + 3, e + 1, 3, 1, lambda size: math.log10(40) + 0.6 * (size - 1) ** 0.5 + math.log10(size))
-    for p in range(1, min(n // 2, int(min(most / char, n))) + 1):
+    for p in range(1, min(n // 2, max(LONGEST, int(min(most / char, n)))) + 1):
         for s, e in stretches([low[i] == low[i + p] for i in range(n - p)], p):  # of period p from s to e + p
             for k in range(min(p, e - s - p + 1)):
-                lane(s + k + 2 * p, e + p, 2 * p, p, lambda size, p=p: p * char + math.log10(size / p))
+                lane(s + k + 2 * p, e + p, 2 * p, p, lambda size, p=p, unit=block(s + k, p): unit + math.log10(size / p))
     for j in range(1, n + 1):
         cost = best[j - 1] + char
         for i in range(max(0, j - LONGEST), j - 2):

@@ -137,11 +137,30 @@ def test_guess_cost():
     assert secrets.guess_cost("abc" * 200) < 8 and secrets.guess_cost("abcde" * 90) < 10
 
 
-def plain_cost(value: str, words: dict[str, int]) -> float:
+def test_repeated_blocks_cost_their_own_least():
+    assert secrets.guess_cost("qwertyuiop" * 10) < secrets.guess_cost("qwertyuiop") + 1.1
+    assert secrets.guess_cost("monkey1987" * 3) < secrets.guess_cost("monkey1987") + 1
+
+
+@pytest.mark.parametrize("filler", [" ", "= ", "is ", "password ", "password is ", "password= "])
+def test_padded_cues_take_linear_time(filler):
+    text = ("password" + filler * (1_000_000 // len(filler))).encode()
+    began = time.perf_counter()
+    secrets.spans_of(text, 12.0, 6.0)
+    assert time.perf_counter() - began < 4
+
+
+def test_contexts():
+    found = lambda t: [secrets.CONTEXT.search(t.encode())[1].decode() if secrets.CONTEXT.search(t.encode()) else None][0]
+    assert [found(f"password{x}hunter22") for x in (" ", ": ", "   =   ", " is ", " was: '", '": "')] == ["hunter22"] * 6
+    assert found("password island77") == "island77" and found("token   ab1") is None
+
+
+def plain_cost(value: str, words: dict[str, int], char: float | None = None) -> float:
     """The same prices over every segment of every start and length."""
     import math
 
-    low, char = value.lower(), math.log10(max(10, sum(n for n, f in ((10, str.isdigit), (26, str.islower), (26, str.isupper), (33, lambda c: not c.isalnum())) if any(map(f, value)))))
+    low, char = value.lower(), char or math.log10(max(10, sum(n for n, f in ((10, str.isdigit), (26, str.islower), (26, str.isupper), (33, lambda c: not c.isalnum())) if any(map(f, value)))))
     best = [0.0]
     for j in range(1, len(value) + 1):
         cost = best[j - 1] + char
@@ -156,7 +175,8 @@ def plain_cost(value: str, words: dict[str, int]) -> float:
                 cost = min(cost, best[i] + math.log10(40) + 0.6 * (size - 1) ** 0.5 + math.log10(size))
             for p in range(1, size // 2 + 1):
                 if size % p == 0 and s == s[:p] * (size // p):
-                    cost = min(cost, best[i] + p * char + math.log10(size // p))
+                    unit = plain_cost(value[i : i + p], words, char) if p <= secrets.LONGEST else p * char
+                    cost = min(cost, best[i] + unit + math.log10(size // p))
         best.append(cost)
     return best[-1]
 
@@ -199,6 +219,19 @@ def test_mixing_of_many_sources_and_a_hot_one(spark):
         assert all(r.copies in (int(target / size), int(target / size) + 1) for r in mine if size)
 
 
+def test_mixing_stage_of_repeated_ids(spark):
+    """Each row of a repeated id has the copies and words of its own."""
+    texts = [(1, "a b c", "s"), (1, "a b c d e f g", "s"), (1, "a b c d e f g", "s"), (1, None, "s"), (None, "x y", None), (None, "x y z", None), (None, "x y z", "t")]
+    texts += [(i, "w " * (1 + i % 5), "s") for i in range(2, 60)] + [(7, "v " * (1 + i % 3), "t") for i in range(40)]
+    df = spark.createDataFrame(texts, "doc_id long, text string, source string").withColumn("taken", F.lit("old"))
+    made = corpus_pipeline.mixing(spark, df, None).collect()
+    n = lambda t: len(brute.WORD.findall(t or ""))
+    assert all(r.taken == r.copies * n(r.text) and r.copies > 0 for r in made)
+    wanted = sorted((r.doc_id, r.source, r.size, r.copies) for r in mixing.mix(df.drop("taken")).where("copies > 0").collect() if r.doc_id is not None and r.source)
+    assert sorted((r.doc_id, r.source, n(r.text), r.copies) for r in made if r.doc_id is not None and r.source) == wanted
+    assert len(made) == mixing.mix(df.drop("taken")).where("copies > 0").count()
+
+
 def test_pivot_keeps_mass():
     for _ in range(500):
         p, q, a, b = rng.random(), rng.random(), rng.randrange(1, 500), rng.randrange(1, 500)
