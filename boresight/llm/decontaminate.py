@@ -5,11 +5,12 @@ bit of (walk, step, word). Two sequences within a small edit distance soon walk
 differences. Bit-sampling tables key a walk by the words emitted at a few random steps; windows of documents and of items
 that share a key in any table are candidates. As a walk of M steps sees at most M words, each item is indexed at every
 offset, document windows start every few words, and an item-sized region around a candidate is verified: its exact word
-edit distance to the item (free ends) must be at most ``rate`` of the item's words. The number of walks follows from the
-wanted recall, for each class of item lengths: all walks run over the same edited copies of the class's items, with edits at
-random, spread evenly and at either end, and each must reach the recall. Where a few walks don't, the class takes an exact
-path instead: an item of n words and k allowed edits is cut into k + 1 pieces, one of which is left whole by any k edits, so
-the first floor(n / (k + 1)) words of the pieces find every match.
+edit distance to the item (free ends) must be at most ``rate`` of the item's words. The number of walks follows from the wanted
+recall, for each length that items have: all walks run over the same ``TRIES`` edited copies of items of that length, with
+edits at random, spread evenly and at either end, and each kind of edit must miss at most a tenth of what the recall allows, so
+that chance does not pass a length. The lengths are tried by Spark tasks, one each. Where ``WALKS`` walks don't do, items of
+the length take an exact path instead: an item of n words and k allowed edits is cut into k + 1 pieces, one of which is left
+whole by any k edits, so the first floor(n / (k + 1)) words of the pieces find every match.
 
 Items come in blocks of at most about ``block`` rows; a block's tables have that bound, go to the workers as one closure,
 and each block takes one pass over all documents, without a shuffle of texts. Words are compared without ASCII case and
@@ -24,21 +25,22 @@ from __future__ import annotations
 import math
 import random
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from boresight.llm.common import map_batches, parts_for
 
-RATE, RECALL, BLOCK = 0.2, 0.99, 2000
+RATE, RECALL, BLOCK, SEED = 0.2, 0.99, 2000, 11
 STEPS = (12, 4, 1)  # of the walks, for items of at least so many words
 CLASSES = (1, 5, 10, 15, 20, 30, 50, 100, 200)  # least words of the item lengths that get their own walks
 TABLES, SAMPLED = 4, 8  # tables a walk, steps a table
+TRIES, WALKS, TRIED_ITEMS = 1000, 3, 256  # copies of each kind for a length, most walks, items of a length that give the copies
 FOUND = "doc_id long, item_id long, distance int, item_words int, start_word int, end_word int"
 
 _LOWER = bytes(range(256)).lower()
@@ -171,21 +173,30 @@ def edits_of(ws: list[int], kind: str, rng: random.Random, k: int) -> list[int]:
     return copy
 
 
-def walks_for(tables: Tables, rate: float, recall: float, tries: int = 300, most: int = 4) -> int | None:
-    """Walks that find the wanted share of copies with as many edits as the rate allows, for each way to place the edits.
+def class_of(n: int, rate: float) -> tuple[int, int, int]:
+    """Least length of the class of an item of ``n`` words, steps of its walks, words from one window to the next."""
+    low = max(c for c in CLASSES if c <= n)
+    steps = next(x for x in STEPS if low >= x)
+    return low, steps, max(1, min(3, (low - allowed(low, rate) - steps) // 8))
 
-    All walks run over the same copies, so what fails in all of them together counts as missed. None: ``most`` don't do.
+
+def walks_for(words: list[list[int]], rate: float, recall: float, seed: int, tries: int = TRIES, most: int = WALKS) -> int:
+    """Walks that find copies of items of one length with as many edits as the rate allows, for each way to place the edits.
+
+    All walks run over the same copies, so what fails in all of them together counts as missed. 0: ``most`` don't do.
     """
-    rng, needed = random.Random(5), 2
+    _, steps, stride = class_of(len(words[0]), rate)
+    tables, rng, needed = Tables(steps, stride, 1, seed), random.Random(5), 1
     for kind in ("even", "random", "head", "tail"):
         left, right, a, b, first, second = [], [], [], [], 0, 0
         for t in range(tries):
-            _, ws = tables.items[rng.randrange(len(tables.items))]
+            ws = words[rng.randrange(len(words))]
             copy = edits_of(ws, kind, rng, allowed(len(ws), rate))
-            whole = [rng.getrandbits(62) for _ in range(rng.randrange(5) + 5)] + copy + [rng.getrandbits(62) for _ in range(tables.steps)]
-            a += [(t, first + f) for f in range(len(ws) - tables.steps + 1)]
-            b += [(t, second + f) for f in range(0, len(whole) - tables.steps + 1, tables.stride)]
-            left, right = left + ws, right + whole
+            whole = [rng.getrandbits(62) for _ in range(rng.randrange(5) + 5)] + copy + [rng.getrandbits(62) for _ in range(steps)]
+            a += [(t, first + f) for f in range(len(ws) - steps + 1)]
+            b += [(t, second + f) for f in range(0, len(whole) - steps + 1, stride)]
+            left.extend(ws)
+            right.extend(whole)
             first, second = first + len(ws), second + len(whole)
         one, two = np.array(left, np.uint64), np.array(right, np.uint64)
         (t1, at1), (t2, at2) = np.array(a, np.int64).T, np.array(b, np.int64).T
@@ -193,14 +204,35 @@ def walks_for(tables: Tables, rate: float, recall: float, tries: int = 300, most
         for walk in range(most):
             for x, y in zip(tables.embed(one, at1, walk), tables.embed(two, at2, walk)):
                 found[t2[np.isin(y * _MIX + t2.astype(np.uint64), x * _MIX + t1.astype(np.uint64))]] = True
-            if found.mean() >= recall:
+            if 1 - found.mean() <= (1 - recall) / 10:
                 needed = max(needed, walk + 1)
                 break
         else:
-            return None
+            return 0
     return needed
 
 
+def choose_walks(items: DataFrame, rate: float, recall: float, seed: int) -> dict[int, int]:
+    """Walks for each number of words that items have; a row a length comes to the driver."""
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [words_of(t or b"") for t in batch.column("text").to_pylist()]
+            kept = [(len(ws), b" ".join(ws)) for ws in words if ws]
+            if kept:
+                yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in kept], pa.int32()), pa.array([w for _, w in kept], pa.binary())], names=["n", "words"])
+
+    def choose(table: pa.Table) -> pa.Table:
+        seen = Hashes()
+        words = [[int(h) for h in seen.of(t.split(b" "))] for t in sorted(table["words"].to_pylist())]
+        return pa.table({"n": table["n"][:1], "walks": pa.array([walks_for(words, rate, recall, seed)], pa.int32())})
+
+    measured = items.mapInArrow(measure, "n int, words binary").distinct()
+    place = F.row_number().over(Window.partitionBy("n").orderBy(F.xxhash64("words"), "words"))
+    tried = measured.withColumn("place", place).where(F.col("place") <= TRIED_ITEMS).drop("place")
+    return {r.n: r.walks for r in tried.groupBy("n").applyInArrow(choose, "n int, walks int").collect()}
+
+
 class Seeds(Tables):
     """Exact path: of k + 1 pieces of an item, k edits leave one whole; ``steps`` words of each piece are its key."""
 
@@ -224,25 +256,22 @@ def pieces(n: int, rate: float) -> tuple[int, list[int]]:
 class Matcher:
     """The tables of one block of items; finds them in batches of documents."""
 
-    def __init__(self, items: list[tuple[int | None, bytes]], rate: float, recall: float, seed: int = 11) -> None:
+    def __init__(self, items: list[tuple[int | None, bytes]], rate: float, recall: float, seed: int = SEED, walks: Mapping[int, int] | None = None) -> None:
         self.rate, self.seen = rate, Hashes()
         kept = [(i, words_of(t or b"")) for i, t in items]
         self.ids = [i for i, ws in kept if ws]
         self.words = [[int(h) for h in self.seen.of(ws)] for _, ws in kept if ws]
         self.sets = [frozenset(ws) for ws in self.words]
-        self.tables, exact = [], defaultdict(list)
-        for low, high in zip(CLASSES, (*CLASSES[1:], None)):
-            mine = [(k, ws) for k, ws in enumerate(self.words) if len(ws) >= low and (high is None or len(ws) < high)]
-            if mine:
-                shortest = min(len(ws) for _, ws in mine)
-                steps = next(x for x in STEPS if shortest >= x)
-                t = Tables(steps, max(1, min(3, (shortest - allowed(shortest, rate) - steps) // 8)), 1, seed, mine)
-                if walks := walks_for(t, rate, recall):
-                    t.walks = walks
-                    self.tables.append(t)
-                else:
-                    for k, ws in mine:
-                        exact[pieces(len(ws), rate)[0]].append((k, ws))
+        by_length, by_class, exact = defaultdict(list), defaultdict(list), defaultdict(list)
+        for k, ws in enumerate(self.words):
+            by_length[len(ws)].append((k, ws))
+        self.walks = {n: walks[n] if walks is not None else walks_for([ws for _, ws in mine[:TRIED_ITEMS]], rate, recall, seed) for n, mine in sorted(by_length.items())}
+        for n, mine in sorted(by_length.items()):
+            if self.walks[n]:
+                by_class[class_of(n, rate)] += mine
+            else:
+                exact[pieces(n, rate)[0]] += mine
+        self.tables = [Tables(steps, stride, max(self.walks[len(ws)] for _, ws in mine), seed, mine) for (_, steps, stride), mine in sorted(by_class.items())]
         self.tables += [Seeds(size, 1, 1, seed, mine, rate=rate) for size, mine in sorted(exact.items())]
         for t in self.tables:
             t.index()
@@ -302,10 +331,10 @@ def _search(matcher: Matcher):
 def matchers(benchmark: DataFrame, rate: float, recall: float, block: int) -> Iterator[Matcher]:
     """A matcher for each block of about ``block`` items."""
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("binary").alias("text")).distinct()
-    blocks = parts_for(items.count(), block)
+    blocks, walks = parts_for(items.count(), block), choose_walks(items, rate, recall, SEED)
     for b in range(blocks):
         mine = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        yield Matcher(sorted(map(tuple, mine.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or b"")), rate, recall)
+        yield Matcher(sorted(map(tuple, mine.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or b"")), rate, recall, walks=walks)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
