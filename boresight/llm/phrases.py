@@ -5,7 +5,8 @@
    window that lies in several documents who its first document is.
 2. Compile: the first document of a recurring window owns it. Runs of owned windows are passages; they leave the chunk as
    text, and the passages of one first document are a shard: an Aho-Corasick automaton over the numbers of their words,
-   with every window of a passage as a pattern, since a later document may share only part of a passage.
+   with every window of a passage as a pattern, since a later document may share only part of a passage. A shard of more
+   than ``shard_windows`` windows has several automata, of which a worker holds one at a time.
 3. Stream: stretches of later documents go as text through the automaton of each first document that they may share a window
    with. Only what an automaton locates, word for word, is removed. A passage that very many chunks share is copied to as
    many shards as it needs, and the stretches are dealt over them.
@@ -40,6 +41,7 @@ from boresight.llm.common import cut, map_batches, parts_for, text_bytes
 WIDTH = 13
 #: Bytes of text a chunk and a task are meant to hold, windows a bucket, and chunks that stream through one copy of a shard.
 CHUNK_BYTES, TASK_BYTES, BUCKET_WINDOWS, SHARD_CHUNKS = 4 << 20, 32 << 20, 2_000_000, 16
+SHARD_WINDOWS = 50_000  # of an automaton
 LAST = np.iinfo(np.int64).max  # stands for a null doc_id
 _BASE = 0x9E3779B97F4A7C15
 _SHORT = np.uint64((1 << 48) - 1)  # bits of a window that travel; the bucket is taken from the upper ones
@@ -239,48 +241,83 @@ def _route(width: int, buckets: int, bits: int):
 
 
 class Shard:
-    """The automaton over the passages of one first document; letters are the numbers of its words, patterns its windows."""
+    """Automata over the passages of one first document; letters are the numbers of their words, patterns their windows.
 
-    def __init__(self, width: int) -> None:
-        self.width, self.numbers, self.automaton, self.ready = width, {}, ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE), False
+    An automaton takes at most ``most`` windows. Where there are several, one is compiled at a time, and a stretch runs
+    through it only where its windows' hashes are among the automaton's.
+    """
+
+    def __init__(self, width: int, most: int) -> None:
+        self.width, self.most, self.segments, self.room, self.ready = width, most, [], 0, None
 
     def add(self, passage: bytes) -> None:
-        numbers = self.numbers
-        letters = [numbers.setdefault(w, len(numbers) + 1) for w in passage.split(b" ")]
-        for i in range(len(letters) - self.width + 1):
-            self.automaton.add_word(tuple(letters[i : i + self.width]), 1)
-
-    def locate(self, stretch: bytes) -> tuple[list[bytes], np.ndarray]:
-        """The words of a stretch, and for each window whether it is one of the passages'."""
-        words = stretch.split(b" ")
-        found = np.zeros(len(words) - self.width + 1, bool)
-        if len(self.automaton):
-            if not self.ready:
-                self.automaton.make_automaton()
-                self.ready = True
-            letters = tuple(map(self.numbers.get, words, [0] * len(words)))
-            found[[end - self.width + 1 for end, _ in self.automaton.iter(letters)]] = True
-        return words, found
-
-
-def _locate(width: int):
+        words, at = passage.split(b" "), 0
+        while at <= len(words) - self.width:
+            if not self.room:
+                self.segments.append([])
+                self.room = self.most
+            n = min(self.room, len(words) - self.width + 1 - at)
+            self.segments[-1].append(b" ".join(words[at : at + n + self.width - 1]))
+            self.room -= n
+            at += n
+        self.ready = None
+
+    def hashes(self, words: list[bytes]) -> np.ndarray:
+        return window_hashes(np.fromiter((HASHES[w] for w in words), np.int64, len(words)).view(np.uint64), self.width)
+
+    def compiled(self, segment: list[bytes]) -> tuple[dict[bytes, int], ahocorasick.Automaton]:
+        numbers, automaton = {}, ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        for passage in segment:
+            letters = [numbers.setdefault(w, len(numbers) + 1) for w in passage.split(b" ")]
+            for i in range(len(letters) - self.width + 1):
+                automaton.add_word(tuple(letters[i : i + self.width]), 1)
+        automaton.make_automaton()
+        return numbers, automaton
+
+    def locate(self, stretches: list[bytes]) -> list[np.ndarray]:
+        """For each window of each stretch whether it is one of the passages'."""
+        found = [np.zeros(s.count(b" ") + 2 - self.width, bool) for s in stretches]
+        for segment in self.segments:
+            alone = len(self.segments) == 1
+            numbers, automaton = self.ready or self.compiled(segment)
+            if alone:
+                self.ready = numbers, automaton
+            known = None if alone else np.unique(np.concatenate([self.hashes(p.split(b" ")) for p in segment]))
+            for stretch, mine in zip(stretches, found):
+                words = stretch.split(b" ")
+                runs = [(0, len(mine))]
+                if known is not None:
+                    turns = np.flatnonzero(np.diff(np.r_[False, np.isin(self.hashes(words), known), False].astype(np.int8)))
+                    runs = zip(turns[::2].tolist(), turns[1::2].tolist())
+                for s, e in runs:
+                    part = words[s : e + self.width - 1]
+                    letters = tuple(map(numbers.get, part, [0] * len(part)))
+                    mine[[s + end - self.width + 1 for end, _ in automaton.iter(letters)]] = True
+        return found
+
+
+def _locate(width: int, most: int):
     """Rows sorted by shard, passages first: the runs of located windows, and the text of each window not located."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, shard = None, None
         for batch in batches:
             out = []
-            for row in zip(*(batch.column(c).to_pylist() for c in ROUTED_SCHEMA.names)):
-                if row[:3] != key:
-                    key, shard = row[:3], Shard(width)
-                side, chunk, doc, at, body = row[3:]
-                if side == 0:
-                    shard.add(body)
-                    continue
-                words, found = shard.locate(body)
-                turns = np.flatnonzero(np.diff(np.r_[False, found, False].astype(np.int8)))
-                out += [(chunk, doc, at + int(s), int(e - s), None) for s, e in zip(turns[::2], turns[1::2])]
-                out += [(chunk, doc, at + int(i), 1, b" ".join(words[i : i + width])) for i in np.flatnonzero(~found)]
+            for at_key, rows in groupby(zip(*(batch.column(c).to_pylist() for c in ROUTED_SCHEMA.names)), key=lambda r: r[:3]):
+                if at_key != key:
+                    key, shard = at_key, Shard(width, most)
+                stretches = []
+                for *_, side, chunk, doc, at, body in rows:
+                    if side == 0:
+                        shard.add(body)
+                    else:
+                        stretches.append((chunk, doc, at, body))
+                for (chunk, doc, at, body), found in zip(stretches, shard.locate([s[3] for s in stretches]) if stretches else ()):
+                    turns = np.flatnonzero(np.diff(np.r_[False, found, False].astype(np.int8)))
+                    out += [(chunk, doc, at + int(s), int(e - s), None) for s, e in zip(turns[::2], turns[1::2])]
+                    if not found.all():
+                        words = body.split(b" ")
+                        out += [(chunk, doc, at + int(i), 1, b" ".join(words[i : i + width])) for i in np.flatnonzero(~found)]
             if out:
                 yield from _table(out, LOCATED_SCHEMA).to_batches()
 
@@ -309,7 +346,7 @@ def _strip(width: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, width: int = WIDTH, chunk_bytes: int = CHUNK_BYTES, bucket_windows: int = BUCKET_WINDOWS, shard_chunks: int = SHARD_CHUNKS, bits: int = 48) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = WIDTH, chunk_bytes: int = CHUNK_BYTES, bucket_windows: int = BUCKET_WINDOWS, shard_chunks: int = SHARD_CHUNKS, bits: int = 48, shard_windows: int = SHARD_WINDOWS) -> DataFrame:
     """``doc_id, n_words, n_removed, removed, kept`` for every document: spans of removed words, and the kept text.
 
     ``bits`` of a window's hash travel beside its bucket; fewer of them cost time and change no row.
@@ -331,7 +368,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, chunk_bytes: int = CHUNK
     back = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet(shard_chunks), BACK)
     routed = by_chunk(back).applyInArrow(_route(width, buckets, bits), ROUTED)
     shards = routed.repartition(tasks, "first", "copies", "salt").sortWithinPartitions("first", "copies", "salt", "side", "chunk", "at")
-    located = cut(shards.mapInArrow(_locate(width), LOCATED))
+    located = cut(shards.mapInArrow(_locate(width, shard_windows), LOCATED))
     # Windows whose hash is a clash: the whole text decides.
     open_ = located.where("body IS NOT NULL").withColumn("least", F.min("doc").over(Window.partitionBy("body"))).where("least < doc")
     gone = located.where("body IS NULL").unionByName(open_.drop("least")).select("chunk", "at", "n")

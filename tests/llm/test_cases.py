@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import time
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -257,10 +258,34 @@ def test_phrases_by_automata(spark):
     wanted = brute.repeats(texts)
     assert found() == wanted == found(chunk_bytes=5_000, bucket_windows=700, shard_chunks=2)
     assert found(bits=3) == wanted  # nearly all windows clash; only texts tell them apart
-    shard = phrases.Shard(2)
-    shard.add(b"a b c a b")
-    assert shard.locate(b"x a b d b c")[1].tolist() == [False, True, False, False, True]
-    assert phrases.Shard(2).locate(b"a b c")[1].tolist() == [False, False]
+    assert found(shard_windows=7) == wanted  # several automata a shard
+    for most in (1, 2, 100):
+        shard = phrases.Shard(2, most)
+        shard.add(b"a b c a b")
+        shard.add(b"q r")
+        one, two = shard.locate([b"x a b d b c", b"q r q"])
+        assert one.tolist() == [False, True, False, False, True] and two.tolist() == [True, False]
+        assert len(shard.segments) == {1: 5, 2: 3, 100: 1}[most]
+    assert phrases.Shard(2, 5).locate([b"a b c"])[0].tolist() == [False, False]
+
+
+def test_shard_of_a_very_long_text_stays_small():
+    """A text of 300,000 words beside its copy: one automaton at a time."""
+    import subprocess
+    import sys
+
+    code = """
+import random, resource
+from boresight.llm import phrases
+rng = random.Random(1)
+text = " ".join("w%d" % rng.randrange(10**6) for _ in range(300_000)).encode()
+shard = phrases.Shard(13, phrases.SHARD_WINDOWS)
+shard.add(text)
+assert len(text) > 2 * 10**6 and shard.locate([text])[0].all()
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024)
+"""
+    made = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=str(Path(__file__).parents[2]))
+    assert float(made.stdout) < 400
 
 
 def test_quality(spark, docs, none):
