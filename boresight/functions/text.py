@@ -138,12 +138,19 @@ def ladder(text: Column, rules: list[tuple[str, str]], otherwise: str | None = N
 
 
 def page_text(text: Column, row_prefix: str) -> Column:
-    """A page as one paragraph a line: table rows and numbered or all-capital headings begin a paragraph, wrapped lines are joined."""
-    lines = F.regexp_replace(F.regexp_replace(text, row_prefix, "\n\n"), r"[ \t]*\n[ \t]*", "\n")
-    headed = F.regexp_replace(lines, r"(?m)^([^a-z\n]{6,})$", "\n$1\n")
-    marked = F.regexp_replace(F.regexp_replace(headed, r"\n{2,}", "\u2029"), r"\n(?=[0-9][.][0-9]{1,2}\s+[A-Z])", "\u2029")
-    joined = F.regexp_replace(F.translate(F.regexp_replace(marked, r"\n", " "), "\u2029", "\n"), r" {2,}", " ")
-    return F.trim(F.regexp_replace(joined, r"\n\s*", "\n"))
+    """A page as one paragraph a line.
+
+    A table row's prefix counts as an empty line. Each line is then classified: an empty one ends a paragraph, one of six or
+    more characters without small letters is a heading and a paragraph of its own, one that begins with a number like 5.2 and
+    a capital begins a paragraph, and any other goes on with the paragraph before it.
+    """
+    lines = F.transform(F.split(F.regexp_replace(text, row_prefix, "\n\n"), "\n"), lambda x: F.regexp_replace(x, r"^[ \t]+|[ \t]+$", ""))
+    heading = lambda x: x.rlike(r"^[^a-z]{6,}$")
+    line = lambda i: F.coalesce(F.get(lines, i), F.lit(""))
+    numbered = lambda x, i: F.concat_ws("\n", x, line(i + 1)).rlike(r"^[0-9][.][0-9]{1,2}\s+[A-Z]")
+    fresh = lambda x, i: heading(x) | numbered(x, i) | (line(i - 1) == "") | heading(line(i - 1))
+    glued = F.transform(lines, lambda x, i: F.when(x == "", "").when(fresh(x, i), F.concat(F.lit("\n"), x)).otherwise(F.concat(F.lit(" "), x)))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.array_join(glued, ""), " {2,}", " "), r"^\s+|\n\s*(?=\n)", ""))
 
 
 def before(text: Column, pattern: str, width: int = 60) -> Column:

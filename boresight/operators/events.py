@@ -8,12 +8,26 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Scores of subtypes, and the lost hours from which the next class begins.
+SUBTYPE_SEVERITY = {"total": 5, "severe": 4, "partial": 3, "seepage": 1}
+HOURS_SEVERITY = ((30, 5), (12, 4), (4, 3))
+
+
+def subtype_score(subtype: Column) -> Column:
+    """Score of a subtype; null for one that has none."""
+    out = F.lit(None).cast("int")
+    for name, score in SUBTYPE_SEVERITY.items():
+        out = F.when(subtype == name, score).otherwise(out)
+    return out
 
 
 def severity(subtype_score: Column, npt: Column, outcome: Column, practice: Column) -> Column:
-    """0 for practices; the greater of the subtype's score and the band of lost hours, 5 on failure; 2 without lost hours."""
+    """0 for practices; the greater of the subtype's score and the class of lost hours, 5 on failure; 2 without lost hours."""
     hours = F.coalesce(npt, F.lit(0.0))
-    by_npt = F.when(hours == 0, 2).when(outcome == "failed", 5).when(hours >= 48, 5).when(hours >= 24, 4).when(hours >= 8, 3).when(hours >= 2, 2).otherwise(1)
+    by_npt = F.when(hours == 0, 2).when(outcome == "failed", 5)
+    for least, score in HOURS_SEVERITY:
+        by_npt = by_npt.when(hours >= least, score)
+    by_npt = by_npt.otherwise(2)
     return F.when(practice, 0).otherwise(F.greatest(F.coalesce(subtype_score, F.lit(0)), by_npt)).cast("int")
 
 

@@ -118,20 +118,42 @@ def tell(stories: DataFrame, sentences: DataFrame, pages: DataFrame, key: list[s
     )
 
 
-def validate(events: DataFrame, bores: DataFrame, tops: DataFrame, event_id: str = "event_id", md: str = "md_top") -> DataFrame:
+def hold_depths(events: DataFrame, bores: DataFrame, md: str = "md_top", base: str = "md_base", slack: float = 10.0) -> DataFrame:
+    """Events with depths that their bore can have; ``bores(well_id, td, ...)``; adds td. Those without a depth, or too deep, are left out.
+
+    A depth of an inferred unit that only fits as feet is converted, with its base, and flagged; depths are held at total
+    depth, a base at its top at least, both to a decimal.
+    """
+    joined = events.join(bores.select("well_id", "td"), "well_id")
+    feet = F.array_contains("flags", "depth_unit_inferred") & (F.col(md) > F.col("td") + slack) & (F.col(md) * numeric.FT <= F.col("td") + slack)
+    top = F.when(feet, F.col(md) * numeric.FT).otherwise(F.col(md))
+    flags = F.when(feet, F.array_union("flags", F.array(F.lit("converted_from_ft")))).otherwise(F.col("flags"))
+    held = joined.withColumns({"flags": flags, "__top": top}).where(F.col("__top") <= F.col("td") + slack).withColumn("__top", F.least("__top", "td"))
+    low = F.when(F.col(base).isNotNull(), F.round(F.least(F.greatest(base, "__top"), "td"), 1))
+    return held.withColumns({md: F.round("__top", 1), base: low}).drop("__top")
+
+
+def validate(events: DataFrame, bores: DataFrame, tops: DataFrame, event_id: str = "event_id", md: str = "md_top", tvd: str = "tvd") -> DataFrame:
     """Adds what a bore knows about an event at a depth: formation there, position within it, whether the reported one agrees.
 
-    ``bores(well_id, td, spud, completed)``, ``tops(well_id, code, md_top, md_base, td_in_formation)``. An event agrees if its
-    reported formation is the one at the depth or 20 m above or below; ``consistent`` is null without a report. ``off_date``
-    marks dates outside the bore's time. Events without a depth or deeper than the bore are for ``events.split_valid``.
+    ``bores(well_id, td, spud, completed)``, ``tops(well_id, code, md_top, md_base, tvd_top, tvd_base, td_in_formation)``; events
+    have their vertical depth, by ``trajectory.position_at``. The formation is the one at the depth, else the reported one;
+    ``formation_source`` says which. ``f_pos`` is the share of its vertical thickness above the event. An event agrees if its
+    reported formation is the one at the depth or 20 m above or below; ``consistent`` is null without a report or without a
+    formation at the depth. ``off_date`` marks dates outside the bore's time.
     """
-    t = tops.select(F.col("well_id").alias("__w"), "code", F.col("md_top").alias("__top"), F.col("md_base").alias("__base"), "td_in_formation")
+    t = tops.select(F.col("well_id").alias("__w"), "code", F.col("md_top").alias("__top"), F.col("md_base").alias("__base"), F.col("tvd_top").alias("__high"), F.col("tvd_base").alias("__low"), "td_in_formation")
     near = lambda shift: (F.col(md) + shift >= F.col("__top")) & ((F.col(md) + shift < F.col("__base")) | F.col("td_in_formation"))
     met = events.join(t, (F.col("well_id") == F.col("__w")) & (near(-20.0) | near(0.0) | near(20.0)), "left")
-    here = F.when(near(0.0), F.struct("code", "__top", "__base"))
+    here = F.when(near(0.0), F.struct("code", "__high", "__low"))
     found = met.groupBy(event_id).agg(F.max(here).alias("__at"), F.collect_set("code").alias("__near"))
-    joined = events.join(found, event_id).join(bores, "well_id", "left")
-    share = (F.col(md) - F.col("__at.__top")) / F.greatest(F.col("__at.__base") - F.col("__at.__top"), F.lit(1e-9))
-    agrees = F.when(F.col("formation_reported").isNotNull(), F.array_contains("__near", F.col("formation_reported")))
+    extra = [c for c in bores.columns if c not in events.columns]
+    joined = events.join(found, event_id).join(bores.select("well_id", *extra), "well_id", "left")
+    share = (F.col(tvd) - F.col("__at.__high")) / F.greatest(F.col("__at.__low") - F.col("__at.__high"), F.lit(1e-6))
+    derived, reported = F.col("__at.code"), F.col("formation_reported")
+    agrees = F.when(reported.isNotNull() & derived.isNotNull(), F.array_contains("__near", reported))
     off = ~F.col("event_date").between(F.col("spud"), F.col("completed"))
-    return joined.select(*events.columns, "td", F.col("__at.code").alias("formation"), F.when(share.isNotNull(), F.round(F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)), 4)).alias("f_pos"), agrees.alias("consistent"), F.coalesce(off, F.lit(False)).alias("off_date"))
+    return joined.select(
+        *events.columns, *[c for c in ("td",) if c in extra], F.coalesce(derived, reported).alias("formation"), F.when(derived.isNotNull(), "tops").when(reported.isNotNull(), "reported").alias("formation_source"),
+        F.when(share.isNotNull(), F.round(F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)), 4)).alias("f_pos"), agrees.alias("consistent"), F.coalesce(off, F.lit(False)).alias("off_date"),
+    )

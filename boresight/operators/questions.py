@@ -7,14 +7,24 @@ from pyspark.sql import functions as F
 
 from boresight.functions import text
 
-# Words that set the intent, the scope and the family of a question.
-COUNT, HOW = r"(?i)\b(how many|which wells|list|count|number of)\b", r"(?i)\b(how|what (was|were) done|mitigat\w*|cure[ds]?|remed\w*|action)\b"
-NEARBY, RADIUS = r"(?i)\b(nearby|offset|near|around|within|surrounding)\b", r"(?i)(\d+(?:\.\d+)?)\s*km\b"
+# Words that set the intent, the scope and the family of a question, and how it names bores.
+COUNT = r"(?i)\b(how many|count|number of|which wells|list|table of)\b"
+HOW = r"(?i)\b(how (was|were|did)|mitigat|cure|cured|freed|resolve|remed|what (was|were) done|action|worked)\b"
+NEARBY = r"(?i)\b(nearby|offset|near|around|within|surrounding)\b"
+RADIUS = r"(?i)within\s+(\d+(?:\.\d+)?)\s*km"
+NAMED = r"\b[Ww]ells?\s+([A-Z]{1,2})\b(?:\s*(?:,|and|&)\s*([A-Z]{1,2})\b)?(?:\s*(?:,|and|&)\s*([A-Z]{1,2})\b)?"
+PRACTICE = r"(?i)\b(practice|worked|work well|without (losses|problems|trouble)|trouble[- ]free|good|lesson)"
 TRIGGERS = {
     "LC": r"(?i)\b(loss|losses|lost circulation|mud loss|returns|lcm)\b", "SP": r"(?i)\b(stuck|sticking|immobili[sz]ed|tight|overpull|pack[- ]?off|jar)", "OP": r"(?i)\b(kick|influx|over[- ]?pressure|high gas|gas|pressure|pit gain)\b",
     "TQ": r"(?i)\b(torque|stick[- ]slip|stall)", "CM": r"(?i)\b(cement|cementing|bond|cbl|squeeze)",
 }
-PRACTICE = r"(?i)\b(without (any )?(problems?|losses|incidents?)|good practice|best practice|trouble[- ]free|successfully)\b"
+
+
+def named_wells(question: Column, known: Column) -> Column:
+    """Bores that a question names, up to three behind one "well", in the order of the text; ``known`` are those there are."""
+    groups = [F.regexp_extract_all(question, F.lit(NAMED), F.lit(i)) for i in (1, 2, 3)]
+    each = F.transform(F.arrays_zip(*[g.alias(f"g{i}") for i, g in enumerate(groups)]), lambda x: F.array(x["g0"], x["g1"], x["g2"]))
+    return F.filter(F.flatten(each), lambda w: F.array_contains(known, w))
 
 
 def parse(question: Column, triggers: dict[str, str] = TRIGGERS, practice: str = PRACTICE) -> dict[str, Column]:

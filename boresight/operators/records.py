@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PRACTICE_FAMILY = "PR"  # fixed value: what events without a risk family count as
@@ -43,9 +46,23 @@ def adjacent(rows: DataFrame, group: str, ordinal: str, code: str, value: str) -
 
 
 def merge_spans(spans: DataFrame, key: list[str], start: str = "start", end: str = "end") -> DataFrame:
-    """Spans in order without those that overlap an earlier kept or skipped one."""
-    w = Window.partitionBy(*key).orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1)
-    return spans.withColumn("__far", F.max(end).over(w)).where(F.col("__far").isNull() | (F.col(start) >= F.col("__far"))).drop("__far")
+    """Spans in order without those that begin before the end of the last kept one; what a skipped span covers counts for nothing.
+
+    Whether a span stays depends on those kept before, so it is a fold over a key's rows in order, with one number of memory.
+    """
+    ordered = spans.repartition(*key).sortWithinPartitions(*key, start, end)
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, far = None, 0
+        for pdf in batches:
+            kept = []
+            for *here, low, high in zip(*(pdf[k] for k in key), pdf[start], pdf[end]):
+                kept.append(here != at or low >= far)
+                if kept[-1]:
+                    at, far = here, high
+            yield pdf[kept]
+
+    return ordered.mapInPandas(fold, ordered.schema)
 
 
 def set_overlap(a: Column, b: Column) -> Column:

@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 K1, B = 1.4, 0.75
 OUTCOME_WEIGHT = {"resolved": 1.0, "partial": 0.5, "failed": -0.5, "unknown": 0.2}
 # K1, B and OUTCOME_WEIGHT above, and the words that are no search terms.
-STOP = ("a an and are as at be by for from has have in is it its of on or that the this to was were what when where which who will with").split()
+STOP = (
+    "a an the of in on at to for from and or is was were be been with by what which who how did do does any all there this that "
+    "these those it its as into about near nearby well wells happen happened occur occurred problem problems issue issues "
+    "encountered seen observed show tell me please give list"
+).split()
 
 
 def stem(w: Column) -> Column:
@@ -88,10 +92,13 @@ def select_sentences(candidates: DataFrame, key: str, per_chunk: int = 3, most:
 
 
 def verify_answer(sentences: DataFrame, cited: str = "cited") -> DataFrame:
-    """Keep answer sentences that cite ``[n]`` within the evidence and hold no number missing from the cited texts."""
+    """Keep answer sentences that cite ``[n]`` within the evidence and hold no number missing from the cited texts.
+
+    A number is a digit with the digits, commas and stops behind it, without those at its end: "2,951" is looked for whole.
+    """
     refs = F.transform(F.regexp_extract_all("sentence", F.lit(r"\[(\d+)\]"), F.lit(1)), lambda x: x.cast("int"))
-    plain = F.regexp_replace("sentence", r"\[\d+\]", " ")
-    numbers = F.regexp_extract_all(plain, F.lit(r"\d+(?:\.\d+)?"), F.lit(0))
+    plain = F.regexp_replace("sentence", r"\[\d+\]", "")
+    numbers = F.transform(F.regexp_extract_all(plain, F.lit(r"\d[\d,.]*"), F.lit(0)), lambda n: F.regexp_replace(n, "[.,]+$", ""))
     valid = (F.size(refs) > 0) & F.forall(refs, lambda r: (r >= 1) & (r <= F.size(cited)))
     texts = F.concat_ws(" ", F.transform(refs, lambda r: F.get(F.col(cited), r - 1)))
     return sentences.where(valid & F.forall(numbers, lambda n: F.contains(texts, n)))

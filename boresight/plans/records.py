@@ -57,11 +57,20 @@ def quote_provenance(spark: SparkSession, d: str) -> DataFrame:
 QUOTE_PROVENANCE = "SELECT item_id, doc_id, (instr(d.text, b.text) - 1)::INT AS start FROM benchmark b JOIN documents d ON contains(d.text, b.text)"
 
 
+def _asked_depths(surveyed: DataFrame) -> DataFrame:
+    """Depths at, between and beyond the stations of each bore: three a station, in its leg or, at the last one, below the survey; one above the first."""
+    w = Window.partitionBy("well_id").orderBy("k")
+    step = F.coalesce(F.lead("md").over(w) - F.col("md"), F.lit(80.0))
+    asked = surveyed.select("well_id", "k", "md", step.alias("step")).select("*", F.posexplode(F.array(*map(F.lit, (0.0, 0.3, 0.75)))).alias("part", "f"))
+    above = surveyed.where("k = 1").select("well_id", "k", (F.col("md") - 7.5).alias("x"), F.lit(-1).alias("part"))
+    return asked.select("well_id", "k", (F.col("md") + F.col("f") * F.col("step")).alias("x"), "part").unionByName(above)
+
+
 def survey_positions(spark: SparkSession, d: str) -> DataFrame:
-    """Positions on the arcs at the depths of the stations themselves."""
+    """Positions on the arcs at, between and beyond the stations."""
     surveyed = trajectory.integrate_survey(_stations(spark, d))
-    points = surveyed.select("well_id", F.col("md").alias("x"), F.count("*").over(Window.partitionBy("well_id")).alias("n")).where("n > 1").drop("n")
-    return trajectory.position_at(points, surveyed).select("well_id", F.round("x", 1).alias("md"), *[(F.round(c, 2) + 0.0).alias(c) for c in ("tvd", "north", "east")])
+    made = trajectory.position_at(_asked_depths(surveyed), surveyed)
+    return made.select("well_id", "k", "part", *[(F.round(c, 2) + 0.0).alias(c) for c in ("tvd", "north", "east")], F.round("inc_at", 4).alias("inc_at"))
 
 
 _SURVEY = """s AS (SELECT l_orderkey well_id, row_number() OVER w k, sum(l_quantity * 10) OVER w md, radians(l_discount * 300) i, radians(l_tax * 1000) a FROM lineitem
@@ -71,17 +80,25 @@ b AS (SELECT *, acos(least(greatest(cos(i - i0) - sin(i0) * sin(i) * (1 - cos(a
 h AS (SELECT *, (md - md0) / 2 * CASE WHEN beta < 1e-9 THEN 1 ELSE 2 / beta * tan(beta / 2) END half FROM b),
 t AS (SELECT well_id, k, n, md, first_value(md) OVER u + coalesce(sum(half * (cos(i0) + cos(i))) OVER u, 0) tvd, coalesce(sum(half * (sin(i0) * cos(a0) + sin(i) * cos(a))) OVER u, 0) north,
   coalesce(sum(half * (sin(i0) * sin(a0) + sin(i) * sin(a))) OVER u, 0) east FROM h WINDOW u AS (PARTITION BY well_id ORDER BY k ROWS UNBOUNDED PRECEDING))"""
-SURVEY_POSITIONS = f"WITH {_SURVEY} SELECT well_id, round(md, 1) md, round(tvd, 2) + 0.0 tvd, round(north, 2) + 0.0 north, round(east, 2) + 0.0 east FROM t WHERE n > 1"
+_ASKED_SQL = f"""{_SURVEY}, e AS (SELECT t.*, degrees(s.i) inc, s.i i0, s.a a0, lead(s.i) OVER u i1, lead(s.a) OVER u a1, lead(t.md) OVER u - t.md step FROM t JOIN s USING (well_id, k) WINDOW u AS (PARTITION BY well_id ORDER BY k)),
+q AS (SELECT e.*, part, f, md + f * coalesce(step, 80.0) x FROM e, (VALUES (0, 0.0::DOUBLE), (1, 0.3), (2, 0.75)) v(part, f) UNION ALL SELECT e.*, -1, 0.0, md - 7.5 FROM e WHERE k = 1)"""
+#: The arc by its chord integrals: of unit tangents t0 and t1, R / sin b * (t0 * (cos(b - t) - cos b) + t1 * (1 - cos t)).
+_WALK = lambda t0, t1: f"CASE WHEN step IS NULL OR f = 0 THEN 0 WHEN bend < 1e-6 THEN f * step * ({t0} + {t1}) / 2 ELSE step / bend / sin(bend) * (({t0}) * (cos((1 - f) * bend) - cos(bend)) + ({t1}) * (1 - cos(f * bend))) END"
+SURVEY_POSITIONS = f"""WITH {_ASKED_SQL}, z AS (SELECT *, acos(least(greatest(cos(i1 - i0) - sin(i0) * sin(i1) * (1 - cos(a1 - a0)), -1.0), 1.0)) bend FROM q)
+SELECT well_id, k::INT k, part, round(tvd + {_WALK("cos(i0)", "cos(i1)")}, 2) + 0.0 tvd, round(north + {_WALK("sin(i0) * cos(a0)", "sin(i1) * cos(a1)")}, 2) + 0.0 north,
+  round(east + {_WALK("sin(i0) * sin(a0)", "sin(i1) * sin(a1)")}, 2) + 0.0 east, round(inc + CASE WHEN step IS NULL THEN 0 ELSE f * degrees(i1 - i0) END, 4) inc_at FROM z"""
 
 
 def survey_md_at_tvd(spark: SparkSession, d: str) -> DataFrame:
-    """Measured depths of the stations' own vertical depths, found again by bisection."""
+    """Measured depths found again from the vertical depths of points on the arcs, and of points above and below the survey."""
     surveyed = trajectory.integrate_survey(_stations(spark, d))
-    points = surveyed.select("well_id", "k", "tvd", F.count("*").over(Window.partitionBy("well_id")).alias("n")).where("n > 1").drop("n")
-    return trajectory.md_at_tvd(points, surveyed).select("well_id", "k", F.round("md", 1).alias("md"))
+    on = trajectory.position_at(_asked_depths(surveyed), surveyed).select("well_id", "k", "part", "tvd")
+    last = surveyed.groupBy("well_id").agg(F.max_by(F.struct("k", "tvd"), "k").alias("s")).select("well_id", "s.k", F.lit(9).alias("part"), (F.col("s.tvd") + 50).alias("tvd"))
+    return trajectory.md_at_tvd(on.unionByName(last), surveyed).select("well_id", "k", "part", F.round("md", 2).alias("md"))
 
 
-SURVEY_MD_AT_TVD = f"WITH {_SURVEY} SELECT well_id, k::INT k, round(md, 1) md FROM t WHERE n > 1"
+SURVEY_MD_AT_TVD = f"""WITH {_ASKED_SQL} SELECT well_id, k::INT k, part, round(CASE WHEN part = -1 OR step IS NULL THEN md ELSE x END, 2) md FROM q
+UNION ALL SELECT well_id, k::INT, 9, round(md + 50 / greatest(cos(i0), 1e-3), 2) FROM e WHERE step IS NULL"""
 
 
 def path_distance(spark: SparkSession, d: str) -> DataFrame:

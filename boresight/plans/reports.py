@@ -79,17 +79,18 @@ SELECT family, threshold, round(count(*) FILTER (f AND streak = 2) / (count(*) *
 
 
 def answer_check(spark: SparkSession, d: str) -> DataFrame:
-    """Sentences on order lines that cite one of two notes; kept where the note bears out their numbers."""
+    """Sentences on order lines that cite one of two notes; kept where the note bears out their numbers, commas and all."""
     quantity, number = F.col("l_quantity").cast("int"), F.col("l_linenumber").cast("int")
     note = lambda n: F.concat(F.lit("of line "), number, F.lit(f" note {n} says "), quantity + (F.col("l_orderkey") + n) % 3)
-    told = F.concat(F.lit("Line "), number, F.lit(" holds "), quantity, F.lit(" ["), number % 4, F.lit("]."))
+    told = F.concat(F.lit("Line "), number, F.lit(" holds "), F.when(number == 2, F.concat(F.lit("2,"), quantity)).otherwise(quantity.cast("string")), F.lit(" ["), number % 4, F.lit("]."))
     sentences = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", told.alias("sentence"), F.array(note(1), note(2)).alias("cited"))
     return retrieval.verify_answer(sentences).select("l_orderkey", "l_linenumber", "sentence")
 
 
 ANSWER_CHECK = """WITH s AS (SELECT l_orderkey, l_linenumber, l_quantity::INT q, l_linenumber::INT n, (l_linenumber % 4)::INT r FROM lineitem),
-c AS (SELECT *, 'of line ' || n || ' note ' || r || ' says ' || (q + (l_orderkey + r) % 3) note FROM s WHERE r BETWEEN 1 AND 2)
-SELECT l_orderkey, l_linenumber, 'Line ' || n || ' holds ' || q || ' [' || r || '].' sentence FROM c WHERE contains(note, n::VARCHAR) AND contains(note, q::VARCHAR)"""
+c AS (SELECT *, 'of line ' || n || ' note ' || r || ' says ' || (q + (l_orderkey + r) % 3) note FROM s WHERE r BETWEEN 1 AND 2),
+d AS (SELECT *, CASE WHEN n = 2 THEN '2,' ELSE '' END || q told FROM c)
+SELECT l_orderkey, l_linenumber, 'Line ' || n || ' holds ' || told || ' [' || r || '].' sentence FROM d WHERE contains(note, n::VARCHAR) AND contains(note, told)"""
 
 
 def citing_documents(spark: SparkSession, d: str) -> DataFrame:
@@ -111,24 +112,32 @@ def kept_spans(spark: SparkSession, d: str) -> DataFrame:
     return records.merge_spans(spans, ["l_orderkey"])
 
 
-KEPT_SPANS = """WITH s AS (SELECT l_orderkey, (l_linenumber * 3)::BIGINT AS start, (l_linenumber * 3)::BIGINT + l_quantity::BIGINT % 8 AS "end" FROM lineitem),
-f AS (SELECT *, max("end") OVER (PARTITION BY l_orderkey ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) far FROM s) SELECT l_orderkey, start, "end" FROM f WHERE far IS NULL OR start >= far"""
+KEPT_SPANS = """WITH RECURSIVE s AS (SELECT l_orderkey, (l_linenumber * 3)::BIGINT AS start, (l_linenumber * 3)::BIGINT + l_quantity::BIGINT % 8 AS "end" FROM lineitem),
+o AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY start, "end") n FROM s),
+f AS (SELECT l_orderkey, n, start, "end", true AS kept, "end" AS far FROM o WHERE n = 1
+  UNION ALL SELECT o.l_orderkey, o.n, o.start, o."end", o.start >= f.far, CASE WHEN o.start >= f.far THEN o."end" ELSE f.far END FROM f JOIN o ON o.l_orderkey = f.l_orderkey AND o.n = f.n + 1)
+SELECT l_orderkey, start, "end" FROM f WHERE kept"""
+
+
+_HEADS = ["Losses in well B", "well A, C & D:", "within 12 km of well A", "wells D and XY", "3 km long section,", "nearby problems in", "Wells A", "no name"]
 
 
 def question_scope(spark: SparkSession, d: str) -> DataFrame:
-    """Bores that the turns of users are about: single capitals name bores, A is the active one with B and C around it."""
-    asked = table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
-    named = F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b([A-D])\b"), F.lit(1))))
+    """Bores that the turns of users and the headings made of them are about: A is the active one, with B and C around it."""
+    head = F.element_at(F.array(*map(F.lit, _HEADS)), ((F.col("conv_id") + F.col("turn")) % len(_HEADS) + 1).cast("int"))
+    asked = table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", F.concat_ws(" ", head, "text").alias("text"))
+    named = questions.named_wells(F.col("text"), F.array(*map(F.lit, "ABCD")))
     parts = questions.parse(F.col("text"))
     wells = questions.scope(named, parts["nearby"], parts["radius_km"], F.lit("A"), F.array(F.lit("B"), F.lit("C")))
     return asked.select("conv_id", "turn", F.array_join(wells, ",").alias("wells"))
 
 
 _IN = lambda p: f"regexp_matches(t, '{p}')"
-QUESTION_SCOPE = rf"""WITH q AS (SELECT conv_id, turn, coalesce(text, '') t FROM conversations WHERE role = 'user'),
-p AS (SELECT *, list_sort(list_distinct(regexp_extract_all(t, '\b([A-D])\b', 1))) named, {_IN(questions.NEARBY)} near, TRY_CAST(nullif(regexp_extract(t, '{questions.RADIUS}', 1), '') AS DOUBLE) IS NOT NULL far FROM q)
+QUESTION_SCOPE = rf"""WITH q AS (SELECT conv_id, turn, concat_ws(' ', {_HEADS!r}[(conv_id + turn) % {len(_HEADS)} + 1], text) t FROM conversations WHERE role = 'user'),
+g AS (SELECT *, regexp_extract_all(t, '{questions.NAMED}', 1) g1, regexp_extract_all(t, '{questions.NAMED}', 2) g2, regexp_extract_all(t, '{questions.NAMED}', 3) g3 FROM q),
+p AS (SELECT *, [w FOR w IN flatten([[g1[i], g2[i], g3[i]] FOR i IN range(1, len(g1) + 1)]) IF w IN ('A', 'B', 'C', 'D')] named, {_IN(questions.NEARBY)} near, TRY_CAST(nullif(regexp_extract(t, '{questions.RADIUS}', 1), '') AS DOUBLE) IS NOT NULL far FROM g)
 SELECT conv_id, turn, CASE WHEN len(named) = 0 THEN CASE WHEN near OR far THEN 'B,C' END WHEN list_contains(named, 'A') AND near AND far THEN 'B,C'
-  WHEN named = ['A'] THEN 'A' ELSE array_to_string(list_filter(named, lambda x: x <> 'A'), ',') END wells FROM p"""
+  WHEN len([w FOR w IN named IF w <> 'A']) = 0 THEN array_to_string(named, ',') ELSE array_to_string([w FOR w IN named IF w <> 'A'], ',') END wells FROM p"""
 
 
 FUNCTIONS = (document_meta, recovered_text, top_picks, track_versions, false_alarm_rates, answer_check, citing_documents, kept_spans, question_scope)

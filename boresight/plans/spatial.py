@@ -86,7 +86,7 @@ def relevance_rank(spark: SparkSession, d: str) -> DataFrame:
 
 RELEVANCE_RANK = """
 WITH s AS (SELECT s_nationkey, s_suppkey, p_size % 7 layer, round(exp(-avg(l_discount) * 10), 3) score FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2, 3),
-o AS (SELECT s_nationkey, s_suppkey, round(avg(score), 4) overall, arg_max(layer, score * 1000 - layer * 0.001) best_layer FROM s GROUP BY 1, 2)
+o AS (SELECT s_nationkey, s_suppkey, round(sum(round(score * 1000)) / count(*)) / 1000 overall, arg_max(layer, score * 1000 - layer * 0.001) best_layer FROM s GROUP BY 1, 2)
 SELECT *, (row_number() OVER (PARTITION BY s_nationkey ORDER BY overall DESC, s_suppkey))::INT place FROM o
 """
 
@@ -112,7 +112,7 @@ p AS (SELECT *, lag(md) OVER (PARTITION BY well_id ORDER BY k) md0, lag(i) OVER
 b AS (SELECT *, acos(least(greatest(cos(i - i0) - sin(i0) * sin(i) * (1 - cos(a - a0)), -1.0), 1.0)) beta FROM p),
 h AS (SELECT *, (md - md0) / 2 * CASE WHEN beta < 1e-9 THEN 1 ELSE 2 / beta * tan(beta / 2) END half FROM b)
 SELECT well_id, round(max(md), 1) md, round(min(md) + coalesce(sum(half * (cos(i0) + cos(i))), 0), 2) tvd, round(coalesce(sum(half * (sin(i0) * cos(a0) + sin(i) * cos(a))), 0), 2) north,
-  round(coalesce(sum(half * (sin(i0) * sin(a0) + sin(i) * sin(a))), 0), 2) east, round(coalesce(max(degrees(beta) * 30 / greatest(md - md0, 1e-9)), 0), 3) max_dls FROM h GROUP BY 1
+  round(coalesce(sum(half * (sin(i0) * sin(a0) + sin(i) * sin(a))), 0), 2) east, round(coalesce(max(degrees(beta) * 30 / (md - md0)) FILTER (md0 IS NOT NULL), 0), 3) max_dls FROM h GROUP BY 1
 """
 
 
@@ -228,6 +228,75 @@ SELECT p_partkey, round(CASE WHEN u = 'ft' OR (u = '' AND v > 1650.0000000000002
   round(CASE WHEN p_partkey % 2 = 0 THEN w * 0.119826427 WHEN w BETWEEN 0.8 AND 2.6 THEN w WHEN w BETWEEN 6.5 AND 22 THEN w * 0.119826427 END, 4) sg FROM p
 """
 
-FUNCTIONS = (eb_risk_atlas, eb_risk_ci, radius_neighbors, weighted_jaccard, relevance_rank, survey_integration, interval_lookup, section_first_match, asof_station, carry_forward, md_at_value_bisect, noisy_or_curve, risk_zones, latlon_projection, unit_normalise)
+def _field(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """A field of straight bores out of the suppliers: places, six layers of which a third of the bores miss one, sections, surveys."""
+    k = F.col("s_suppkey")
+    wells = table(spark, d, "supplier").select(
+        k.alias("well_id"), (k % 3).alias("compartment"), (1990 + k % 31).alias("spud_year"), ((k * 7919) % 10007).cast("double").alias("x0"), ((k * 104729) % 10009).cast("double").alias("y0"), (k % 20).cast("double").alias("rkb"),
+        (k % 5).alias("n_docs"), (k % 2 == 0).alias("has_report"), (k % 4).alias("n_events"),
+    )
+    k = F.col("well_id")
+    inc = (k % 4) * 10.0
+    surveyed = trajectory.integrate_survey(wells.select("well_id", F.posexplode(F.array(*map(F.lit, (0.0, 900.0, 2500.0, 4000.0)))).alias("k", "md"), inc.alias("inc"), ((k % 12) * 30.0).alias("azi")))
+    i = F.col("i")
+    base = (500.0 * i + (k * (i + 3) % 7) * 20.0).alias("md_top")
+    tops = wells.select("well_id", F.explode(F.sequence(F.lit(1), F.lit(6))).alias("i")).select("well_id", "i", base)
+    tops = tops.withColumn("md_base", F.coalesce(F.lead("md_top").over(Window.partitionBy("well_id").orderBy("i")), F.col("md_top") + 5.0 * (k % 40)))
+    tops = tops.where((k % 9 != i)).select("well_id", F.concat(F.lit("L"), i).alias("code"), i.alias("ord"), "md_top", "md_base", *[(F.col(f"md_{e}") * F.cos(F.radians(inc))).alias(f"tvd_{e}") for e in ("top", "base")], (i == 6).alias("td_in_formation"))
+    parts = F.array(*[F.struct(F.lit(o).alias("ord"), F.lit(a).alias("md_from"), F.lit(b).alias("md_to"), F.lit(h).alias("hole_in")) for o, a, b, h in ((1, 0.0, 1200.0, 17.5), (2, 1200.0, 2600.0, 12.25), (3, 2600.0, 3000.0, 8.5))])
+    sections = wells.select("well_id", F.explode(parts).alias("s")).select("well_id", "s.ord", "s.md_from", "s.md_to", F.when(k % 8 == 0, 6.0).otherwise(F.col("s.hole_in")).alias("hole_in"), F.element_at(F.array(*map(F.lit, ("OBM", "SBM", "KCL"))), ((k + F.col("s.ord")) % 3 + 1).cast("int")).alias("mud_system"), (1.0 + ((k + F.col("s.ord")) % 6) / 25.0).alias("mw_sg"))
+    near = relevance.radius_neighbors(wells.select(k.alias("active"), F.col("x0").alias("x"), F.col("y0").alias("y")), wells.select(k.alias("offset"), F.col("x0").alias("x"), F.col("y0").alias("y")), "active", "offset", 2500.0)
+    return {"pairs": near.where("active <> offset").select("active", "offset"), "wells": wells, "tops": tops, "surveyed": surveyed, "sections": sections}
+
+
+def relevance_layers(spark: SparkSession, d: str) -> DataFrame:
+    """Each bore's neighbours within 2.5 km: relevance by layer with components, or the reason why there are none."""
+    f = _field(spark, d)
+    made = relevance.layer_scores(f["pairs"], f["wells"], f["tops"], f["surveyed"], f["sections"], {"dist": 0.4}, skipped=("L1",))
+    return made.drop("md_base")
+
+
+_FIELD = """w AS (SELECT s_suppkey k, s_suppkey % 3 comp, 1990 + s_suppkey % 31 yr, ((s_suppkey * 7919) % 10007)::DOUBLE x0, ((s_suppkey * 104729) % 10009)::DOUBLE y0, (s_suppkey % 20)::DOUBLE rkb,
+  radians((s_suppkey % 4) * 10.0) inc, radians((s_suppkey % 12) * 30.0) azi FROM supplier),
+t0 AS (SELECT k, i, 500.0 * i + (k * (i + 3) % 7) * 20.0 md_top FROM w, range(1, 7) r(i)),
+t1 AS (SELECT *, coalesce(lead(md_top) OVER (PARTITION BY k ORDER BY i), md_top + 5.0 * (k % 40)) md_base FROM t0),
+t AS (SELECT k, i, md_top::DOUBLE md_top, md_base::DOUBLE md_base, ((md_base - md_top) * cos(inc))::DOUBLE thick, (md_top + md_base)::DOUBLE / 2 mid FROM t1 JOIN w USING (k) WHERE k % 9 <> i),
+c AS (SELECT t.*, o, CASE WHEN k % 8 = 0 THEN 6.0 ELSE [17.5, 12.25, 8.5][o] END hole, ['OBM', 'SBM', 'KCL'][(k + o) % 3 + 1] mud, 1.0 + ((k + o) % 6) / 25.0::DOUBLE mw FROM (SELECT *, CASE WHEN mid <= 1200 + 1e-6 THEN 1 WHEN mid <= 2600 + 1e-6 THEN 2 ELSE 3 END o FROM t) t),
+pr AS (SELECT a.k a, b.k b FROM w a JOIN w b ON a.k <> b.k AND sqrt((a.x0 - b.x0) ** 2 + (a.y0 - b.y0) ** 2) <= 2500),
+wj AS (SELECT a, b, coalesce(sum(least(x.thick, coalesce(y.thick, 0))), 0) lo FROM pr LEFT JOIN t x ON x.k = a AND x.i < 6 LEFT JOIN t y ON y.k = b AND y.i = x.i GROUP BY 1, 2),
+tot AS (SELECT k, sum(thick) s FROM t WHERE i < 6 GROUP BY 1),
+j AS (SELECT a, b, lo / (x.s + y.s - lo) jac FROM wj JOIN tot x ON x.k = a JOIN tot y ON y.k = b),
+pt AS (SELECT k, i, x0 + m * sin(inc) * sin(azi) x, y0 + m * sin(inc) * cos(azi) y, m * cos(inc) - rkb z FROM (SELECT k, i, unnest(list_distinct(list_append([md_top + 25 * n FOR n IN range(0, floor((md_base - md_top) / 25)::BIGINT + 1)], md_base))) m FROM t) JOIN w USING (k)),
+m AS (SELECT pr.a, pr.b, x.i, x.thick th1, y.thick th2, y.k IS NULL absent, CASE WHEN x.i = 6 THEN least(greatest(greatest(y.thick, 0) / greatest(x.thick, 1), 0), 1) ELSE 1 END cover, x.hole h1, y.hole h2, x.mud m1, y.mud m2, x.mw w1, y.mw w2
+  FROM pr JOIN c x ON x.k = pr.a AND x.i <> 1 LEFT JOIN c y ON y.k = pr.b AND y.i = x.i),
+dd AS (SELECT m.a, m.b, m.i, sqrt(min((p.x - q.x) ** 2 + (p.y - q.y) ** 2 + (p.z - q.z) ** 2)) d FROM m JOIN pt p ON p.k = m.a AND p.i = m.i JOIN pt q ON q.k = m.b AND q.i = m.i WHERE NOT absent AND cover >= 0.05 GROUP BY 1, 2, 3),
+v AS (SELECT m.*, d, CASE WHEN absent THEN 'Formation not penetrated / absent in offset' WHEN cover < 0.05 THEN 'Offset drilled <5% of this interval' END reason, exp(-d / 6000) dist,
+  0.5 * jac + 0.5 * CASE WHEN m.i = 6 THEN 1 ELSE least(greatest(th1, 1), greatest(th2, 0)) / greatest(greatest(th1, 1), greatest(th2, 0)) END strat, 1 - least(abs(degrees(p.inc) - degrees(q.inc)) / 60, 1) traj,
+  0.3 * CASE WHEN h1 = h2 THEN 1 ELSE 0.4 END + 0.4 * CASE WHEN m1 = m2 THEN 1 WHEN (m1 = 'OBM') <> (m2 = 'OBM') THEN 0.3 ELSE 0.7 END + 0.3 * greatest(0, 1 - abs(w1 - w2) / 0.15) ops,
+  least(1, 0.4 + 0.25 * (m.b % 2 = 0)::INT + 0.1 * least(m.b % 5, 3) + 0.05 * least(m.b % 4, 1)) qual, exp(-greatest(p.yr - q.yr, 0) / 15) "time", CASE WHEN p.comp = q.comp THEN 1 ELSE 0.55 END struct
+  FROM m JOIN j ON j.a = m.a AND j.b = m.b JOIN w p ON p.k = m.a JOIN w q ON q.k = m.b LEFT JOIN dd ON dd.a = m.a AND dd.b = m.b AND dd.i = m.i)"""
+_SHOWN = ", ".join(f"CASE WHEN reason IS NULL THEN round(({n})::DOUBLE, 3) END {n}" for n in ("dist", "strat", "traj", "ops", "qual", '"time"', "struct", "cover"))
+_SCORED = f"""WITH {_FIELD}, z AS (SELECT a active, b "offset", 'L' || i code, i::INT ord, CASE WHEN reason IS NULL THEN round((struct * cover * (0.4 * dist + 0.25 * strat + 0.1 * traj + 0.15 * ops + 0.1 * qual + 0.1 * "time") / 1.1)::DOUBLE, 3) ELSE 0 END::DOUBLE score, reason, CASE WHEN reason IS NULL THEN round_even(d, 0) END distance_3d, {_SHOWN} FROM v)"""
+RELEVANCE_LAYERS = f"{_SCORED} SELECT * FROM z"
+
+
+def offsets_ranked(spark: SparkSession, d: str) -> DataFrame:
+    """Each bore's neighbours by their mean relevance over the layers whose base lies below 1,500 m, with the best layer and words for it."""
+    f = _field(spark, d)
+    made = relevance.layer_scores(f["pairs"], f["wells"], f["tops"], f["surveyed"], f["sections"], {"dist": 0.4}, skipped=("L1",)).where("md_base >= 1500")
+    ranked = relevance.rank_overall(made.withColumn("layer_ord", F.col("ord")), "active", "offset", "code")
+    best = made.select("active", "offset", F.col("code").alias("best_layer"), relevance.explain(*[F.col(c) for c in ("struct", "distance_3d", "strat", "ops", "traj", "reason")]).alias("words"))
+    return ranked.join(best, ["active", "offset", "best_layer"]).select("active", "offset", "overall", "best_layer", "place", "words")
+
+
+OFFSETS_RANKED = f"""{_SCORED}, g AS (SELECT z.* FROM z JOIN t ON t.k = active AND t.i = ord WHERE md_base >= 1500),
+o AS (SELECT active, "offset", round(sum(round(score * 1000)) / count(*)) / 1000 overall, arg_max(code, score * 1000 - ord * 0.001) best_layer FROM g GROUP BY 1, 2),
+p AS (SELECT *, (row_number() OVER (PARTITION BY active ORDER BY overall DESC, "offset"))::INT place FROM o)
+SELECT p.*, CASE WHEN reason IS NOT NULL THEN reason ELSE concat_ws('; ', CASE WHEN struct >= 1 THEN 'same fault compartment' ELSE 'across a fault (different compartment)' END, printf('%.1f km apart in-formation', floor(distance_3d / 100 + 0.5) / 10),
+  CASE WHEN strat >= 0.85 THEN 'very similar stratigraphy' WHEN strat < 0.7 THEN 'different stratigraphy/thickness' END, CASE WHEN ops >= 0.85 THEN 'similar hole & mud' END, CASE WHEN traj < 0.7 THEN 'different inclination' END) END words
+FROM p JOIN g ON g.active = p.active AND g."offset" = p."offset" AND g.code = p.best_layer"""
+
+
+FUNCTIONS = (relevance_layers, offsets_ranked, eb_risk_atlas, eb_risk_ci, radius_neighbors, weighted_jaccard, relevance_rank, survey_integration, interval_lookup, section_first_match, asof_station, carry_forward, md_at_value_bisect, noisy_or_curve, risk_zones, latlon_projection, unit_normalise)
 QUERIES = {f.__name__: f for f in FUNCTIONS}
 ORACLES = {n: globals()[n.upper()] for n in QUERIES if n.upper() in globals()}

@@ -105,12 +105,12 @@ def severity_confidence(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("o_orderkey")
     hours = F.when(k % 4 != 0, k % 60).cast("double")
     sure = events.confidence(k % 2 == 0, F.when(k % 3 != 0, k % 3 == 1), k % 5 == 0, k % 7 == 0, k % 11 == 0, k % 13 == 0, k % 17 == 0)
-    made = o.select("o_orderkey", events.severity((k % 6).cast("int"), hours, F.when(F.col("o_orderstatus") == "F", "failed").otherwise("resolved"), k % 19 == 0).alias("severity"), sure.alias("confidence"))
+    made = o.select("o_orderkey", events.severity(events.subtype_score(F.element_at(F.array(*map(F.lit, ("total", "severe", "partial", "seepage", "poor bond", ""))), (k % 6 + 1).cast("int"))), hours, F.when(F.col("o_orderstatus") == "F", "failed").otherwise("resolved"), k % 19 == 0).alias("severity"), sure.alias("confidence"))
     return made.withColumn("status", events.review_status(F.col("confidence")))
 
 
 SEVERITY_CONFIDENCE = """WITH k AS (SELECT *, o_orderkey k, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderkey % 60 ELSE 0 END h FROM orders),
-s AS (SELECT k o_orderkey, CASE WHEN k % 19 = 0 THEN 0 ELSE greatest(k % 6, CASE WHEN h = 0 THEN 2 WHEN o_orderstatus = 'F' OR h >= 48 THEN 5 WHEN h >= 24 THEN 4 WHEN h >= 8 THEN 3 WHEN h >= 2 THEN 2 ELSE 1 END) END::INT severity,
+s AS (SELECT k o_orderkey, CASE WHEN k % 19 = 0 THEN 0 ELSE greatest(CASE k % 6 WHEN 0 THEN 5 WHEN 1 THEN 4 WHEN 2 THEN 3 WHEN 3 THEN 1 ELSE 0 END, CASE WHEN h = 0 THEN 2 WHEN o_orderstatus = 'F' THEN 5 WHEN h < 4 THEN 2 WHEN h < 12 THEN 3 WHEN h < 30 THEN 4 ELSE 5 END) END::INT severity,
   (55 + 20 * (k % 2 = 0)::INT + CASE WHEN k % 3 = 0 THEN 0 WHEN k % 3 = 1 THEN 10 ELSE -15 END + 5 * (k % 5 = 0)::INT + 5 * (k % 7 = 0)::INT - 10 * (k % 11 = 0)::INT - 10 * (k % 13 = 0)::INT - 10 * (k % 17 = 0)::INT) c FROM k)
 SELECT o_orderkey, severity, least(greatest(c, 0), 100) / 100.0::DOUBLE confidence, CASE WHEN c >= 80 THEN 'auto' ELSE 'needs_review' END status FROM s"""
 

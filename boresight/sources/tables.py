@@ -2,11 +2,26 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` computed once and written to the shared checkpoint folder, for what several branches of a plan read.
+
+    The folder is the one of ``spark.checkpoint.dir``; a local session without it gets a temporary one.
+    """
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="boresight-"))
+    return df.checkpoint()
+
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     """One of the driver's tables."""

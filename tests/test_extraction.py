@@ -69,8 +69,10 @@ def test_types(spark):
 
 
 def test_validation(spark):
-    events = spark.createDataFrame([(1, "w", 1010.0, "B", "2020-01-05"), (2, "w", 1500.0, "A", "2021-01-01"), (3, "w", 1900.0, None, None), (4, "w", None, "A", None), (5, "v", 10.0, "A", None)], "event_id int, well_id string, md_top double, formation_reported string, event_date string")
+    """The share of a layer is taken of its vertical thickness, on a bore whose vertical depth is half the measured one below 1,000 m."""
+    rows = [(1, "w", 1010.0, "B", "2020-01-05"), (2, "w", 1500.0, "A", "2021-01-01"), (3, "w", 1900.0, None, None), (4, "w", None, "A", None), (5, "v", 10.0, "A", None)]
+    events = spark.createDataFrame(rows, "event_id int, well_id string, md_top double, formation_reported string, event_date string").withColumn("tvd", F.expr("least(md_top, 1000) + greatest(md_top - 1000, 0) / 2"))
     bores = spark.createDataFrame([("w", 2000.0, "2020-01-01", "2020-03-01")], "well_id string, td double, spud string, completed string")
-    tops = spark.createDataFrame([("w", "A", 500.0, 1000.0, False), ("w", "B", 1000.0, 1800.0, False), ("w", "C", 1800.0, 1990.0, True)], "well_id string, code string, md_top double, md_base double, td_in_formation boolean")
-    found = {r.event_id: (r.formation, r.f_pos, r.consistent, r.off_date) for r in extraction.validate(events, bores, tops).collect()}
-    assert found == {1: ("B", 0.0125, True, False), 2: ("B", 0.625, False, True), 3: ("C", 0.5263, None, False), 4: (None, None, False, False), 5: (None, None, False, False)}
+    tops = spark.createDataFrame([("w", "A", 500.0, 1000.0, 500.0, 1000.0, False), ("w", "B", 1000.0, 1800.0, 1000.0, 1300.0, False), ("w", "C", 1800.0, 1990.0, 1400.0, 1495.0, True)], "well_id string, code string, md_top double, md_base double, tvd_top double, tvd_base double, td_in_formation boolean")
+    found = {r.event_id: (r.formation, r.formation_source, r.f_pos, r.consistent, r.off_date) for r in extraction.validate(events, bores, tops).collect()}
+    assert found == {1: ("B", "tops", 0.0167, True, False), 2: ("B", "tops", 0.8333, False, True), 3: ("C", "tops", 0.5263, None, False), 4: ("A", "reported", None, None, False), 5: ("A", "reported", None, None, False)}
