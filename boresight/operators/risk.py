@@ -59,14 +59,17 @@ def project(events: DataFrame, tops: DataFrame) -> DataFrame:
     return events.join(t, "layer", "left").select(*events.columns, at.alias("at_tvd"), F.when(placed, sigma).otherwise(25.0).alias("sigma"), method.alias("method"))
 
 
-def noisy_or(grid: DataFrame, kernels: DataFrame, key: list[str], reach: float = 8.0, least_width: float = 10.0, widest: float = 25.0) -> DataFrame:
+def noisy_or(grid: DataFrame, kernels: DataFrame, key: list[str], reach: float = 8.0, least_width: float = 10.0) -> DataFrame:
     """1 - (1 - floor) * prod(1 - amp * gauss) at every grid point ``(key, md, floor)`` over ``kernels(key, mu, sigma, amp)``.
 
-    Kernels beyond ``reach`` widths are nothing, so grid and kernels meet on buckets of the widest reach rather than all by all.
+    Kernels beyond ``reach`` widths are nothing, so grid and kernels meet on buckets rather than all by all. A kernel stands in
+    each bucket that it reaches, however wide it is, and a grid point in its own.
     """
-    size = reach * max(least_width, widest)
-    g = grid.withColumn("__bucket", F.floor(F.col("md") / size))
-    k = kernels.withColumn("bw", F.greatest("sigma", F.lit(least_width))).withColumn("__bucket", F.explode(F.sequence(F.floor(F.col("mu") / size) - 1, F.floor(F.col("mu") / size) + 1)))
+    size = reach * least_width
+    bucket = lambda x: F.floor(x / size)
+    g = grid.withColumn("__bucket", bucket(F.col("md")))
+    k = kernels.withColumn("bw", F.greatest("sigma", F.lit(least_width)))
+    k = k.withColumn("__bucket", F.explode(F.sequence(bucket(F.col("mu") - reach * F.col("bw")), bucket(F.col("mu") + reach * F.col("bw")))))
     z = (F.col("md") - F.col("mu")) / F.col("bw")
     near = g.join(k.select(*key, "__bucket", "mu", "bw", "amp"), [*key, "__bucket"], "left").withColumn("miss", F.when(F.abs(z) <= reach, 1 - F.col("amp") * F.exp(-0.5 * z * z)).otherwise(1.0))
     return near.groupBy(*key, "md").agg((1 - (1 - F.first("floor")) * F.product("miss")).alias("risk"))
@@ -80,10 +83,17 @@ def zones(curve: DataFrame, key: list[str], at: str, risk: str, threshold: float
     return runs.groupBy(*key, "__run").agg(F.min(at).alias("md_from"), F.max(at).alias("md_to"), F.max(risk).alias("peak"), F.min_by(at, F.struct(-F.col(risk), F.col(at))).alias("peak_at"), F.count("*").alias("points")).drop("__run")
 
 
-def contributors(found: DataFrame, events: DataFrame, key: list[str], top: int = 8) -> DataFrame:
-    """The events within two sigma of each zone, strongest first."""
-    z, e = found.alias("z"), events.alias("e")
-    on = F.col("e.mu").between(F.col("z.md_from") - 2 * F.col("e.sigma"), F.col("z.md_to") + 2 * F.col("e.sigma"))
+def contributors(found: DataFrame, events: DataFrame, key: list[str], top: int = 8, bucket: float = 50.0) -> DataFrame:
+    """The events within two sigma of each zone, strongest first.
+
+    Zones and events (as stretches of two sigma to either side) stand in each bucket that they touch; a pair is taken in the
+    first bucket that both have, so it counts once and no key is joined all by all.
+    """
+    at = lambda x: F.floor(x / bucket)
+    low, high = F.col("mu") - 2 * F.col("sigma"), F.col("mu") + 2 * F.col("sigma")
+    z = found.withColumn("__first", at(F.col("md_from"))).withColumn("__bucket", F.explode(F.sequence(at(F.col("md_from")), at(F.col("md_to"))))).alias("z")
+    e = events.withColumns({"__low": low, "__high": high}).withColumn("__first", at(F.col("__low"))).withColumn("__bucket", F.explode(F.sequence(at(F.col("__low")), at(F.col("__high"))))).alias("e")
+    on = (F.col("z.__bucket") == F.col("e.__bucket")) & (F.col("z.__bucket") == F.greatest("z.__first", "e.__first")) & (F.col("e.__low") <= F.col("z.md_to")) & (F.col("e.__high") >= F.col("z.md_from"))
     for k in key:
         on = on & (F.col(f"z.{k}") == F.col(f"e.{k}"))
     ranked = F.array_sort(F.collect_list(F.struct((-F.col("e.amp")).alias("a"), F.col("e.event_id").alias("id"))))

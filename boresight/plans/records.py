@@ -155,7 +155,7 @@ def lookahead_backtest(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").select("event_id", "event_type", _hours().alias("h"), "value")
     kernels = e.where("h < 360").select("event_type", (F.col("h") + 360).alias("mu"), F.lit(10.0).alias("sigma"), (0.01 * F.col("value") / 100).alias("amp"))
     grid = e.select("event_type").distinct().withColumn("md", F.explode(F.sequence(F.lit(360), F.lit(720), F.lit(4)))).withColumn("md", F.col("md").cast("double")).withColumn("floor", F.lit(0.02))
-    curve = risk.noisy_or(grid, kernels, ["event_type"], widest=10.0)
+    curve = risk.noisy_or(grid, kernels, ["event_type"])
     flagged = curve.withColumn("flag", F.round("risk", 3) >= LEVEL)
     later = e.where("h >= 360").select("event_id", "event_type", "h")
     hits = intervals.bucketed_range_join(later, flagged.where("flag").select("event_type", "md"), ["event_type"], "h", "md", 4.0).select("event_id").distinct().withColumn("hit", F.lit(1))
@@ -171,14 +171,17 @@ l AS (SELECT * FROM e WHERE h >= 360), n AS (SELECT event_type, count(*) n_event
 SELECT n.*, s.flagged FROM n JOIN (SELECT event_type, round(avg(flag::INT), 4) flagged FROM c GROUP BY 1) s USING (event_type)"""
 
 
+ZONE_LEVEL = 0.15  # at which the smallest tables have zones
+
+
 def zone_contributors(spark: SparkSession, d: str) -> DataFrame:
     """The strongest events within two sigma of each zone."""
     e = table(spark, d, "events").select("event_type", _hours().alias("mu"), F.lit(1.0).alias("sigma"), F.col("value").alias("amp"), "event_id")
-    zones = risk.zones(_curve(spark, d), ["event_type"], "md", "risk", 0.75).select("event_type", "md_from", "md_to")
+    zones = risk.zones(_curve(spark, d), ["event_type"], "md", "risk", ZONE_LEVEL).select("event_type", "md_from", "md_to")
     return risk.contributors(zones, e, ["event_type"], 3).select("event_type", "md_from", "md_to", F.array_join("event_ids", ",").alias("event_ids"), "n_events")
 
 
-ZONE_CONTRIBUTORS = f"""WITH {_CURVE}, r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY md) n FROM curve), z AS (SELECT *, n - row_number() OVER (PARTITION BY event_type ORDER BY md) run FROM r WHERE risk >= 0.75),
+ZONE_CONTRIBUTORS = f"""WITH {_CURVE}, r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY md) n FROM curve), z AS (SELECT *, n - row_number() OVER (PARTITION BY event_type ORDER BY md) run FROM r WHERE risk >= {ZONE_LEVEL}),
 zz AS (SELECT event_type, min(md) md_from, max(md) md_to FROM z GROUP BY event_type, run), x AS (SELECT zz.*, event_id, row_number() OVER (PARTITION BY zz.event_type, md_from ORDER BY value DESC, event_id) p FROM zz JOIN (SELECT *, {_HOURS} h FROM events) e ON e.event_type = zz.event_type AND h BETWEEN md_from - 2 AND md_to + 2)
 SELECT event_type, md_from, md_to, string_agg(event_id, ',' ORDER BY p) FILTER (p <= 3) event_ids, count(*) n_events FROM x GROUP BY 1, 2, 3"""
 

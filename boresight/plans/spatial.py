@@ -180,7 +180,7 @@ def _curve(spark: SparkSession, d: str) -> DataFrame:
     hours = (F.unix_micros(F.col("ts").cast("timestamp")) - 1704067200000000) / 3.6e9
     kernels = e.select("event_type", hours.alias("mu"), F.lit(10.0).alias("sigma"), (0.01 * F.col("value") / 100).alias("amp"), "event_id")
     grid = e.select("event_type").distinct().withColumn("md", F.explode(F.sequence(F.lit(0), F.lit(718), F.lit(2)))).withColumn("md", F.col("md").cast("double")).withColumn("floor", F.lit(0.02))
-    return risk.noisy_or(grid, kernels, ["event_type"], reach=8.0, widest=10.0).withColumn("risk", F.round("risk", 3))
+    return risk.noisy_or(grid, kernels, ["event_type"], reach=8.0).withColumn("risk", F.round("risk", 3))
 
 
 def noisy_or_curve(spark: SparkSession, d: str) -> DataFrame:

@@ -9,8 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from boresight.functions import lexicon, text
-from boresight.operators import events, extraction, questions, records, relevance, retrieval, trajectory
+from boresight.functions.numeric import fuse
+from boresight.operators import events, extraction, questions, records, relevance, retrieval, risk, trajectory
 from boresight.plans import spatial
+from boresight.streaming import alerts
 
 rng = random.Random(6)
 
@@ -141,3 +143,34 @@ def test_depths_are_held(spark):
     df = spark.createDataFrame(rows, "event_id int, well_id string, md_top double, md_base double, flags array<string>")
     made = {r.event_id: (r.md_top, r.md_base, r.flags) for r in extraction.hold_depths(df, spark.createDataFrame([("w", 2000.0)], "well_id string, td double")).collect()}
     assert made == {1: (2000.0, 2000.0, []), 3: (1828.8, None, ["depth_unit_inferred", "converted_from_ft"]), 6: (1500.0, 1500.0, [])}
+
+
+def test_wide_kernels_reach_all_their_points(spark):
+    kernels = [("k", rng.uniform(0, 3000), s, 0.3) for s in (5.0, 10.0, 25.0, 60.0, 200.0) for _ in range(6)]
+    grid = [("k", float(m), 0.02) for m in range(0, 3000, 10)]
+    made = {r.md: r.risk for r in risk.noisy_or(spark.createDataFrame(grid, "key string, md double, floor double"), spark.createDataFrame(kernels, "key string, mu double, sigma double, amp double"), ["key"]).collect()}
+    for _, md, floor in grid:
+        miss = 1 - floor
+        for _, mu, sigma, amp in kernels:
+            z = (md - mu) / max(sigma, 10.0)
+            miss *= 1 - amp * math.exp(-0.5 * z * z) * (abs(z) <= 8)
+        assert made[md] == pytest.approx(1 - miss)
+
+
+def test_contributors_of_zones(spark):
+    zones = [("k", 100.0 * i, 100.0 * i + rng.choice((0.0, 10.0, 260.0))) for i in range(20)]
+    rows = [("k", rng.uniform(-50, 2300), rng.choice((1.0, 30.0, 400.0)), rng.random(), i) for i in range(150)]
+    made = risk.contributors(spark.createDataFrame(zones, "key string, md_from double, md_to double"), spark.createDataFrame(rows, "key string, mu double, sigma double, amp double, event_id int"), ["key"], 4).collect()
+    found = {(r.md_from, r.md_to): (r.event_ids, r.n_events) for r in made}
+    for _, low, high in zones:
+        near = sorted((-amp, i) for _, mu, s, amp, i in rows if low - 2 * s <= mu <= high + 2 * s)
+        assert found.get((low, high), ([], 0)) == ([i for _, i in near[:4]], len(near))
+
+
+def test_alerts_use_the_curve_at_the_bit(spark):
+    zone = alerts.Zone("LC-2800", "LC", 2800.0, 2830.0, 0.9)
+    feed = spark.createDataFrame([("s", 0.0, 2700.0, 20.0, [], {"LC": 0.8}), ("s", 1.0, 2811.0, 20.0, [], {"LC": 0.8})], "session string, t double, bit_md double, rop_1h double, fired array<string>, live map<string,double>")
+    curve = spark.createDataFrame([("LC", 2.0 * i, 0.5 if i == 1405 or i == 1406 else 0.1) for i in range(1500)], "family string, md double, risk double")
+    made = {r.t: r.p_final for r in alerts.zone_rows(alerts.with_prior(feed, curve, 2.0, 1500), [zone]).where("zone = 'LC-2800'").collect()}
+    expected = spark.range(1).select(fuse(F.lit(0.5), F.lit(0.8)).alias("p")).first().p
+    assert made[0.0] == 0.9 and made[1.0] == pytest.approx(expected)
