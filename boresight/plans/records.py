@@ -171,17 +171,18 @@ l AS (SELECT * FROM e WHERE h >= 360), n AS (SELECT event_type, count(*) n_event
 SELECT n.*, s.flagged FROM n JOIN (SELECT event_type, round(avg(flag::INT), 4) flagged FROM c GROUP BY 1) s USING (event_type)"""
 
 
-ZONE_LEVEL = 0.15  # at which the smallest tables have zones
+ZONE_LEVEL = 1.15  # times the mean risk of an event type, so that tables of any size have zones
 
 
 def zone_contributors(spark: SparkSession, d: str) -> DataFrame:
     """The strongest events within two sigma of each zone."""
     e = table(spark, d, "events").select("event_type", _hours().alias("mu"), F.lit(1.0).alias("sigma"), F.col("value").alias("amp"), "event_id")
-    zones = risk.zones(_curve(spark, d), ["event_type"], "md", "risk", ZONE_LEVEL).select("event_type", "md_from", "md_to")
+    curve = _curve(spark, d).withColumn("raised", F.round(F.col("risk") / F.avg("risk").over(Window.partitionBy("event_type")), 4))
+    zones = risk.zones(curve, ["event_type"], "md", "raised", ZONE_LEVEL).select("event_type", "md_from", "md_to")
     return risk.contributors(zones, e, ["event_type"], 3).select("event_type", "md_from", "md_to", F.array_join("event_ids", ",").alias("event_ids"), "n_events")
 
 
-ZONE_CONTRIBUTORS = f"""WITH {_CURVE}, r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY md) n FROM curve), z AS (SELECT *, n - row_number() OVER (PARTITION BY event_type ORDER BY md) run FROM r WHERE risk >= {ZONE_LEVEL}),
+ZONE_CONTRIBUTORS = f"""WITH {_CURVE}, r AS (SELECT *, round(risk / avg(risk) OVER (PARTITION BY event_type), 4) raised, row_number() OVER (PARTITION BY event_type ORDER BY md) n FROM curve), z AS (SELECT *, n - row_number() OVER (PARTITION BY event_type ORDER BY md) run FROM r WHERE raised >= {ZONE_LEVEL}),
 zz AS (SELECT event_type, min(md) md_from, max(md) md_to FROM z GROUP BY event_type, run), x AS (SELECT zz.*, event_id, row_number() OVER (PARTITION BY zz.event_type, md_from ORDER BY value DESC, event_id) p FROM zz JOIN (SELECT *, {_HOURS} h FROM events) e ON e.event_type = zz.event_type AND h BETWEEN md_from - 2 AND md_to + 2)
 SELECT event_type, md_from, md_to, string_agg(event_id, ',' ORDER BY p) FILTER (p <= 3) event_ids, count(*) n_events FROM x GROUP BY 1, 2, 3"""
 
