@@ -188,12 +188,14 @@ def spans_of(data: bytes, strong: float, weak: float, words: Mapping[str, int] =
     low = data.lower()
     if any(cue in low for cue in CUES):
         found += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(data) if m.end(1) - m.start(1) >= 12]
+        costs: dict[str, float] = {}  # a value that a text repeats is rated once
         for m in CONTEXT.finditer(data):
             value = m[1].decode().rstrip(".,;\"'")
             has_sign = b":" in data[m.start() : m.start(1)] or b"=" in data[m.start() : m.start(1)]
             if len(value) < 6 or not (has_sign or any(c.isdigit() for c in value)):
                 continue  # prose after a cue word
-            cost = guess_cost(value, words, strong)
+            if (cost := costs.get(value)) is None:
+                cost = costs[value] = guess_cost(value, words, strong)
             if cost >= strong or (has_sign and cost < weak):
                 found.append((m.start(1), 3 if cost >= strong else 4, m.start(1) + len(value)))
     return sorted(_characters(data, found)) if found else found
