@@ -82,7 +82,7 @@ def sigmoid(x: Column) -> Column:
 def fuse(prior: Column, live: Column, gain: float = 0.8) -> Column:
     """A prior probability moved by live evidence; without any it stays."""
     x = logit(F.greatest(prior, F.lit(0.01))) + gain * logit(F.least(F.greatest(live, F.lit(0.02)), F.lit(0.98)))
-    return F.coalesce(sigmoid(x), prior)
+    return F.when(live.isNull(), prior).otherwise(sigmoid(x))  # least and greatest pass over nulls
 
 
 def _beta_cdf(x: np.ndarray, a: np.ndarray, b: np.ndarray, steps: int = 200) -> np.ndarray:

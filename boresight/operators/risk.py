@@ -46,24 +46,26 @@ def amplitude(s: Column, severity: Column, family_weight: Column, confidence: Co
     return s * by_level * family_weight * (0.6 + 0.4 * trust)
 
 
-def project(events: DataFrame, tops: DataFrame) -> DataFrame:
+def project(events: DataFrame, tops: DataFrame, key: list[str] | None = None) -> DataFrame:
     """Place events of other entities on the active one: by position within the layer, else by absolute depth.
 
-    ``events(layer, f_pos, tvdss, status)``, ``tops(layer, tvd_top, tvd_base, kind)``; adds ``at_tvd`` (null: use tvdss) and ``sigma``.
+    ``events(layer, f_pos, tvdss, status)``, ``tops(layer, tvd_top, tvd_base, kind)``, of each ``key`` if given; adds ``at_tvd``
+    (null: use the event's own depth) and ``sigma``.
     """
-    t = tops.select(F.col("layer"), F.col("tvd_top").alias("__top"), F.col("tvd_base").alias("__base"), F.col("kind").alias("__kind"))
+    key = [*(key or []), "layer"]
+    t = tops.select(*key, F.col("tvd_top").alias("__top"), F.col("tvd_base").alias("__base"), F.col("kind").alias("__kind"))
     placed = F.col("__top").isNotNull() & F.col("f_pos").isNotNull()
     sigma = 6.0 + F.when(F.col("__kind") == "prognosed", 5.0).otherwise(0.0) + F.when(F.col("status") == "needs_review", 4.0).otherwise(0.0)
     at = F.when(placed, F.col("__top") + F.col("f_pos") * (F.col("__base") - F.col("__top")))
     method = F.when(placed, "formation_relative").otherwise("tvdss_fallback")
-    return events.join(t, "layer", "left").select(*events.columns, at.alias("at_tvd"), F.when(placed, sigma).otherwise(25.0).alias("sigma"), method.alias("method"))
+    return events.join(t, key, "left").select(*events.columns, at.alias("at_tvd"), F.when(placed, sigma).otherwise(25.0).alias("sigma"), method.alias("method"))
 
 
-def noisy_or(grid: DataFrame, kernels: DataFrame, key: list[str], reach: float = 8.0, least_width: float = 10.0) -> DataFrame:
+def noisy_or(grid: DataFrame, kernels: DataFrame, key: list[str], reach: float = 8.0, least_width: float = 10.0, carried: list[str] | None = None) -> DataFrame:
     """1 - (1 - floor) * prod(1 - amp * gauss) at every grid point ``(key, md, floor)`` over ``kernels(key, mu, sigma, amp)``.
 
     Kernels beyond ``reach`` widths are nothing, so grid and kernels meet on buckets rather than all by all. A kernel stands in
-    each bucket that it reaches, however wide it is, and a grid point in its own.
+    each bucket that it reaches, however wide it is, and a grid point in its own. Columns ``carried`` of the grid are kept.
     """
     size = reach * least_width
     bucket = lambda x: F.floor(x / size)
@@ -72,7 +74,7 @@ def noisy_or(grid: DataFrame, kernels: DataFrame, key: list[str], reach: float =
     k = k.withColumn("__bucket", F.explode(F.sequence(bucket(F.col("mu") - reach * F.col("bw")), bucket(F.col("mu") + reach * F.col("bw")))))
     z = (F.col("md") - F.col("mu")) / F.col("bw")
     near = g.join(k.select(*key, "__bucket", "mu", "bw", "amp"), [*key, "__bucket"], "left").withColumn("miss", F.when(F.abs(z) <= reach, 1 - F.col("amp") * F.exp(-0.5 * z * z)).otherwise(1.0))
-    return near.groupBy(*key, "md").agg((1 - (1 - F.first("floor")) * F.product("miss")).alias("risk"))
+    return near.groupBy(*key, "md").agg((1 - (1 - F.first("floor")) * F.product("miss")).alias("risk"), *[F.first(c).alias(c) for c in carried or []])
 
 
 def zones(curve: DataFrame, key: list[str], at: str, risk: str, threshold: float = 0.40) -> DataFrame:

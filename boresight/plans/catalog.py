@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from boresight.plans import records, reports, sequences, spatial, texts
+from boresight.plans import records, reports, sequences, spatial, texts, tracks
 
-PARTS = (spatial, sequences, texts, records, reports)
+PARTS = (spatial, sequences, texts, records, reports, tracks)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

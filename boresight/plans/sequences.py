@@ -123,15 +123,39 @@ RATE_1H = """WITH s AS (SELECT *, epoch_us(ts) / 1e6 s FROM events), o AS (SELEC
 SELECT event_id, round(CASE WHEN (s - t0) / 3600 > 0.05 THEN (value - v0) / ((s - t0) / 3600) ELSE 0 END, 3) rate FROM o"""
 
 
-def alert_timeline(spark: SparkSession, d: str) -> DataFrame:
-    """Alert changes of each event type's feed against fixed zones: depth is a day's share, rules fire on large values."""
+def alert_feed(spark: SparkSession, d: str) -> tuple[DataFrame, list[alerts.Zone]]:
+    """Each event type's feed and fixed zones: depth is a day's share, rules fire on large values."""
     e = table(spark, d, "events")
     seconds = (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1000000)).cast("double") - 1704067200
     feed = e.select(F.col("event_type").alias("session"), seconds.alias("t"), (2700 + seconds / 2592000 * 300).alias("bit_md"), F.lit(20.0).alias("rop_1h"),
                     F.when(F.col("value") > 60, F.array(F.lit("LC"))).otherwise(F.array().cast("array<string>")).alias("fired"),
                     F.map_from_arrays(F.array(F.lit("LC")), F.array(F.least(F.col("value") / 100, F.lit(1.0)))).alias("live"))
-    zones = [alerts.Zone("LC-2800", "LC", 2800.0, 2830.0, 0.9), alerts.Zone("SP-2900", "SP", 2900.0, 2910.0, 0.6)]
-    return alerts.numbered(alerts.timeline(feed, zones))
+    return feed, [alerts.Zone("LC-2800", "LC", 2800.0, 2830.0, 0.9), alerts.Zone("SP-2900", "SP", 2900.0, 2910.0, 0.6)]
+
+
+def alert_timeline(spark: SparkSession, d: str) -> DataFrame:
+    """Alert changes of each event type's feed against fixed zones."""
+    return alerts.numbered(alerts.timeline(*alert_feed(spark, d))).withColumn("t", F.round("t", 3)).withColumn("bit_md", F.round("bit_md", 4)).drop("md_from", "md_to")
+
+
+# What a record asks of a key comes from windows; the tier held is a recursion over each key's records. Keys: LC-2800, SP-2900 and one for evidence alone (the other families never have any).
+_FUSED = "1 / (1 + exp(-(ln(0.9::DOUBLE / (1 - 0.9::DOUBLE)) + 0.8::DOUBLE * ln(least(greatest(live, 0.02), 0.98) / (1 - least(greatest(live, 0.02), 0.98))))))"
+CHANGES = f"""WITH RECURSIVE f AS (SELECT event_type AS session, epoch_us(ts) / 1000000.0::DOUBLE - 1704067200 t, 2700 + (epoch_us(ts) / 1000000.0::DOUBLE - 1704067200) / 2592000 * 300 bit_md, value > 60 fired, least(value / 100, 1) live FROM events),
+o AS (SELECT *, row_number() OVER w n, row_number() OVER (w) - max(CASE WHEN NOT fired THEN i ELSE 0 END) OVER w rules, row_number() OVER (w) - max(CASE WHEN NOT (fired OR live >= 0.7) THEN i ELSE 0 END) OVER w signs
+  FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY t, bit_md) i FROM f) WINDOW w AS (PARTITION BY session ORDER BY t, bit_md)),
+k AS (SELECT 'LC-2800' AS zone, 'LC' family, 2800.0::DOUBLE md_from, 2830.0::DOUBLE md_to, 0.9::DOUBLE peak UNION ALL SELECT 'SP-2900', 'SP', 2900, 2910, 0.6 UNION ALL SELECT 'LC-live', 'LC', NULL, NULL, NULL),
+a AS (SELECT session, zone, family, n, t, bit_md, md_from - bit_md ahead, bit_md > md_to + 10 passed, bit_md BETWEEN md_from - 20 AND md_to + 5 inside, rules, signs, live, peak, md_from, md_to FROM o CROSS JOIN k),
+q AS MATERIALIZED (SELECT session, zone, family, n, t, bit_md, ahead, coalesce(passed, false) passed, md_from, md_to,
+  CASE WHEN md_from IS NULL THEN CASE WHEN rules >= 3 AND NOT bit_md BETWEEN 2780 AND 2850 THEN 2 ELSE 0 END WHEN passed THEN 0 WHEN inside THEN CASE WHEN family = 'LC' AND (rules >= 3 OR signs >= 6) THEN 3 ELSE 2 END WHEN ahead > 0 AND ahead <= 100 THEN 1 ELSE 0 END wanted,
+  CASE WHEN md_from IS NULL THEN live WHEN inside AND family = 'LC' THEN {_FUSED} ELSE peak END p_final FROM a),
+held AS (SELECT session, zone, 0::BIGINT n, 0 tier, 0 before, 0.0::DOUBLE asked FROM (SELECT DISTINCT session, zone FROM q) UNION ALL
+  SELECT h.session, h.zone, q.n, CASE WHEN wanted >= h.tier OR q.t - h.asked >= 300 OR passed THEN wanted ELSE h.tier END, h.tier, CASE WHEN wanted >= h.tier AND wanted > 0 THEN q.t ELSE h.asked END FROM held h JOIN q ON q.session = h.session AND q.zone = h.zone AND q.n = h.n + 1),
+changes AS (SELECT q.session, q.zone, q.family, q.n, q.t, q.bit_md, [NULL, 'ADVISORY', 'CAUTION', 'WARNING'][h.tier + 1] tier, [NULL, 'ADVISORY', 'CAUTION', 'WARNING'][h.before + 1] previous, ahead, p_final, md_from, md_to FROM held h JOIN q USING (session, zone, n) WHERE h.tier <> h.before)"""
+ALERT_TIMELINE = f"""{CHANGES}, b AS (SELECT session, zone, 'AL-' || lpad((row_number() OVER (PARTITION BY session ORDER BY min(t), zone))::VARCHAR, 3, '0') alert_id FROM changes GROUP BY session, zone),
+x AS (SELECT *, CASE family WHEN 'LC' THEN 'Mud loss' ELSE 'Stuck pipe' END label, CASE zone WHEN 'LC-2800' THEN '2,800-2,830 m' ELSE '2,900-2,910 m' END span FROM changes)
+SELECT session, zone, family, round(t, 3) t, round(bit_md, 4) bit_md, tier, previous, round(ahead, 1) ahead, round(p_final, 3) p_final, alert_id,
+  CASE WHEN tier IS NULL THEN label || ': cleared' WHEN md_from IS NULL THEN label || ': live signs where no offset had trouble' WHEN tier = 'ADVISORY' THEN label || ' zone ' || span || ' is ' || round_even(ahead, 0)::INT || ' m ahead'
+  WHEN tier = 'CAUTION' THEN label || ' zone ' || span || ': inside, live data normal' ELSE label || ' zone ' || span || ': live signs agree' END message FROM x JOIN b USING (session, zone)"""
 
 
 def merge_mentions(spark: SparkSession, d: str) -> DataFrame:
