@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from boresight.operators import features
 
 CONFUSABLE = {"SP": "TQ", "TQ": "SP"}  # fixed values: families whose signs overlap
+AT_ONCE = "SP"  # fixed value: the family that a crew notices at its onset
 
 
 def ndcg(ranked: DataFrame, group: str, gain: str, score: list[Column], k: int = 5) -> DataFrame:
@@ -55,15 +56,35 @@ def false_alarm_rates(scored: DataFrame, thresholds: list[float], every_s: float
     """``family, threshold, false_per_day`` over segments that are neither of the family nor of one that looks like it.
 
     ``scored(segment, kind, family, t, p)`` has a row each ``every_s`` seconds; an alarm is the second row in a row at the
-    threshold. A segment without a kind counts for all families. Each segment is ordered alone.
+    threshold. A segment without a kind counts for all families. Each segment is ordered alone. A row is an alarm at just the
+    thresholds that it and the row before reach and the one before them doesn't, so rows aren't multiplied by thresholds: each
+    says between which of them it is one, and the family's few thresholds are summed up at the end. A null ``p`` reaches none.
     """
+    cuts = F.array(*[F.lit(float(t)) for t in sorted(set(thresholds))])
     alike = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in CONFUSABLE.items() for x in kv]), F.col("family")), F.lit(""))
     kept = scored.where(F.col("kind").isNull() | ((F.col("kind") != F.col("family")) & (F.col("kind") != alike)))
-    tried = kept.withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds))))
-    second = F.col("streak") == 2
-    counted = features.streaks(tried, ["segment", "family", "threshold"], "t", F.col("p") >= F.col("threshold"))
-    rates = counted.groupBy("family", "threshold").agg(F.count_if(second).alias("alarms"), F.count("*").alias("n"))
-    return rates.select("family", "threshold", (F.col("alarms") / F.greatest(F.col("n") * every_s / 3600, F.lit(1e-6)) * 24).alias("false_per_day"))
+    w = Window.partitionBy("segment", "family").orderBy("t")
+    reached = F.coalesce(F.size(F.filter(cuts, lambda t: t <= F.col("p"))), F.lit(0))
+    steps = kept.withColumn("__own", F.when(F.col("p").isNull(), 0).otherwise(reached))
+    steps = steps.select("family", F.least("__own", F.lag("__own", 1, 0).over(w)).alias("high"), F.lag("__own", 2, 0).over(w).alias("low"))
+    turn = F.when(F.col("high") > F.col("low"), F.array(F.struct((F.col("low") + 1).alias("i"), F.lit(1).alias("x")), F.struct((F.col("high") + 1).alias("i"), F.lit(-1).alias("x"))))
+    turns = steps.select("family", F.explode(turn).alias("e")).groupBy("family", "e.i").agg(F.sum("e.x").alias("x"))
+    rows = steps.groupBy("family").agg(F.count("*").alias("n")).select("family", "n", F.posexplode(cuts).alias("i", "threshold")).withColumn("i", F.col("i") + 1)
+    summed = F.coalesce(F.sum("x").over(Window.partitionBy("family").orderBy("i")), F.lit(0))  # a row a threshold
+    return rows.join(turns, ["family", "i"], "left").select("family", "threshold", (summed / F.greatest(F.col("n") * every_s / 3600, F.lit(1e-6)) * 24).alias("false_per_day"))
+
+
+def event_leads(alarms: DataFrame, segments: DataFrame, before_s: int = 3600, declared_s: int = 600, after_s: int = 600) -> DataFrame:
+    """``segment, family, lead_min`` of every event of ``segments(segment, kind, t_onset)``: minutes from its first alarm to when it was declared.
+
+    An event is declared ``declared_s`` after its onset, a stuck pipe at once; alarms of its own family count from ``before_s``
+    before the onset to ``after_s`` after it was declared. Events without such an alarm have null. ``alarms(segment, family, alarm_t)``.
+    """
+    declared = F.col("t_onset") + F.when(F.col("family") == AT_ONCE, 0).otherwise(declared_s)
+    events = segments.where(F.col("kind").isNotNull() & F.col("t_onset").isNotNull()).select("segment", F.col("kind").alias("family"), "t_onset")
+    in_time = F.col("alarm_t").between(F.col("t_onset") - before_s, declared + after_s)
+    first = events.join(alarms, ["segment", "family"], "left").groupBy("segment", "family", "t_onset").agg(F.min(F.when(in_time, F.col("alarm_t"))).alias("first"))
+    return first.select("segment", "family", ((declared - F.col("first")) / 60).alias("lead_min"))
 
 
 def _follow(links: list[int], i: int) -> int:

@@ -6,8 +6,6 @@ share them.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -221,36 +219,3 @@ def label_windows(rows: DataFrame, segments: DataFrame, family: str) -> DataFram
     by_time = F.col("t").between(F.col("t_onset"), F.col("t_onset") + 1800)
     label = (F.col("kind") == family) & F.col("t_onset").isNotNull() & (by_depth if family == "SP" else by_time)
     return rows.join(s, "segment", "left").withColumn("label", F.coalesce(label, F.lit(False)).cast("int")).drop("kind", "t_onset", "md_onset", "precursor_m")
-
-
-def fit_logistic(rows: DataFrame, names: list[str], label: str = "label", penalty: float = 0.5, max_iter: int = 60) -> dict:
-    """Class-balanced L2 logistic regression on z-scored features, by ``pyspark.ml``; parameters in ``score_family``'s form."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-
-    stats = rows.agg(*[F.avg(n).alias(f"m_{n}") for n in names], *[F.stddev_pop(n).alias(f"s_{n}") for n in names], F.count("*").alias("n"), F.sum(label).alias("pos")).first()
-    means, stds = [stats[f"m_{n}"] for n in names], [max(stats[f"s_{n}"], 1e-6) for n in names]
-    n, pos = stats["n"], stats["pos"]
-    weight = F.when(F.col(label) == 1, n / (2 * pos)).otherwise(n / (2 * (n - pos)))
-    z = rows.select(F.col(label).cast("double").alias("y"), weight.alias("w"), *[((F.col(c) - m) / s).alias(c) for c, m, s in zip(names, means, stds)])
-    data = VectorAssembler(inputCols=names, outputCol="x").transform(z)
-    model = LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", regParam=1 / (penalty * n), standardization=False, maxIter=max_iter).fit(data)
-    return {"coef": [float(c) for c in model.coefficients], "intercept": float(model.intercept), "mean": means, "std": stds}
-
-
-def group_folds(rows: DataFrame, group: str, folds: int = 5) -> DataFrame:
-    """Adds ``fold``, the same for all rows of a group: groups by size, dealt in turn."""
-    sizes = rows.groupBy(group).count()
-    place = F.row_number().over(Window.orderBy(F.desc("count"), group)) - 1  # a row a group
-    return rows.join(sizes.withColumn("fold", place % folds).select(group, "fold"), group)
-
-
-def cross_validate(rows: DataFrame, group: str, names: list[str], folds: int = 5, fit: Callable[..., dict] = fit_logistic) -> DataFrame:
-    """Adds ``p``: each row's probability under the model fitted without its fold."""
-    dealt = group_folds(rows, group, folds).persist()
-    out = None
-    for k in range(folds):
-        p, _ = score_family(fit(dealt.where(F.col("fold") != k), names), names)
-        part = dealt.where(F.col("fold") == k).withColumn("p", p)
-        out = part if out is None else out.unionByName(part)
-    return out
