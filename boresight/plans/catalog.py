@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from boresight.plans import records, reports, sequences, spatial, texts, tracks, training
+from boresight.plans import backtests, records, reports, sequences, spatial, texts, tracks, training
 
-PARTS = (spatial, sequences, texts, records, reports, tracks, training)
+PARTS = (spatial, sequences, texts, records, reports, tracks, training, backtests)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
