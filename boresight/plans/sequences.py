@@ -166,6 +166,16 @@ def merge_mentions(spark: SparkSession, d: str) -> DataFrame:
     return merged.select("user_id", "event_type", F.round("md", 4).alias("md"), "confidence", "status", F.size("sources").alias("n_sources"), F.array_min("sources").alias("first_id"), "npt_h")
 
 
+# One row at a time of each key, in depth order: where the cluster stands, how sure it is, what it holds.
+MERGE_MENTIONS = """WITH RECURSIVE r AS MATERIALIZED (SELECT user_id, event_type, event_id, depth, sure, CASE WHEN value > 50 THEN value END npt, row_number() OVER (PARTITION BY user_id, event_type ORDER BY depth, sure, event_id) n
+  FROM (SELECT *, (epoch_us(ts) - 1704067200000000) / 3.6e9::DOUBLE depth, 0.5::DOUBLE + event_id % 5 / 10::DOUBLE sure FROM events)),
+c AS (SELECT user_id, event_type, n, 1 AS cluster, depth md, sure, npt, 1 AS members, event_id first_id FROM r WHERE n = 1 UNION ALL
+  SELECT r.user_id, r.event_type, r.n, c.cluster + apart::INT, CASE WHEN apart OR r.sure > c.sure THEN r.depth ELSE c.md END, CASE WHEN apart THEN r.sure ELSE least(1, greatest(r.sure, c.sure) + 0.05::DOUBLE) END,
+    CASE WHEN apart THEN r.npt WHEN r.sure > c.sure THEN coalesce(r.npt, c.npt) ELSE coalesce(c.npt, r.npt) END, CASE WHEN apart THEN 1 ELSE c.members + 1 END, CASE WHEN apart THEN r.event_id ELSE least(c.first_id, r.event_id) END
+  FROM c JOIN r ON r.user_id = c.user_id AND r.event_type = c.event_type AND r.n = c.n + 1 CROSS JOIN LATERAL (SELECT abs(r.depth - c.md) > 15 apart))
+SELECT user_id, event_type, round(md, 4) md, round(sure, 3) confidence, CASE WHEN members = 1 OR round(sure, 3) >= 0.8 THEN 'auto' ELSE 'needs_review' END status, members n_sources, first_id, npt npt_h
+FROM c QUALIFY row_number() OVER (PARTITION BY user_id, event_type, cluster ORDER BY n DESC) = 1"""
+
 FUNCTIONS = (rolling_features, run_overpull, rules_fired, logit_score, alarm_episodes, persistence, rate_1h, alert_timeline, merge_mentions)
 QUERIES = {f.__name__: f for f in FUNCTIONS}
 ORACLES = {n: globals()[n.upper()] for n in QUERIES if n.upper() in globals()}
