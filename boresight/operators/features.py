@@ -18,6 +18,8 @@ RULES: dict[str, list[tuple[str, bool]]] = {
     "SP": [("overpull > 15", False), ("tq_z > 3", False), ("tq_ssi > 0.6 AND rop_ratio < 0.7", False)],
     "TQ": [("tq_ssi > 0.8", False)],
 }
+UNGATED = ("CM",)  # fixed value: the family whose scores need no corroboration
+# The features that must agree with a model's score.
 GATES = {
     "LC": "dflow < -0.03 OR pit_slope < -0.05", "OP": "gas_ratio > 1.5 OR dflow > 0.02 OR pit_slope > 0.05",
     "SP": "tq_z > 1.5 OR overpull > 8 OR tq_ssi > 0.3", "TQ": "tq_ssi > 0.4 OR tq_z > 2",
@@ -172,6 +174,15 @@ def rules_fired(rules: dict[str, list[tuple[str, bool]]] = RULES, pumping: Colum
     return F.map_from_entries(F.filter(F.array(*entries), lambda e: e["v"] > 0))
 
 
+def backed(gates: dict[str, str] = GATES) -> Column:
+    """The families whose features corroborate a model's score, for ``alerts.zone_rows``: a score alone raises no alert.
+
+    A null feature backs nothing; families without a gate are backed always.
+    """
+    held = [F.when(F.coalesce(F.expr(gate), F.lit(False)), F.lit(family)) for family, gate in gates.items()]
+    return F.array_compact(F.array(*held, *[F.lit(f) for f in UNGATED]))
+
+
 def score_family(params: dict, names: list[str]) -> tuple[Column, Column]:
     """(probability, top three reasons) of a logistic model ``{coef, intercept, mean, std}`` over features."""
     parts = [F.lit(float(c)) * (F.col(n) - m) / s for n, c, m, s in zip(names, params["coef"], params["mean"], params["std"])]

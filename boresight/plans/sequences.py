@@ -82,6 +82,17 @@ SELECT event_type, count(*) n, sum((p AND dflow < -0.07)::INT + (p AND pit_slope
   sum((overpull > 15)::INT + (tq_z > 3)::INT + (tq_ssi > 0.6 AND rop_ratio < 0.7)::INT)::BIGINT sp, sum((tq_ssi > 0.8)::INT)::BIGINT tq FROM g GROUP BY 1"""
 
 
+def backed_families(spark: SparkSession, d: str) -> DataFrame:
+    """How often the features of each event type back a score of each family."""
+    held = _features(spark, d).select("event_type", F.explode(features.backed()).alias("family"))
+    return held.groupBy("event_type", "family").agg(F.count("*").alias("n"))
+
+
+BACKED_FAMILIES = f"""WITH {_FEATURES}, {_OVERPULL}, g AS (SELECT f.*, overpull FROM f JOIN o USING (event_id))
+SELECT event_type, family, count(*) n FROM (SELECT event_type, unnest([CASE WHEN dflow < -0.03 OR pit_slope < -0.05 THEN 'LC' END, CASE WHEN gas_ratio > 1.5 OR dflow > 0.02 OR pit_slope > 0.05 THEN 'OP' END,
+  CASE WHEN tq_z > 1.5 OR overpull > 8 OR tq_ssi > 0.3 THEN 'SP' END, CASE WHEN tq_ssi > 0.4 OR tq_z > 2 THEN 'TQ' END, 'CM']) family FROM g) WHERE family IS NOT NULL GROUP BY 1, 2"""
+
+
 def logit_score(spark: SparkSession, d: str) -> DataFrame:
     p, top = features.score_family(MODEL, SCORED)
     made = _features(spark, d)
@@ -176,6 +187,6 @@ c AS (SELECT user_id, event_type, n, 1 AS cluster, depth md, sure, npt, 1 AS mem
 SELECT user_id, event_type, round(md, 4) md, round(sure, 3) confidence, CASE WHEN members = 1 OR round(sure, 3) >= 0.8 THEN 'auto' ELSE 'needs_review' END status, members n_sources, first_id, npt npt_h
 FROM c QUALIFY row_number() OVER (PARTITION BY user_id, event_type, cluster ORDER BY n DESC) = 1"""
 
-FUNCTIONS = (rolling_features, run_overpull, rules_fired, logit_score, alarm_episodes, persistence, rate_1h, alert_timeline, merge_mentions)
+FUNCTIONS = (rolling_features, run_overpull, rules_fired, backed_families, logit_score, alarm_episodes, persistence, rate_1h, alert_timeline, merge_mentions)
 QUERIES = {f.__name__: f for f in FUNCTIONS}
 ORACLES = {n: globals()[n.upper()] for n in QUERIES if n.upper() in globals()}

@@ -90,3 +90,12 @@ def test_report(spark):
     found = {r.family: r for r in training.report(spark.createDataFrame(made(), ROWS), segments, NAMES, ["LC", "SP", "TQ"]).collect()}
     assert found.keys() == {"LC", "SP"} and all(r.auc > 0.8 and 0.5 <= r.threshold <= 0.99 and r.n_samples == 600 for r in found.values())
     assert training.report(spark.createDataFrame(made(40), ROWS), segments, NAMES, ["TQ"]).count() == 0
+
+
+def test_backed_families(spark):
+    from boresight.operators import features
+
+    names = ["dflow", "pit_slope", "gas_ratio", "tq_z", "overpull", "tq_ssi"]
+    rows = [(-0.04, 0.0, 1.0, 0.0, 0.0, 0.0), (0.0, 0.0, 1.6, 1.6, 0.0, 0.5), (None,) * 6, (-0.03, -0.05, 1.5, 1.5, 8.0, 0.3)]
+    made = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names)).select(features.backed().alias("x")).collect()
+    assert [r.x for r in made] == [["LC", "CM"], ["OP", "SP", "TQ", "CM"], ["CM"], ["CM"]]
