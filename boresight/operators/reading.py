@@ -1,19 +1,22 @@
 """Reading of scanned reports: what a document says about itself, repair of recognised text, glued words.
 
 The repair rules are one chain of native replacements. Glued words are split with the corpus' own word counts: only distinct
-unknown runs of letters are looked at, their pieces meet the counts in a join, and the cheapest split of one run is found
-in a task that holds that run alone.
+unknown runs of letters are looked at; tasks hold the prices of the commonest words, rarer ones are joined, and the cheapest
+split of one run is found in the task that holds it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boresight.functions.numeric import ft_to_m
+from boresight.sources.tables import settled
 
 # How the first page names the kind of a report, its bore, its date and the depth at six o'clock.
 KINDS = (("DDR", r"(?i)DAILY\s*DRILLING"), ("WCR", r"(?i)COMPLETION"))
@@ -40,6 +43,7 @@ REPAIRS = (
 WORD = r"[A-Za-z]+(?:-[A-Za-z]+)?|\d+(?:[.,]\d+)*"
 GLUED = r"[A-Za-z]{6,}"  # shorter runs of letters are left as they are
 UNKNOWN, UNKNOWN_LETTER, SPARE = 12.0, 3.0, 6  # fixed values: price of a piece that is no word, and how much longer it may be than the longest word
+COMMON, MOST_BITS = 200_000, 1 << 27  # words whose prices every task holds; bits of the bitmap of the others (16 MB)
 
 
 def document_meta(first_pages: DataFrame, wells: DataFrame) -> DataFrame:
@@ -91,39 +95,110 @@ def cheapest(length: int, known: dict[tuple[int, int], float], reach: int) -> li
     return cuts[::-1]
 
 
-def split_runs(runs: DataFrame, words: DataFrame) -> DataFrame:
+def _word_bits(word: str, bits: int) -> tuple[int, int, int]:
+    """Three places of a word in a bitmap of ``bits``, a power of two."""
+    h = xxhash.xxh3_128_intdigest(word)
+    return h & (bits - 1), h >> 40 & (bits - 1), h >> 80 & (bits - 1)
+
+
+def _bitmap(words: DataFrame, bits: int, page: int = 1 << 16) -> np.ndarray:
+    """A bitmap of ``words(word)``, made page by page on the executors; only its fixed size reaches the driver."""
+
+    def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            at = np.array([p for w in pdf["word"] for p in _word_bits(w, bits)], np.int64)
+            yield pd.DataFrame({"page": at // page, "place": (at % page).astype(np.int32)})
+
+    def drawn(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        mine = np.zeros(page, bool)
+        mine[pdf["place"].to_numpy()] = True
+        return pd.DataFrame({"page": [key[0]], "body": [np.packbits(mine).tobytes()]})
+
+    pages = words.select("word").mapInPandas(places, "page long, place int").groupBy("page").applyInPandas(drawn, "page long, body binary").collect()
+    whole = np.zeros(max(bits, page) // 8, np.uint8)
+    for r in pages:
+        whole[r.page * page // 8 : (r.page + 1) * page // 8] = np.frombuffer(r.body, np.uint8)
+    return whole
+
+
+def common_words(words: DataFrame, most: int = COMMON) -> tuple[DataFrame, DataFrame]:
+    """The ``most`` commonest words of letters, ties by name, and the others."""
+    letters = words.where(F.col("word").rlike("^[a-z]+$"))
+    edge = letters.orderBy(F.desc("n")).select("n").limit(most).agg(F.count("*").alias("many"), F.min("n").alias("n")).first()
+    if edge["many"] < most:
+        return letters, letters.where("false")
+    tied = letters.where(F.col("n") == edge["n"]).orderBy("word").limit(most - letters.where(F.col("n") > edge["n"]).count()).agg(F.max("word")).first()[0]
+    held = (F.col("n") > edge["n"]) | ((F.col("n") == edge["n"]) & (F.col("word") <= tied))
+    return letters.where(held), letters.where(~held)
+
+
+def split_runs(runs: DataFrame, words: DataFrame, most: int = COMMON, bits: int = MOST_BITS) -> DataFrame:
     """``runs(run)`` of letters, distinct, with ``split``, their least-cost cut into ``words(word, n)``.
 
-    A word costs minus the log of its share. Only pieces as long as some word are made, and a join leaves those that are
-    words; their lengths, the longest and the sum of counts are read first, as one row. A run is held whole by its task.
+    A word costs minus the log of its share. The ``most`` commonest words go with the tasks, so their pieces are priced where
+    the run is. Of the other pieces only those that a bitmap of the rarer words (``bits`` at most) lets through are made rows, and a
+    join says which of them are words, so the split is exact however many words there are. A run is held whole by its task.
     """
+    words = settled(words)
     sums = words.agg(F.sum("n").alias("total"), F.max(F.length("word")).alias("longest"), F.collect_set(F.when(F.col("word").rlike("^[a-z]+$"), F.length("word"))).alias("lengths")).first()
     total, reach, lengths = sums["total"] or 1, (sums["longest"] or 1) + SPARE, sorted(sums["lengths"])
-    starts = runs.select("run", F.explode(F.sequence(F.lit(0), F.length("run") - 1)).alias("start"))
-    pieces = starts.select("run", "start", F.explode(F.array(*map(F.lit, lengths)).cast("array<int>")).alias("len")).where(F.col("start") + F.col("len") <= F.length("run"))
-    worded = pieces.withColumn("word", F.lower(F.substring("run", F.col("start") + 1, F.col("len")))).join(words, "word")
-    priced = worded.groupBy("run").agg(F.collect_list(F.struct("start", (F.col("start") + F.col("len")).alias("end"), (-F.log(F.col("n") / total)).alias("cost"))).alias("known"))
+    price = (-F.log(F.col("n") / total)).alias("cost")
+    often, rare = common_words(words, most)
+    table = often.select("word", price).toArrow()  # at most ``most`` rows
+    prices = runs.sparkSession.sparkContext.broadcast(dict(zip(table["word"].to_pylist(), table["cost"].to_pylist())))
+    n_rare = rare.count()
+
+    priced = runs.select("run", F.lit(None).cast("array<struct<start:int,end:int,cost:double>>").alias("known"))
+    if n_rare:
+        size = min(bits, max(1 << 16, 1 << (16 * n_rare - 1).bit_length()))
+        drawn = runs.sparkSession.sparkContext.broadcast(_bitmap(rare, size))
+
+        def likely(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            seen, known = drawn.value, prices.value
+            for pdf in batches:
+                out = []
+                for run in pdf["run"]:
+                    low = run.lower()
+                    for start in range(len(low)):
+                        for n in lengths:
+                            if start + n > len(low):
+                                break
+                            if (piece := low[start : start + n]) not in known and all(seen[p >> 3] >> (7 - (p & 7)) & 1 for p in _word_bits(piece, size)):
+                                out.append((run, start, start + n, piece))
+                yield pd.DataFrame(out, columns=["run", "start", "end", "word"])
+
+        pieces = runs.mapInPandas(likely, "run string, start int, end int, word string")
+        found = pieces.join(rare.select("word", price), "word").groupBy("run").agg(F.collect_list(F.struct("start", "end", "cost")).alias("known"))
+        priced = runs.join(found, "run", "left")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        often = prices.value
         for pdf in batches:
             out = []
-            for run, known in zip(pdf["run"], pdf["known"]):
-                begins = cheapest(len(run), {} if known is None else {(p["start"], p["end"]): p["cost"] for p in known}, reach)
+            for run, rarer in zip(pdf["run"], pdf["known"]):
+                low = run.lower()
+                known = {(s, s + n): often[low[s : s + n]] for s in range(len(low)) for n in lengths if s + n <= len(low) and low[s : s + n] in often}
+                known.update({(p["start"], p["end"]): p["cost"] for p in (() if rarer is None else rarer)})
+                begins = cheapest(len(run), known, reach)
                 out.append(" ".join(run[a:b] for a, b in zip(begins, [*begins[1:], len(run)])))
             yield pd.DataFrame({"run": pdf["run"], "split": out})
 
-    return runs.join(priced, "run", "left").mapInPandas(cut, "run string, split string")
+    return priced.mapInPandas(cut, "run string, split string")
 
 
-def recovered(rows: DataFrame, words: DataFrame, key: list[str], text: str = "text") -> DataFrame:
+def recovered(rows: DataFrame, words: DataFrame, key: list[str], text: str = "text", most: int = COMMON) -> DataFrame:
     """``rows`` with ``text`` repaired, and runs of letters that are no word of ``words`` split into words.
 
     Each row meets the splits of its own runs only. ``key`` names the row; rows of one key and any texts (null too) are borne.
     """
+    words = settled(words)
     mended = rows.withColumn(text, repaired(F.col(text)))
     own = mended.select(*key, F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(GLUED), F.lit(0)))).alias("run"))
-    glued = own.select("run").distinct().join(words.select(F.col("word").alias("__word")), F.lower("run") == F.col("__word"), "left_anti")
-    found = own.join(split_runs(glued, words), "run").where("run <> split").groupBy(*key).agg(F.map_from_entries(F.collect_set(F.struct("run", "split"))).alias("__splits"))
+    often = F.broadcast(common_words(words, most)[0].select(F.col("word").alias("__word")))  # most runs are common words and go here
+    own = own.join(often, F.lower("run") == F.col("__word"), "left_anti")
+    glued = settled(own.select("run").distinct().join(words.select(F.col("word").alias("__word")), F.lower("run") == F.col("__word"), "left_anti"))
+    splits = settled(split_runs(glued, words, most).where("run <> split"))
+    found = own.join(splits, "run").groupBy(*key).agg(F.map_from_entries(F.collect_set(F.struct("run", "split"))).alias("__splits"))
     found = found.select(*[F.col(k).alias(f"__k_{k}") for k in key], "__splits")
     met = mended.join(found, [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in key], "left")
     parts = F.regexp_extract_all(text, F.lit("[A-Za-z]+|[^A-Za-z]+"), F.lit(0))
