@@ -210,14 +210,19 @@ def rate_over(rows: DataFrame, key: list[str], at: str, value: str, span_s: int,
     """Adds ``rate``: change of ``value`` an hour since the oldest row within ``span_s`` seconds; ``instant`` on shorter spans.
 
     A key's time is cut into blocks of ``spans`` spans; a row within a span of the next block is seen there too, so a hot key
-    fills many tasks. Rows without a time have ``instant``.
+    fills many tasks. The oldest row is found in one pass over a block, however many rows a span has; of rows of one time the value
+    is any one's. Rows without a time have ``instant``.
     """
     timed = rows.withColumn("__s", F.unix_micros(F.col(at).cast("timestamp")) / F.lit(1e6))
     seconds, wide = F.col("__s"), span_s * spans
     blocks = F.coalesce(F.sequence("__own", F.floor((seconds + span_s) / wide)), F.array(F.lit(None).cast("long")))
     spread = timed.withColumn("__own", F.floor(seconds / wide)).withColumn("__block", F.explode(blocks))
-    w = Window.partitionBy(*key, "__block").orderBy("__s").rangeBetween(-span_s, 0)
-    old = spread.withColumn("__t0", F.min(seconds).over(w)).withColumn("__v0", F.min_by(value, seconds).over(w)).where(F.col("__own").eqNullSafe(F.col("__block")))
+    # Walked from the latest row down, each row's question for the first one at or after ``span_s`` before it is met by the last row passed: linear.
+    marks = F.array(F.struct(seconds.alias("__at"), F.lit(False).alias("__asks")), F.struct((seconds - span_s).alias("__at"), F.lit(True).alias("__asks")))
+    asked = spread.withColumn("__m", F.explode(marks)).where(~F.col("__m.__asks") | F.col("__own").eqNullSafe(F.col("__block")))
+    down = Window.partitionBy(*key, "__block").orderBy(F.desc("__m.__at"), F.col("__m.__asks")).rowsBetween(Window.unboundedPreceding, 0)
+    seen = F.last(F.when(~F.col("__m.__asks"), F.struct(seconds.alias("t"), F.col(value).alias("v"))), ignorenulls=True).over(down)
+    old = asked.withColumn("__old", seen).where("__m.__asks").withColumns({"__t0": F.col("__old.t"), "__v0": F.col("__old.v")}).drop("__m", "__old")
     hours = (seconds - F.col("__t0")) / 3600
     rate = F.when(hours > least_h, (F.col(value) - F.col("__v0")) / F.greatest(hours, F.lit(1e-9)))
     return old.withColumn("rate", F.coalesce(rate, instant) if instant is not None else rate).drop("__s", "__t0", "__v0", "__own", "__block")
