@@ -206,24 +206,42 @@ def recovered(rows: DataFrame, words: DataFrame, key: list[str], text: str = "te
     return met.withColumn(text, F.when(F.col("__splits").isNull(), F.col(text)).otherwise(whole)).select(*rows.columns)
 
 
-def first_picks(records: DataFrame, tops: DataFrame, session: str = "session", slack: float = 2.0) -> DataFrame:
+def first_picks(records: DataFrame, tops: DataFrame, session: str = "session", slack: float = 2.0, block: float = 4.0) -> DataFrame:
     """Tops that the hole has passed by ``slack``: when, what was expected before, and the set of picks (``version``) from then on.
 
     ``records(session, t, hole_md)``, ``tops(session, code, md_top, md_prognosed)``. Expected is the prognosis moved by the
     shift of the pick before. Tops passed by a session's first record count as known from the start (``told`` is false).
-    Records are merged by depth before they meet the few tops of their session, so no session is sorted in a task.
+    The first time at or below a depth is met from the deepest record up: within blocks of ``block`` metres, and over the blocks
+    below by their least times, so records don't meet tops one by one and a hot session fills many tasks.
     """
-    reached = records.groupBy(session, "hole_md").agg(F.min("t").alias("t"))
-    passed = tops.join(reached, session).where(F.col("hole_md") >= F.col("md_top") + slack)
-    picked = passed.groupBy(session, "code", "md_top", "md_prognosed").agg(F.min("t").alias("t")).join(records.groupBy(session).agg(F.min("t").alias("__begin")), session)
+    made = tops.select(session, "code", "md_top", "md_prognosed").distinct()
+    top = F.struct("code", "md_top", "md_prognosed")
+    asked = made.select(session, (F.col("md_top") + slack).cast("double").alias("__at"), F.lit(None).cast(records.schema["t"].dataType).alias("t"), top.alias("__top"))
+    told = records.select(session, F.col("hole_md").cast("double").alias("__at"), "t", F.lit(None).cast(asked.schema["__top"].dataType).alias("__top"))
+    both = asked.unionByName(told).where(F.col("__at").isNotNull() & F.col(session).isNotNull()).withColumn("__block", F.floor(F.col("__at") / block))
+    below = Window.partitionBy(session).orderBy(F.desc("__block")).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = both.groupBy(session, "__block").agg(F.min("t").alias("__least")).withColumn("__below", F.min("__least").over(below)).drop("__least")
+    up = Window.partitionBy(session, "__block").orderBy(F.desc("__at"), F.col("__top").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    met = both.withColumn("__first", F.min("t").over(up)).where("__top IS NOT NULL").join(blocks, [session, "__block"])
+    passed = met.select(session, "__top.*", F.least("__first", "__below").alias("t")).where("t IS NOT NULL")
+    picked = passed.join(records.groupBy(session).agg(F.min("t").alias("__begin")), session)
     by_depth = Window.partitionBy(session).orderBy("md_top", "code")  # a row a top
     shift = F.lag(F.col("md_top") - F.col("md_prognosed"), 1, 0.0).over(by_depth)
     made = picked.withColumn("md_expected", F.col("md_prognosed") + shift).withColumn("version", F.row_number().over(by_depth))
     return made.withColumn("told", F.col("t") > F.col("__begin")).drop("__begin")
 
 
-def add_version(records: DataFrame, picks: DataFrame, session: str = "session") -> DataFrame:
-    """Adds ``version``, how many tops are picked by each record: the key under which a re-aligned track is looked up."""
-    times = picks.groupBy(session).agg(F.collect_list("t").alias("__times"))
-    n = F.size(F.filter("__times", lambda x: x <= F.col("t")))
-    return records.join(times, session, "left").withColumn("version", F.greatest(F.coalesce(n, F.lit(0)), F.lit(0))).drop("__times")
+def add_version(records: DataFrame, picks: DataFrame, session: str = "session", block: float = 21600.0) -> DataFrame:
+    """Adds ``version``, how many tops are picked by each record: the key under which a re-aligned track is looked up.
+
+    Picks are counted along with the records in time order, within blocks of ``block`` seconds, and over the blocks before by
+    their numbers of picks: linear in both, and a hot session fills many tasks.
+    """
+    row = F.struct(*records.columns)
+    made = picks.where("t IS NOT NULL").select(session, F.col("t").alias("__t"), F.lit(1).alias("__pick"), F.lit(None).cast(records.select(row.alias("x")).schema["x"].dataType).alias("__row"))
+    both = records.select(session, F.col("t").alias("__t"), F.lit(0).alias("__pick"), row.alias("__row")).unionByName(made).withColumn("__block", F.floor(F.col("__t") / block))
+    before = Window.partitionBy(session).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = both.groupBy(session, "__block").agg(F.sum("__pick").alias("__n")).withColumn("__before", F.sum("__n").over(before)).drop("__n")
+    so_far = Window.partitionBy(session, "__block").orderBy("__t", F.desc("__pick")).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("__own", F.sum("__pick").over(so_far)).where("__pick = 0").join(blocks, [session, "__block"], "left")
+    return found.select("__row.*", (F.col("__own") + F.coalesce("__before", F.lit(0))).cast("int").alias("version"))
