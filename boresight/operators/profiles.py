@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from boresight.sources.tables import settled
+
 
 def profiles(items: DataFrame, entity: str, item: str) -> DataFrame:
     """``profile, entity``: each entity with its class, named by the least entity of the same set of items.
@@ -16,24 +18,37 @@ def profiles(items: DataFrame, entity: str, item: str) -> DataFrame:
     return sets.join(classes, "__set").select("profile", "entity", F.col("__set").alias("items"))
 
 
-def alike(members: DataFrame, least: float) -> DataFrame:
+def alike(members: DataFrame, least: float, blocks: int = 4) -> DataFrame:
     """``left, right, common, jaccard`` of all pairs of different profiles with a Jaccard similarity of at least ``least``; ``members`` by ``profiles``.
 
     Equal profiles are one class, so copies make no pairs; which entities a class has is said by ``members``. Sets of sizes
     a <= b can reach the similarity only when a >= least * b, and then they share one of the first size - ceil(least * size) + 1
     items of each, in any one order; the order is from the rarest item on, so that the join meets on few. Nothing is
-    dropped: the filter is complete, and pairs are verified by their sets.
+    dropped: the filter is complete, and pairs are verified by their sets where they meet.
     """
-    sets = members.where(F.col("entity") == F.col("profile")).select("profile", "items", F.size("items").alias("n"))
-    each = sets.select("profile", "n", F.explode("items").alias("item"))
-    counts = each.groupBy("item").agg(F.count("*").alias("__count"))
-    place = F.row_number().over(Window.partitionBy("profile").orderBy("__count", "item"))  # a profile is small
+    sets = members.where(F.col("entity") == F.col("profile")).select("profile", "items")
+    each = sets.select("profile", F.explode("items").alias("item"))
+    counts = settled(each.groupBy("item").agg(F.count("*").alias("__count")).withColumn("__id", F.monotonically_increasing_id()))
+    bit = F.pmod(F.xxhash64("__id"), F.lit(256))
+    parity = [F.bit_xor(F.when(F.floor(bit / 64) == k, F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))).otherwise(F.lit(0).cast("long"))).alias(f"w{k}") for k in range(4)]
+    ranked = each.join(counts, "item").groupBy("profile").agg(F.array_sort(F.collect_list(F.struct("__count", "__id"))).alias("__ranked"), *parity)  # a profile is small
+    ranked = ranked.select("profile", F.transform("__ranked", lambda x: x["__id"]).alias("set"), *(f"w{k}" for k in range(4))).withColumn("n", F.size("set"))
     # A little is taken off, so that a product just above a whole number by rounding drops no pair; pairs are verified after.
-    first = each.join(counts, "item").withColumn("__place", place).where(F.col("__place") <= F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1).select("profile", "n", "item")
-    a, b = first.select(F.col("profile").alias("left"), F.col("n").alias("__a"), "item"), first.select(F.col("profile").alias("right"), F.col("n").alias("__b"), "item")
-    sized = (F.least("__a", "__b") >= F.lit(least) * F.greatest("__a", "__b") - 1e-9) & (F.col("left") < F.col("right"))
-    pairs = a.join(b, "item").where(sized).select("left", "right").distinct()
-    both = pairs.join(sets.select(F.col("profile").alias("left"), F.col("items").alias("__l")), "left").join(sets.select(F.col("profile").alias("right"), F.col("items").alias("__r")), "right")
-    common = F.size(F.array_intersect("__l", "__r"))
-    found = both.withColumn("common", common).withColumn("jaccard", F.col("common") / (F.size("__l") + F.size("__r") - F.col("common")))
-    return found.where(F.col("jaccard") >= least).select("left", "right", "common", "jaccard")
+    prefix = F.slice("set", F.lit(1), (F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1).cast("int"))
+    first = settled(ranked.withColumn("prefix", prefix)).select("*", F.posexplode("prefix").alias("at", "item"))
+    # The profiles of an item are dealt into blocks, each of which meets all others of the item, so a hot item fills many tasks.
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = lambda side: [F.col(c).alias(f"{side}_{c}") for c in ("profile", "set", "n", "prefix", "at", "w0", "w1", "w2", "w3")]
+    a = first.select("item", F.pmod(F.hash("profile"), F.lit(blocks)).alias("block"), *spread("a")).repartition(parts, "item", "block")
+    b = first.select("item", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), *spread("b")).repartition(parts, "item", "block")
+    low, high = F.least("a_n", "b_n"), F.greatest("a_n", "b_n")
+    room = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at"))  # this item and those behind it
+    need = F.lit(least / (1 + least)) * (F.col("a_n") + F.col("b_n")) - 1e-9
+    # Sets differ in no fewer items than the parities of their items' bits do, which rules most pairs out before sets are compared.
+    apart = sum((F.bit_count(F.col(f"a_w{k}").bitwiseXOR(F.col(f"b_w{k}"))) for k in range(4)), F.lit(0))
+    close = apart <= F.lit(1 - 2 * least / (1 + least)) * (F.col("a_n") + F.col("b_n")) + 1e-9
+    met = a.join(b, ["item", "block"]).where((F.col("a_profile") < F.col("b_profile")) & (low >= F.lit(least) * high - 1e-9) & (room >= need) & close)
+    # A pair is taken at the first item that both prefixes hold, so once, and no pair is shuffled.
+    met = met.where(F.get(F.array_intersect("a_prefix", "b_prefix"), F.lit(0)) == F.col("item")).withColumn("common", F.size(F.array_intersect("a_set", "b_set")))
+    found = met.withColumn("jaccard", F.col("common") / (F.col("a_n") + F.col("b_n") - F.col("common")))
+    return found.where(F.col("jaccard") >= least).select(F.col("a_profile").alias("left"), F.col("b_profile").alias("right"), "common", "jaccard")
