@@ -1,12 +1,13 @@
 """Near copies by the Jaccard similarity of word shingles, complete: no pair at or over the wanted similarity is missed.
 
-A SimHash distance does not bound a Jaccard similarity, so the pipeline does not take its near copies from fingerprints. Put
-the shingles of every text into one order that is the same for all texts: two sets of similarity t or more then share one of
-the first n - ceil(t n) + 1 shingles of each (prefix filter). The order puts shingles that a sample of the documents shows to
+The search begins with op4's fingerprints: texts of one fingerprint and those that its covering tables link are compared, and the
+similar ones are connected. A SimHash distance does not bound a Jaccard similarity, so a complete search for what the fingerprints
+leave apart follows. Put the shingles of every text into one order that is the same for all texts: two sets of similarity t or more
+then share one of the first n - ceil(t n) + 1 shingles of each (prefix filter). The order puts shingles that a sample of the documents shows to
 be common last, so that common lines rarely key anything; a poor sample costs time and no pair. Only the chosen shingles are
 shuffled, packed; of keys that the same texts share one is kept.
 
-A large group of near copies must not cost all its pairs. So rounds come first: each key names a lead, the texts of the key
+A large group of near copies must not cost all its pairs. So rounds come next: each key names a lead, the texts of the key
 that are not connected to it are compared with it, and what is similar is connected; other leads in the next round. When a
 round connects little, all pairs of a key that are still unconnected follow, which makes the result complete. A key gives a
 pair only if sizes, and what stands behind the key in both orders, leave room for the similarity: the first shingle that a
@@ -32,6 +33,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from boresight.llm import simhash
 from boresight.llm.common import WORD, cut, parts_for, text_bytes
 from boresight.llm.components import components
 
@@ -230,11 +232,23 @@ def _joined(pairs: DataFrame, mine: DataFrame, of_a: list[Column], of_b: list[Co
     return pairs.join(mine.select(F.col("node").alias("a"), *of_a), "a").join(mine.select(F.col("node").alias("b"), *of_b), "b")
 
 
+def fingerprint_pairs(texts: DataFrame, radius: int = 3) -> DataFrame:
+    """Pairs ``a < b`` of the nodes of ``texts(node, text)`` by their fingerprints: each with the first of its own, and the firsts of those linked within the radius."""
+    marked = cut(simhash.fingerprints(texts.select(F.col("node").alias("doc_id"), "text")).select(F.col("doc_id").alias("node"), "fp"))
+    firsts = cut(marked.groupBy("fp").agg(F.min("node").alias("first")))
+    own = marked.join(firsts, "fp").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    named = lambda side: firsts.select(F.col("fp").alias(side), F.col("first").alias(f"__{side}"))
+    linked = simhash.near_links(firsts.select("fp"), radius).distinct().join(named("a"), "a").join(named("b"), "b")
+    pairs = own.unionByName(linked.select(F.least("__a", "__b").alias("a"), F.greatest("__a", "__b").alias("b")))
+    return cut(pairs.where("a <> b").distinct())
+
+
 def similar_links(texts: DataFrame, words: int = 5, seed: int = 42, similarity: float = 0.8, share: int = 16, most: int = 1_000_000, key_rows: int = KEY_ROWS) -> DataFrame:
     """Links ``a, b`` that connect the nodes of ``texts(node, text)`` wherever a chain of similar pairs does.
 
     One document in ``share`` is sampled to find the common shingles, of which the order knows the ``most`` commonest.
     """
+    guessed = fingerprint_pairs(texts)
     sample = texts.where(F.pmod(F.xxhash64("node"), F.lit(share)) == 0).mapInArrow(_sampled(words, seed), "key long")
     often = sample.groupBy("key").agg(F.count("*").alias("many")).where("many > 2").orderBy(F.desc("many"), "key").limit(most).toArrow()
     common, counts = (often.column(c).to_numpy() for c in ("key", "many"))
@@ -256,7 +270,12 @@ def similar_links(texts: DataFrame, words: int = 5, seed: int = 42, similarity:
         named = _joined(close, mine, [F.col("packed").alias("s")], [F.col("packed").alias("t")])
         return cut(named.select("a", "b", "s", "t").mapInArrow(_similar(words, seed, similarity), "a long, b long"))
 
-    links, placed, new, most_new, turn = None, met.withColumn("root", F.col("node")), 1, 0, 0
+    def connected(links: DataFrame) -> DataFrame:
+        roots = components(links).withColumnRenamed("node", "of")
+        return cut(met.join(roots, met["node"] == roots["of"], "left").select("mark", "node", "n", "before", F.coalesce("root", "node").alias("root")))
+
+    links = verified(guessed)
+    placed, new, most_new, turn = connected(links), 1, 0, 0
     while True:
         lead = F.min_by(F.struct("node", "n", "before", "root"), F.xxhash64("node", F.lit(turn)))
         open_ = placed.groupBy("mark").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("many"), lead.alias("lead")).where("low < high")
@@ -267,10 +286,9 @@ def similar_links(texts: DataFrame, words: int = 5, seed: int = 42, similarity:
         fresh = verified(led.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")))
         new = fresh.count()
         most_new = max(most_new, new, 1)
-        links = fresh if links is None else links.unionByName(fresh)
+        links = links.unionByName(fresh)
         if new:
-            roots = components(links).withColumnRenamed("node", "of")
-            placed = cut(met.join(roots, met["node"] == roots["of"], "left").select("mark", "node", "n", "before", F.coalesce("root", "node").alias("root")))
+            placed = connected(links)
         turn += 1
     left = placed.join(open_.select("mark"), "mark").join(mine.select("node", *FOLD), "node")
     other = left.select("mark", F.col("node").alias("b"), F.col("n").alias("m"), F.col("before").alias("i"), F.col("root").alias("top"), *[F.col(w).alias(f"{w}_") for w in FOLD])
@@ -278,7 +296,7 @@ def similar_links(texts: DataFrame, words: int = 5, seed: int = 42, similarity:
     room = (F.col("m") + F.col("n")) * (1 - 2 * similarity / (1 + similarity)) + 1e-6
     every = left.join(other, "mark").where((F.col("node") < F.col("b")) & (F.col("root") != F.col("top")) & can() & (apart <= room))
     last = verified(every.select(F.col("node").alias("a"), "b"))
-    return last if links is None else links.unionByName(last)
+    return links.unionByName(last)
 
 
 def near_copies(docs: DataFrame, words: int = 5, seed: int = 42, similarity: float = 0.8, **how: int) -> DataFrame:
