@@ -26,7 +26,10 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of a group of near copies (Jaccard similarity of five-word shingles 0.8 or more) keep the smallest doc_id; null ids stay where no other id stands for them."""
+    """Of a group of near copies keep the smallest doc_id; null ids stay where no other id stands for them.
+
+    Near copies have a Jaccard similarity of five-word shingles of 0.8 or more; op4's fingerprints find them first, a complete search the rest.
+    """
     small_batches(spark, 500)
     return keep_ids(docs, near_copies(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
 
@@ -49,12 +52,13 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     per = mix(docs).groupBy(key.alias("__of")).agg(F.max("copies").alias("__most"), F.min("copies").alias("__least"), F.sum("copies").alias("__sum"), F.count("*").alias("__rows"))
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     kept = [c for c in docs.columns if c not in ("copies", "taken")]
-    rows = docs.select(*kept, size.alias("__size")).withColumn("__key", F.expr("concat(coalesce(string(doc_id), 'null'), ':', __size, ':', coalesce(concat('s', source), 'null'))"))
+    rows = docs.select(F.struct(*kept).alias("__row"), size.alias("__size"))  # in a struct, so that no name of an input column counts
+    rows = rows.withColumn("__key", F.expr("concat(coalesce(string(__row.doc_id), 'null'), ':', __size, ':', coalesce(concat('s', __row.source), 'null'))"))
     joined = rows.join(per.where("__most > 0").hint("merge"), F.col("__key") == F.col("__of"))  # alike at every size
-    place = F.row_number().over(Window.partitionBy("__key").orderBy("text"))
+    place = F.row_number().over(Window.partitionBy("__key").orderBy("__row.text"))
     many = F.when(F.col("__most") > F.col("__least"), (F.col("__sum") - F.col("__rows") * F.col("__least")) / (F.col("__most") - F.col("__least"))).otherwise(F.col("__rows"))
-    taken = joined.select("*", F.when(place <= many, F.col("__most")).otherwise(F.col("__least")).alias("__copies")).where("__copies > 0")
-    return taken.select(*kept, F.col("__copies").alias("copies"), (F.col("__copies") * F.col("__size")).alias("taken"))
+    taken = joined.select("__row", "__size", F.when(place <= many, F.col("__most")).otherwise(F.col("__least")).alias("__copies")).where("__copies > 0")
+    return taken.select("__row.*", F.col("__copies").alias("copies"), (F.col("__copies") * F.col("__size")).alias("taken"))
 
 
 STAGES = [("quality", quality), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("decontamination", decontamination), ("mixing", mixing)]
