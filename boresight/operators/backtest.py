@@ -5,13 +5,18 @@ All bores are tested in one job: the bore under test is a key of the kernels and
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from boresight.operators import intervals, relevance, risk
+from boresight.operators import relevance, risk
 
 # Bores of the baseline, their weight's scale in metres, width and height of its kernels; the least relevance; how far a hit may be off.
 NEAREST, SCALE_M, WIDTH_M, HEIGHT, LEAST_RELEVANCE, REACH_M = 5, 6000.0, 10.0, 0.85, 0.50, 15.0
+LEAST_WIDTH_M, REACH_WIDTHS = 10.0, 8.0  # fixed values: as in risk.noisy_or
 
 
 def earlier_offsets(bores: DataFrame, radius: float) -> DataFrame:
@@ -50,20 +55,59 @@ def lookahead(kernels: dict[str, DataFrame], offsets: DataFrame, truth: DataFram
     """
     tested = truth.where((F.col("md") > low) & F.col("family").isin(list(families))).withColumnRenamed("bore", "target").join(offsets.select("target").distinct(), "target")
     tested = tested.groupBy("target", "family", "md").agg(F.count("*").alias("__n"))
-    bores = tested.select("target").distinct().withColumn("method", F.explode(F.array(*map(F.lit, kernels))))
-    first, last = int(low // step) + 1, int(high // step)
-    grid = bores.withColumn("family", F.explode(F.array(*map(F.lit, families)))).withColumn("__i", F.explode(F.sequence(F.lit(first), F.lit(last))))
-    grid = grid.select("method", "target", "family", (F.col("__i") * F.lit(float(step))).alias("md"), F.lit(0.0).alias("floor"))
-    all_kernels = None
-    for name, k in kernels.items():
-        one = k.select(F.lit(name).alias("method"), "target", "family", "mu", "sigma", "amp")
-        all_kernels = one if all_kernels is None else all_kernels.unionByName(one)
-    curve = risk.noisy_or(grid, all_kernels, ["method", "target", "family"])
-    high_points = curve.withColumn("__high", F.round("risk", 3) >= level)
-    shares = high_points.groupBy("method", "target", "md").agg(F.max("__high").alias("any")).groupBy("method").agg(F.avg(F.col("any").cast("int")).alias("flagged"))
-    asked = tested.join(bores, "target").withColumnRenamed("md", "__at")
-    near = intervals.bucketed_range_join(asked, high_points.where("__high").select("method", "target", "family", "md"), ["method", "target", "family"], "__at", "md", REACH_M)
-    hits = near.select("method", "target", "family", "__at", "__n").distinct().groupBy("method").agg(F.sum("__n").alias("hits"))
-    counts = asked.groupBy("method").agg(F.sum("__n").alias("events"))
-    found = counts.join(shares, "method").join(hits, "method", "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
-    return found.select("method", "events", "hits", (F.col("hits") / F.col("events")).alias("recall"), "flagged")
+    place = (F.array_position(F.array(*map(F.lit, families)), F.col("family")) - 1).cast("int").alias("family")
+    rows = tested.select("target", F.lit(-1).alias("method"), place, F.col("md").cast("double").alias("mu"), F.lit(0.0).alias("bw"), F.col("__n").cast("double").alias("amp"))
+    for i, k in enumerate(kernels.values()):
+        one = k.where(F.col("target").isNotNull() & F.col("family").isin(list(families)))
+        rows = rows.unionByName(one.select("target", F.lit(i).alias("method"), place, "mu", F.greatest("sigma", F.lit(LEAST_WIDTH_M)).alias("bw"), "amp"))
+    parts = int(truth.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(parts, "target").sortWithinPartitions("target", "method", "family")  # a number, as the rows are few in bytes and adaptive execution would put many in a task
+    seen = dealt.mapInPandas(_seen(len(kernels), len(families), np.arange(int(low // step) + 1, int(high // step) + 1) * float(step), level), "method int, events long, hits long, high long, points long")
+    summed = seen.groupBy("method").agg(*[F.sum(c).alias(c) for c in ("events", "hits", "high", "points")])
+    named = F.element_at(F.array(*map(F.lit, kernels)), F.col("method") + 1).alias("method")
+    return summed.select(named, "events", "hits", (F.col("hits") / F.col("events")).alias("recall"), (F.col("high") / F.col("points")).alias("flagged"))
+
+
+def _seen(methods: int, families: int, grid: np.ndarray, level: float):
+    """Rows in order of target: its events (method -1, ``amp`` times), then kernels; each method's sums for each target with events.
+
+    The curves of one target are in memory at a time, so neither grid points nor their kernels are shuffled.
+    """
+
+    def told(events: list[np.ndarray], miss: np.ndarray) -> list[tuple]:
+        up = np.floor((1 - miss) * 1000 + 0.5) / 1000 >= level
+        any_up = up.any(axis=1).sum(axis=1)
+        family, md, n = np.concatenate(events, axis=1)
+        near = np.abs(grid - md[:, None]) <= REACH_M
+        return [(i, int(n.sum()), int(n[(up[i, family.astype(int)] & near).any(axis=1)].sum()), int(any_up[i]), len(grid)) for i in range(methods)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, events, miss = None, [], None
+        for pdf in batches:
+            out = []
+            target, method = pdf["target"].to_numpy(), pdf["method"].to_numpy()
+            family, mu, bw, amp = (pdf[c].to_numpy(float) for c in ("family", "mu", "bw", "amp"))
+            turns = np.flatnonzero(np.r_[len(pdf) > 0, target[1:] != target[:-1]])
+            for s, e in zip(turns, [*turns[1:], len(pdf)]):
+                if target[s] != at:
+                    out += told(events, miss) if events else []
+                    at, events, miss = target[s], [], np.ones((methods, families, len(grid)))
+                first = s + int((method[s:e] < 0).sum())
+                if first > s:
+                    events.append(np.stack([family[s:first], mu[s:first], amp[s:first]]))
+                if first == e or not events:
+                    continue
+                for low in range(first, e, 1024):  # kernels at once
+                    k = slice(low, min(low + 1024, e))
+                    z = (grid - mu[k, None]) / bw[k, None]
+                    part = np.where(np.abs(z) <= REACH_WIDTHS, 1 - amp[k, None] * np.exp(-0.5 * z * z), 1.0)
+                    part[np.isnan(part)] = 1.0
+                    group = method[k] * families + family[k].astype(int)
+                    starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+                    miss.reshape(methods * families, -1)[group[starts]] *= np.multiply.reduceat(part, starts, axis=0)
+            if out:
+                yield pd.DataFrame(out, columns=["method", "events", "hits", "high", "points"])
+        if events:
+            yield pd.DataFrame(told(events, miss), columns=["method", "events", "hits", "high", "points"])
+
+    return run
