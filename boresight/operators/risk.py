@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from boresight.functions.numeric import band
 
@@ -77,12 +80,47 @@ def noisy_or(grid: DataFrame, kernels: DataFrame, key: list[str], reach: float =
     return near.groupBy(*key, "md").agg((1 - (1 - F.first("floor")) * F.product("miss")).alias("risk"), *[F.first(c).alias(c) for c in carried or []])
 
 
-def zones(curve: DataFrame, key: list[str], at: str, risk: str, threshold: float = 0.40) -> DataFrame:
-    """Maximal runs of grid points with risk at or over the threshold: ends, size, peak and where it first is."""
+def noisy_or_by(grid: DataFrame, kernels: DataFrame, group: list[str], key: list[str], reach: float = 8.0, least_width: float = 10.0, carried: list[str] | None = None) -> DataFrame:
+    """The same, where a task can hold the grid and the kernels of one ``group``, columns of the key such as the bore.
+
+    Points and kernels are shuffled once; no row of a point and a kernel is made. Points with a null in the key have no curve.
+    """
+    kept, rest = [*key, "md", "floor", *(carried or [])], [c for c in key if c not in group]
+    schema = StructType([*[grid.schema[c] for c in key], grid.schema["md"], StructField("risk", DoubleType()), *[grid.schema[c] for c in carried or []]])
+
+    def curve(g: pd.DataFrame, k: pd.DataFrame) -> pd.DataFrame:
+        md, miss = g["md"].to_numpy(float), np.ones(len(g))
+        k = k[k[["mu", "bw", "amp"]].notna().all(axis=1)]
+        mu, bw, amp = (k[c].to_numpy(float) for c in ("mu", "bw", "amp"))
+        own = k.groupby([f"__k_{c}" for c in rest], sort=False).indices
+        for name, at in g.groupby(rest, sort=False).indices.items():
+            mine, here = own.get(name, ()), md[at]
+            for low in range(0, len(mine), 512):  # kernels at once
+                i = mine[low : low + 512, None]
+                z = (here - mu[i]) / bw[i]
+                z *= z
+                part = np.exp(-0.5 * z)
+                part *= -amp[i]
+                part += 1
+                part[z > reach * reach] = 1.0
+                miss[at] *= np.multiply.reduce(part, axis=0)
+        return g.assign(risk=1 - (1 - g["floor"].to_numpy(float)) * miss)[schema.names]
+
+    # A number of parts, as rows are few in bytes for the work on them, and adaptive execution would put many groups in a task.
+    parts = int(grid.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known = lambda df: df.where(" AND ".join(f"`{c}` IS NOT NULL" for c in key))
+    wide = known(kernels).select(*[F.col(c).alias(f"__k_{c}") for c in key], "mu", F.greatest("sigma", F.lit(least_width)).alias("bw"), "amp")  # other names, as both may stem from one frame
+    others = [f"__k_{c}" for c in group]
+    dealt = known(grid).select(*kept).repartition(parts, *group).groupBy(*group), wide.repartition(parts, *others).groupBy(*others)
+    return dealt[0].cogroup(dealt[1]).applyInPandas(curve, schema)
+
+
+def zones(curve: DataFrame, key: list[str], at: str, risk: str, threshold: float = 0.40, carried: list[str] | None = None) -> DataFrame:
+    """Maximal runs of grid points with risk at or over the threshold: ends, size, peak and where it first is, with the ``carried`` columns there as ``peak_<name>``."""
     w = Window.partitionBy(*key).orderBy(at)
     high = F.col(risk) >= threshold
     runs = curve.withColumn("__all", F.row_number().over(w)).where(high).withColumn("__run", F.col("__all") - F.row_number().over(w))
-    return runs.groupBy(*key, "__run").agg(F.min(at).alias("md_from"), F.max(at).alias("md_to"), F.max(risk).alias("peak"), F.min_by(at, F.struct(-F.col(risk), F.col(at))).alias("peak_at"), F.count("*").alias("points")).drop("__run")
+    return runs.groupBy(*key, "__run").agg(F.min(at).alias("md_from"), F.max(at).alias("md_to"), F.max(risk).alias("peak"), F.min_by(at, F.struct(-F.col(risk), F.col(at))).alias("peak_at"), F.count("*").alias("points"), *[F.min_by(c, F.struct(-F.col(risk), F.col(at))).alias(f"peak_{c}") for c in carried or []]).drop("__run")
 
 
 def contributors(found: DataFrame, events: DataFrame, key: list[str], top: int = 8, bucket: float = 50.0) -> DataFrame:

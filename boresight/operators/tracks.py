@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boresight.operators import intervals, risk
+from boresight.sources.tables import settled
 
 SLACK_M = 2.0  # fixed value: how far the hole must be below a top to pick it
 FLOOR_SHARE, RISKY = 0.5, 0.40  # fixed values: the share of the atlas that stands under a curve, the risk from which a zone is one
@@ -56,8 +57,8 @@ def projected(events: DataFrame, tops: DataFrame, session: str = "session") -> D
     return placed.select(session, "version", "family", "event_id", F.coalesce("at_tvd", "md").alias("mu"), "sigma", "amp", "method")
 
 
-def risk_curves(tops: DataFrame, kernels: DataFrame, atlas: DataFrame, families: list[str], end: Column, step: float = 2.0, session: str = "session") -> DataFrame:
-    """``session, version, family, md, layer, risk`` at every ``step`` metres from 0 to ``end``.
+def risk_curves(tops: DataFrame, kernels: DataFrame, atlas: DataFrame, families: list[str], end: Column, step: float = 2.0, session: str = "session", start: float = 0.0) -> DataFrame:
+    """``session, version, family, md, layer, risk`` at every ``step`` metres from ``start`` to ``end``.
 
     Grid points are spread from the layers themselves, so none is looked up; above the first top there is no layer and no
     floor. ``atlas(layer, family, posterior)``.
@@ -66,19 +67,19 @@ def risk_curves(tops: DataFrame, kernels: DataFrame, atlas: DataFrame, families:
     rows = lambda low, high: F.when(high > low, F.sequence(low, high - 1))
     inside = tops.withColumn("__i", F.explode(rows(at(F.col("md_top")), at(F.col("md_base"))))).select(session, "version", "layer", "__i")
     above = tops.groupBy(session, "version").agg(F.min("md_top").alias("md_top")).withColumn("__i", F.explode(rows(F.lit(0).cast("long"), at(F.col("md_top"))))).select(session, "version", F.lit(None).cast(tops.schema["layer"].dataType).alias("layer"), "__i")
-    points = inside.unionByName(above).withColumn("md", F.col("__i") * F.lit(float(step))).where(F.col("md") < end)
+    points = inside.unionByName(above).withColumn("md", F.col("__i") * F.lit(float(step))).where((F.col("md") >= start) & (F.col("md") < end))
     grid = points.withColumn("family", F.explode(F.array(*map(F.lit, families)))).join(atlas, ["layer", "family"], "left")
     grid = grid.select(session, "version", "family", "md", "layer", (FLOOR_SHARE * F.coalesce("posterior", F.lit(0.0))).alias("floor"))
     key = [session, "version", "family"]
-    curve = risk.noisy_or(grid, kernels.select(*key, "mu", "sigma", "amp"), key, carried=["layer"])
+    curve = risk.noisy_or_by(grid, kernels, [session], key, carried=["layer"])
     return curve.withColumn("risk", F.round("risk", 3))
 
 
 def risk_zones(curves: DataFrame, kernels: DataFrame, session: str = "session", top: int = 8) -> DataFrame:
     """The zones of every version, named by family and depth, with the layer at the peak and the ``top`` strongest events within two sigma."""
     key = [session, "version", "family"]
-    found = risk.zones(curves, key, "md", "risk", RISKY)
-    peaks = curves.select(*key, F.col("md").alias("peak_at"), F.col("layer").alias("peak_layer"))
-    named = found.join(peaks, [*key, "peak_at"]).withColumn("id", F.concat(F.col("family"), F.lit("-"), F.floor("md_from").cast("string")))
+    found = risk.zones(curves, key, "md", "risk", RISKY, carried=["layer"])
+    # Kept, as zones are few and the curves under them are not made twice.
+    named = settled(found.withColumn("id", F.concat(F.col("family"), F.lit("-"), F.floor("md_from").cast("string"))))
     met = risk.contributors(named, kernels, key, top).select(*key, "id", "event_ids", "n_events")
     return named.join(met, [*key, "id"], "left").withColumns({"event_ids": F.coalesce("event_ids", F.array().cast(kernels.select(F.array("event_id").alias("x")).schema["x"].dataType)), "n_events": F.coalesce("n_events", F.lit(0))})

@@ -38,8 +38,8 @@ def _track(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame
     atlas = made.groupBy(F.concat(F.lit("F"), i % 5).alias("layer"), "family").agg((F.avg("value") / 200).alias("posterior"))
     versions = tracks.tops_by_version(tops, F.lit(END))
     kernels = tracks.projected(happened, versions)
-    curves = tracks.risk_curves(versions, kernels, atlas, list(FAMILY.values()), F.lit(END))
-    return made, tops, tracks.risk_zones(curves.where("md >= 2600"), kernels)
+    curves = tracks.risk_curves(versions, kernels, atlas, list(FAMILY.values()), F.lit(END), start=2600.0)
+    return made, tops, tracks.risk_zones(curves, kernels)
 
 
 def realigned_zones(spark: SparkSession, d: str) -> DataFrame:
