@@ -110,8 +110,9 @@ def noisy_or_by(grid: DataFrame, kernels: DataFrame, group: list[str], key: list
     parts = int(grid.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     known = lambda df: df.where(" AND ".join(f"`{c}` IS NOT NULL" for c in key))
     wide = known(kernels).select(*[F.col(c).alias(f"__k_{c}") for c in key], "mu", F.greatest("sigma", F.lit(least_width)).alias("bw"), "amp")  # other names, as both may stem from one frame
-    others = [f"__k_{c}" for c in group]
-    dealt = known(grid).select(*kept).repartition(parts, *group).groupBy(*group), wide.repartition(parts, *others).groupBy(*others)
+    # The hash is one more column, as Spark drops a repartitioning by columns that rows are dealt by already.
+    deal = lambda df, by: df.withColumn("__deal", F.hash(*by)).repartition(parts, "__deal", *by).groupBy("__deal", *by)
+    dealt = deal(known(grid).select(*kept), group), deal(wide, [f"__k_{c}" for c in group])
     return dealt[0].cogroup(dealt[1]).applyInPandas(curve, schema)
 
 

@@ -75,11 +75,15 @@ def risk_curves(tops: DataFrame, kernels: DataFrame, atlas: DataFrame, families:
     return curve.withColumn("risk", F.round("risk", 3))
 
 
-def risk_zones(curves: DataFrame, kernels: DataFrame, session: str = "session", top: int = 8) -> DataFrame:
-    """The zones of every version, named by family and depth, with the layer at the peak and the ``top`` strongest events within two sigma."""
-    key = [session, "version", "family"]
-    found = risk.zones(curves, key, "md", "risk", RISKY, carried=["layer"])
+def named_zones(curves: DataFrame, session: str = "session") -> DataFrame:
+    """The zones of every version, named by family and depth, with the layer at the peak."""
+    found = risk.zones(curves, [session, "version", "family"], "md", "risk", RISKY, carried=["layer"])
     # Kept, as zones are few and the curves under them are not made twice.
-    named = settled(found.withColumn("id", F.concat(F.col("family"), F.lit("-"), F.floor("md_from").cast("string"))))
+    return settled(found.withColumn("id", F.concat(F.col("family"), F.lit("-"), F.floor("md_from").cast("string"))))
+
+
+def risk_zones(curves: DataFrame, kernels: DataFrame, session: str = "session", top: int = 8) -> DataFrame:
+    """``named_zones`` with the ``top`` strongest events within two sigma."""
+    key, named = [session, "version", "family"], named_zones(curves, session)
     met = risk.contributors(named, kernels, key, top).select(*key, "id", "event_ids", "n_events")
     return named.join(met, [*key, "id"], "left").withColumns({"event_ids": F.coalesce("event_ids", F.array().cast(kernels.select(F.array("event_id").alias("x")).schema["x"].dataType)), "n_events": F.coalesce("n_events", F.lit(0))})

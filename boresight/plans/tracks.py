@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from boresight.operators import risk, tracks
 from boresight.plans import sequences
-from boresight.sources.tables import table
+from boresight.sources.tables import settled, table
 from boresight.streaming import alerts
 
 FAMILY = {"click": "LC", "view": "SP", "purchase": "OP", "signup": "TQ", "error": "CM"}
@@ -27,8 +27,8 @@ def _bores(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return made, table(spark, d, "supplier").select(F.floor(k / 5).cast("long").alias("session"), F.concat(F.lit("F"), k % 5).alias("layer"), top.alias("md_top"), (top + k % 17 - 8).alias("md_prognosed"))
 
 
-def _track(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(records, tops, zones)."""
+def _track(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(records, tops, curves, kernels)."""
     made, tops = _bores(spark, d)
     i = F.col("event_id")
     amp = risk.amplitude(F.least(F.col("value"), F.lit(100.0)) / 800, F.when(i % 7 > 0, i % 7 - 1), F.lit(0.8), (i % 4) / 4)
@@ -39,12 +39,13 @@ def _track(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame
     versions = tracks.tops_by_version(tops, F.lit(END))
     kernels = tracks.projected(happened, versions)
     curves = tracks.risk_curves(versions, kernels, atlas, list(FAMILY.values()), F.lit(END), start=2600.0)
-    return made, tops, tracks.risk_zones(curves, kernels)
+    return made, tops, curves, kernels
 
 
 def realigned_zones(spark: SparkSession, d: str) -> DataFrame:
     """The zones of every bore after each pick: ends, peak, its layer, the strongest events."""
-    _, _, zones = _track(spark, d)
+    _, _, curves, kernels = _track(spark, d)
+    zones = tracks.risk_zones(curves, kernels)
     return zones.select("session", "version", "id", "family", "md_from", "md_to", "points", "peak", "peak_at", "peak_layer", "n_events", F.array_join(F.col("event_ids").cast("array<string>"), ",").alias("event_ids"))
 
 
@@ -73,8 +74,9 @@ SELECT z.session, z.version::INT AS version, z.family || '-' || floor(z.md_from)
 
 def realigned_alerts(spark: SparkSession, d: str) -> DataFrame:
     """Alert changes of every bore against the zones of the picks made by then; zones keep their names when a pick moves them."""
-    made, tops, zones = _track(spark, d)
-    named = alerts.same_zones(zones.select("session", "version", "id", "family", "md_from", "md_to", "peak"), ["session"])
+    made, tops, curves, _ = _track(spark, d)
+    zones = tracks.named_zones(curves).select("session", "version", "id", "family", "md_from", "md_to", "peak")
+    named = settled(alerts.same_zones(zones, ["session"]))  # read twice
     feed = made.select("session", "t", "hole_md", F.col("hole_md").alias("bit_md"), F.lit(20.0).alias("rop_1h"), F.when(F.col("value") > 60, F.array("family")).otherwise(F.array().cast("array<string>")).alias("fired"),
                        F.map_from_arrays(F.array("family"), F.array(F.least(F.col("value") / 100, F.lit(1.0)))).alias("live"))
     return alerts.numbered(alerts.timeline(tracks.version_at(feed, tops), named))
