@@ -52,6 +52,11 @@ def parts_for(amount: float, each: float, least: int = 1) -> int:
     return max(least, math.ceil(amount / each))
 
 
+def few(df: DataFrame, rows: int, each: int = 100_000) -> DataFrame:
+    """``df`` of so many ``rows`` in no more partitions than they need; else the files of the many tasks of a small frame outweigh it."""
+    return df.coalesce(parts_for(rows, each))
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType) -> DataFrame:
     """``mapInArrow`` with a function from batch to batch."""
 

@@ -34,11 +34,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boresight.llm import simhash
-from boresight.llm.common import WORD, cut, parts_for, text_bytes
+from boresight.llm.common import WORD, cut, few, parts_for, text_bytes
 from boresight.llm.components import components
 
 #: Bytes of text whose keys a bucket is meant to hold, rows of a key that one bucket takes, and rounds of leads.
 BUCKET_BYTES, KEY_ROWS, ROUNDS = 16 << 20, 1_000_000, 8
+#: Pairs whose nodes are sent to all executors, so that only the texts of these nodes are shuffled.
+FEW_PAIRS = 200_000
 _PACKED = np.dtype([("key", "<i8"), ("node", "<i8"), ("n", "<i4"), ("before", "<u2")])  # before: shingles that come first, at most what fits
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 FOLD = ("w0", "w1", "w2", "w3")
@@ -229,18 +231,27 @@ def _similar(words: int, seed: int, similarity: float):
 
 
 def _joined(pairs: DataFrame, mine: DataFrame, of_a: list[Column], of_b: list[Column]) -> DataFrame:
-    return pairs.join(mine.select(F.col("node").alias("a"), *of_a), "a").join(mine.select(F.col("node").alias("b"), *of_b), "b")
+    """What ``mine`` has of both nodes of the stored ``pairs``."""
+    n = pairs.count()
+    pairs = few(pairs, n, 20_000)
+    if n <= FEW_PAIRS:
+        named = pairs.select(F.explode(F.array("a", "b")).alias("of")).distinct()
+        mine = mine.join(F.broadcast(named), mine["node"] == named["of"], "left_semi")
+    half = few(pairs.join(mine.select(F.col("node").alias("a"), *of_a), "a"), n, 2_000)
+    return few(half.join(mine.select(F.col("node").alias("b"), *of_b), "b"), n, 2_000)
 
 
 def fingerprint_pairs(texts: DataFrame, radius: int = 3) -> DataFrame:
     """Pairs ``a < b`` of the nodes of ``texts(node, text)`` by their fingerprints: each with the first of its own, and the firsts of those linked within the radius."""
     marked = cut(simhash.fingerprints(texts.select(F.col("node").alias("doc_id"), "text")).select(F.col("doc_id").alias("node"), "fp"))
     firsts = cut(marked.groupBy("fp").agg(F.min("node").alias("first")))
-    own = marked.join(firsts, "fp").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    rows, many = marked.count(), firsts.count()
+    own = few(marked.join(firsts, "fp"), rows).select(F.col("first").alias("a"), F.col("node").alias("b"))
     named = lambda side: firsts.select(F.col("fp").alias(side), F.col("first").alias(f"__{side}"))
-    linked = simhash.near_links(firsts.select("fp"), radius).distinct().join(named("a"), "a").join(named("b"), "b")
+    linked = few(few(simhash.near_links(firsts.select("fp"), radius), many, 10_000).distinct(), many)
+    linked = few(few(linked.join(named("a"), "a"), many).join(named("b"), "b"), many)
     pairs = own.unionByName(linked.select(F.least("__a", "__b").alias("a"), F.greatest("__a", "__b").alias("b")))
-    return cut(pairs.where("a <> b").distinct())
+    return cut(few(few(pairs.where("a <> b"), rows + many).distinct(), rows + many))
 
 
 def similar_links(texts: DataFrame, words: int = 5, seed: int = 42, similarity: float = 0.8, share: int = 16, most: int = 1_000_000, key_rows: int = KEY_ROWS) -> DataFrame:
@@ -262,28 +273,29 @@ def similar_links(texts: DataFrame, words: int = 5, seed: int = 42, similarity:
     wanted = met.select(F.col("node").alias("of")).distinct()
     sketched = texts.mapInArrow(_sketched(words, seed), f"node long, n int, bits binary, packed binary, {', '.join(f'{w} long' for w in FOLD)}")
     mine = cut(sketched.join(wanted.hint("merge"), sketched["node"] == wanted["of"], "left_semi").dropDuplicates(["node"]))
+    many = met.count()
     can = lambda: fits(F.lit(similarity), F.col("m"), F.col("n"), F.col("i"), F.col("before"), F.least)
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        named = _joined(pairs.distinct(), mine, [F.col("bits").alias("x"), F.col("n").alias("m")], [F.col("bits").alias("y"), F.col("n")])
+    def verified(pairs: DataFrame) -> DataFrame:  # stored and different pairs
+        named = _joined(pairs, mine, [F.col("bits").alias("x"), F.col("n").alias("m")], [F.col("bits").alias("y"), F.col("n")])
         close = cut(named.select("a", "b", "m", "n", "x", "y").mapInArrow(_bounded(similarity), "a long, b long"))
         named = _joined(close, mine, [F.col("packed").alias("s")], [F.col("packed").alias("t")])
         return cut(named.select("a", "b", "s", "t").mapInArrow(_similar(words, seed, similarity), "a long, b long"))
 
     def connected(links: DataFrame) -> DataFrame:
-        roots = components(links).withColumnRenamed("node", "of")
-        return cut(met.join(roots, met["node"] == roots["of"], "left").select("mark", "node", "n", "before", F.coalesce("root", "node").alias("root")))
+        roots = components(links, rows=links.count()).withColumnRenamed("node", "of")
+        return cut(few(met.join(roots, met["node"] == roots["of"], "left").select("mark", "node", "n", "before", F.coalesce("root", "node").alias("root")), many))
 
     links = verified(guessed)
     placed, new, most_new, turn = connected(links), 1, 0, 0
     while True:
         lead = F.min_by(F.struct("node", "n", "before", "root"), F.xxhash64("node", F.lit(turn)))
         open_ = placed.groupBy("mark").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("many"), lead.alias("lead")).where("low < high")
-        open_ = cut(open_.select("mark", "many", F.col("lead.node").alias("a"), F.col("lead.n").alias("m"), F.col("lead.before").alias("i"), F.col("lead.root").alias("top")))
+        open_ = cut(few(open_.select("mark", "many", F.col("lead.node").alias("a"), F.col("lead.n").alias("m"), F.col("lead.before").alias("i"), F.col("lead.root").alias("top")), many))
         if turn == ROUNDS or 10 * new < most_new or open_.isEmpty():
             break
         led = placed.join(open_, "mark").where((F.col("root") != F.col("top")) & can())
-        fresh = verified(led.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")))
+        fresh = verified(cut(few(led.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct(), many)))
         new = fresh.count()
         most_new = max(most_new, new, 1)
         links = links.unionByName(fresh)
@@ -295,7 +307,7 @@ def similar_links(texts: DataFrame, words: int = 5, seed: int = 42, similarity:
     apart = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"{w}_"))) for w in FOLD), F.lit(0))
     room = (F.col("m") + F.col("n")) * (1 - 2 * similarity / (1 + similarity)) + 1e-6
     every = left.join(other, "mark").where((F.col("node") < F.col("b")) & (F.col("root") != F.col("top")) & can() & (apart <= room))
-    last = verified(every.select(F.col("node").alias("a"), "b"))
+    last = verified(cut(every.select(F.col("node").alias("a"), "b").distinct()))
     return links.unionByName(last)
 
 
@@ -308,7 +320,7 @@ def near_copies(docs: DataFrame, words: int = 5, seed: int = 42, similarity: flo
     node = F.when(F.col("text").cast("string").rlike(WORD), F.xxhash64(text)).otherwise(F.lit(0).cast("long"))
     named = docs.select(F.col("doc_id").cast("long"), text.alias("text"), node.alias("node"))
     links = similar_links(named.where("node <> 0").select("node", "text"), words, seed, similarity, **how)
-    roots = components(links).withColumnRenamed("node", "of")
+    roots = components(links, rows=links.count()).withColumnRenamed("node", "of")
     marked = named.select("doc_id", "node")
     rooted = cut(marked.join(roots, marked["node"] == roots["of"], "left").select("doc_id", F.coalesce("root", "node").alias("root")))
     heads = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))

@@ -73,3 +73,21 @@ def test_stage_takes_out_similar_texts(spark, sf):
     found = corpus_pipeline.near_dedup(spark, docs, sf).collect()
     assert sorted(r.doc_id for r in found if r.doc_id is not None) == sorted([0, *(d for d in wanted if wanted[d] == d)])
     assert not [r for r in found if r.doc_id is None]
+
+
+def test_few_links_take_few_tasks(spark):
+    """A small search writes no more files than its rows need, whatever the number of shuffle partitions."""
+    from boresight.llm.components import components
+
+    links = spark.createDataFrame([(i, i + 1) for i in range(0, 60)], "a long, b long")
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = components(links, rows=60)
+        assert found.rdd.getNumPartitions() <= 4
+        assert len(found.inputFiles()) <= 2
+        assert sorted(map(tuple, found.collect())) == [(i, 0) for i in range(61)]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
