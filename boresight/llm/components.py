@@ -37,4 +37,5 @@ def components(links: DataFrame, max_rounds: int = 60, rows: int | None = None)
         mark = now
     else:
         raise RuntimeError(f"components: no end after {max_rounds} rounds")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    heads = few(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct(), mark[0])
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(heads)
