@@ -130,7 +130,8 @@ def alarm_report(scored: DataFrame, segments: DataFrame, thresholds: list[float]
     told = scored.join(segments.select("segment", "kind"), "segment")
     rates = evaluate.false_alarm_rates(told, thresholds or THRESHOLDS)
     chosen = evaluate.choose_threshold(rates, most)
-    alarms = features.episodes(scored.join(chosen, "family"), ["segment", "family"], "t", F.col("p") >= F.col("threshold")).select("segment", "family", F.col("t").alias("alarm_t"))
+    own = told.where(F.col("kind") == F.col("family")).join(F.broadcast(chosen), "family")  # a row a family; other families' alarms are no event's
+    alarms = features.episodes(own, ["segment", "family"], "t", F.col("p") >= F.col("threshold")).select("segment", "family", F.col("t").alias("alarm_t"))
     leads = evaluate.event_leads(alarms, segments).groupBy("family").agg(F.count("*").alias("n_events"), F.avg(F.col("lead_min").isNotNull().cast("int")).alias("event_recall"), F.median("lead_min").alias("median_lead_min"))
     found = chosen.join(rates, ["family", "threshold"], "left").join(leads, "family", "left")
     return found.select("family", "threshold", "false_per_day", F.coalesce("n_events", F.lit(0)).alias("n_events"), F.coalesce("event_recall", F.lit(0.0)).alias("event_recall"), "median_lead_min")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -99,3 +101,18 @@ def test_backed_families(spark):
     rows = [(-0.04, 0.0, 1.0, 0.0, 0.0, 0.0), (0.0, 0.0, 1.6, 1.6, 0.0, 0.5), (None,) * 6, (-0.03, -0.05, 1.5, 1.5, 8.0, 0.3)]
     made = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names)).select(features.backed().alias("x")).collect()
     assert [r.x for r in made] == [["LC", "CM"], ["OP", "SP", "TQ", "CM"], ["CM"], ["CM"]]
+
+
+def test_alarms_are_not_dealt_by_family(spark):
+    """The few thresholds are sent to the scores; scores dealt by family would land in as many tasks as there are families."""
+    scored = spark.createDataFrame([(1, "LC", 10.0 * i, 0.9) for i in range(4)] + [(2, f, 10.0 * i, 0.1) for f in ("LC", "SP") for i in range(4)], "segment long, family string, t double, p double")
+    segments = spark.createDataFrame([(1, "LC", 20.0), (2, None, None)], "segment long, kind string, t_onset double")
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = training.alarm_report(scored, segments)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert not re.search(r"SortMergeJoin \[family#\d+\], \[family#\d+\], Inner", plan)
+        assert {r.family: (r.n_events, r.event_recall) for r in found.collect()}["LC"] == (1, 1.0)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
