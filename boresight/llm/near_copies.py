@@ -24,11 +24,10 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import accumulate, groupby
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +35,7 @@ from pyspark.sql import functions as F
 from boresight.llm import simhash
 from boresight.llm.common import WORD, cut, few, parts_for, text_bytes
 from boresight.llm.components import components
+from boresight.llm.hashing import in_turn, windows, words_of, xxh64
 
 #: Bytes of text whose keys a bucket is meant to hold, rows of a key that one bucket takes, and rounds of leads.
 BUCKET_BYTES, KEY_ROWS, ROUNDS = 16 << 20, 1_000_000, 8
@@ -46,17 +46,27 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 FOLD = ("w0", "w1", "w2", "w3")
 
 
-def shingles(text: bytes, words: int = 5, seed: int = 42) -> np.ndarray:
-    """The sorted different XXH64 of the word shingles of a UTF-8 text."""
-    found = text.lower().split()  # bytes: only A-Z change, and only the six ASCII blanks divide
-    joined, digest = b" ".join(found), xxhash.xxh64_digest
-    if len(found) <= words:
-        hashes = digest(joined, seed) if found else b""
-    else:
-        ends = [e - 1 for e in accumulate(len(w) + 1 for w in found)]
-        starts = [0, *(e + 1 for e in ends)]
-        hashes = b"".join([digest(joined[s:e], seed) for s, e in zip(starts, ends[words - 1 :])])
-    return np.unique(np.frombuffer(hashes, np.int64))
+def shingle_sets(texts: list[bytes], words: int = 5, seed: int = 42) -> list[np.ndarray]:
+    """The sorted different hashes of the word shingles of each UTF-8 text; a shingle's hash is mixed from the XXH64 of its words, in order."""
+    found = []
+    for some in in_turn(texts):
+        body, starts, sizes, many = words_of(some)
+        first, last, each = windows(many, words)
+        hashes = np.append(xxh64(body, starts, sizes, seed), np.uint64(0))  # the last one stands for words that a short text lacks
+        mixed = hashes[first]
+        for k in range(1, words):
+            mixed = (mixed ^ (mixed >> np.uint64(29))) * _MIX + hashes[np.where(first + k <= last, first + k, -1)]
+        mixed = (mixed ^ (mixed >> np.uint64(32))) * _MIX
+        mixed = (mixed ^ (mixed >> np.uint64(29))).view(np.int64)
+        for part in np.split(mixed, np.cumsum(each)[:-1]):
+            part.sort()
+            new = np.r_[True, part[1:] != part[:-1]] if len(part) else np.empty(0, bool)
+            found.append(part if new.all() else part[new])
+    return found
+
+
+def _texts(batch: pa.RecordBatch) -> list[bytes]:
+    return [t.as_buffer().to_pybytes() for t in batch.column("text")]
 
 
 def prefix(sorted_set: np.ndarray, similarity: float, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -66,6 +76,9 @@ def prefix(sorted_set: np.ndarray, similarity: float, common: np.ndarray, counts
     if not len(common):
         return sorted_set[:size]
     at = np.minimum(np.searchsorted(common, sorted_set), len(common) - 1)
+    rare = np.flatnonzero(common[at] != sorted_set)
+    if len(rare) >= size:
+        return sorted_set[rare[:size]]
     often = np.where(common[at] == sorted_set, counts[at], 0)
     return sorted_set[np.argsort(often, kind="stable")[:size]]
 
@@ -98,7 +111,7 @@ def _map(fn, schema: pa.Schema):
 
 def _sampled(words: int, seed: int):
     def keys(batch: pa.RecordBatch) -> list[pa.Array]:
-        return [pa.array(np.concatenate([shingles(t.as_buffer().to_pybytes(), words, seed) for t in batch.column("text")] or [np.empty(0, np.int64)]))]
+        return [pa.array(np.concatenate([np.empty(0, np.int64), *shingle_sets(_texts(batch), words, seed)]))]
 
     return _map(keys, pa.schema([("key", pa.int64())]))
 
@@ -109,7 +122,7 @@ def _packed(words: int, seed: int, similarity: float, common: np.ndarray, counts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t.as_buffer().to_pybytes(), words, seed) for t in batch.column("text")]
+            sets = shingle_sets(_texts(batch), words, seed)
             chosen = [prefix(s, similarity, common, counts) for s in sets]
             many = [len(c) for c in chosen]
             rows = np.empty(sum(many), _PACKED)
@@ -180,8 +193,8 @@ def _sketched(words: int, seed: int):
 
     def sketch(batch: pa.RecordBatch) -> list[pa.Array]:
         squeeze = zstandard.ZstdCompressor(level=1).compress
-        texts = [t.as_buffer().to_pybytes() for t in batch.column("text")]
-        sets = [shingles(t, words, seed) for t in texts]
+        texts = _texts(batch)
+        sets = shingle_sets(texts, words, seed)
         bits = [bitmap(s) for s in sets]
         longs = np.stack([folded(b, 32) for b in bits]).view("<i8")
         return [batch.column("node"), pa.array([len(s) for s in sets], pa.int32()), pa.array([b.tobytes() for b in bits], pa.binary()), pa.array([squeeze(t) for t in texts], pa.binary()), *map(pa.array, np.ascontiguousarray(longs.T))]
@@ -216,7 +229,7 @@ def _similar(words: int, seed: int, similarity: float):
             if node not in held:
                 if len(held) >= 64:
                     held.clear()
-                held[node] = shingles(unpack(packed.as_py()), words, seed)
+                held[node] = shingle_sets([unpack(packed.as_py())], words, seed)[0]
             return held[node]
 
         found = []

@@ -18,45 +18,48 @@ shingle; rows that repeat join their group; null ids take part, last in order; a
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boresight.llm.common import cut, map_batches
 from boresight.llm.components import components
+from boresight.llm.hashing import in_turn, windows, words_of, xxh64
 
 BITS = 64
 
 
-def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
-    """Majority of the XXH64 of the word shingles of a UTF-8 text, A-Z lower-cased, as a signed 64-bit number."""
-    found = text.lower().split()  # bytes: only A-Z change, and only the six ASCII blanks divide
-    if not found:
-        return 0
-    joined = b" ".join(found)
-    if len(found) <= words:
-        hashes = xxhash.xxh64_digest(joined, seed)
-    else:
-        ends = [e - 1 for e in accumulate(len(w) + 1 for w in found)]
-        starts = [0, *(e + 1 for e in ends)]
-        digest = xxhash.xxh64_digest
-        hashes = b"".join([digest(joined[s:e], seed) for s, e in zip(starts, ends[words - 1 :])])
-    rows = np.frombuffer(hashes, np.uint8).reshape(-1, 8)
-    counts = np.zeros(BITS, np.int64)
-    for i in range(0, len(rows), 4096):
-        counts += np.unpackbits(rows[i : i + 4096], axis=1).sum(axis=0, dtype=np.int32)
-    return int.from_bytes(np.packbits(2 * counts > len(rows)).tobytes(), "big", signed=True)
+def majority(hashes: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """For each text, of which ``many`` hashes follow each other, the bits that over half of them have, as signed longs.
+
+    A byte of a long counts one bit of at most 255 hashes, eight bits in a pass.
+    """
+    runs = -(-many // 255)
+    begin = np.repeat(np.cumsum(many) - many, runs) + 255 * (np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs))
+    counts, some = np.zeros((len(many), BITS), np.int64), many > 0
+    for k in range(8 if len(hashes) else 0):
+        lanes = np.add.reduceat((hashes >> np.uint64(k)) & np.uint64(0x0101010101010101), begin)
+        counts[some, 7 - k :: 8] = np.add.reduceat(lanes.astype(">u8").view(np.uint8).reshape(-1, 8).astype(np.int64), (np.cumsum(runs) - runs)[some], axis=0)
+    return np.packbits(2 * counts > many[:, None], axis=1).view(">i8")[:, 0].astype(np.int64)
+
+
+def fingerprints_of(texts: list[bytes], words: int = 3, seed: int = 42) -> np.ndarray:
+    """Majorities of the XXH64 of the word shingles of UTF-8 texts, A-Z lower-cased, as signed 64-bit numbers."""
+    found = [np.empty(0, np.int64)]
+    for some in in_turn(texts):
+        body, starts, sizes, many = words_of(some)
+        first, last, each = windows(many, words)
+        found.append(majority(xxh64(body, starts[first], starts[last] + sizes[last] - starts[first], seed), each))
+    return np.concatenate(found)
 
 
 def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
     """``doc_id, fp`` with the fingerprint as a signed long."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fps = [fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", words, seed) for t in batch.column("text")]
+        fps = fingerprints_of([t.as_buffer().to_pybytes() if t.is_valid else b"" for t in batch.column("text")], words, seed)
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
 
     return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")), run, "doc_id long, fp long")
