@@ -2,16 +2,16 @@
 
 The repair rules are one chain of native replacements. Glued words are split with the corpus' own word counts: only distinct
 unknown runs of letters are looked at; tasks hold the prices of the commonest words, rarer ones are joined, and the cheapest
-split of one run is found in the task that holds it.
+splits of the runs of one length are found together in the task that holds them.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,6 +44,8 @@ WORD = r"[A-Za-z]+(?:-[A-Za-z]+)?|\d+(?:[.,]\d+)*"
 GLUED = r"[A-Za-z]{6,}"  # shorter runs of letters are left as they are
 UNKNOWN, UNKNOWN_LETTER, SPARE = 12.0, 3.0, 6  # fixed values: price of a piece that is no word, and how much longer it may be than the longest word
 COMMON, MOST_BITS = 200_000, 1 << 27  # words whose prices every task holds; bits of the bitmap of the others (16 MB)
+CELLS = 1 << 22  # numbers that a task holds at a time in its matrices
+_BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 def document_meta(first_pages: DataFrame, wells: DataFrame) -> DataFrame:
@@ -95,10 +97,34 @@ def cheapest(length: int, known: dict[tuple[int, int], float], reach: int) -> li
     return cuts[::-1]
 
 
-def _word_bits(word: str, bits: int) -> tuple[int, int, int]:
-    """Three places of a word in a bitmap of ``bits``, a power of two."""
-    h = xxhash.xxh3_128_intdigest(word)
-    return h & (bits - 1), h >> 40 & (bits - 1), h >> 80 & (bits - 1)
+def _letters(words: list[str]) -> np.ndarray:
+    """Lower-cased words of letters, all of one length, as a matrix: 1 to 26, a row a word."""
+    return np.frombuffer("".join(words).lower().encode(), np.uint8).reshape(len(words), -1) - np.uint8(96)
+
+
+def _by_length(words: list[str], cells: int) -> Iterator[np.ndarray]:
+    """Places of words of one length, in parts of at most so many letters."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    order = np.argsort(sizes, kind="stable")
+    for mine in np.split(order, np.flatnonzero(np.diff(sizes[order])) + 1) if len(order) else ():
+        each = max(1, cells // max(1, int(sizes[mine[0]])))
+        yield from (mine[i : i + each] for i in range(0, len(mine), each))
+
+
+def _pieces(letters: np.ndarray, lengths: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """For each of the ``lengths`` that fits, a 64-bit hash of every piece so long, by row and start."""
+    wanted, made = set(lengths), np.zeros(letters.shape, np.uint64)
+    for n in range(1, min(max(lengths, default=0), letters.shape[1]) + 1):
+        made = made[:, : letters.shape[1] - n + 1] * _BASE + letters[:, n - 1 :]
+        if n in wanted:
+            mixed = (made ^ (made >> np.uint64(32))) * _MIX
+            yield n, mixed ^ (mixed >> np.uint64(29))
+
+
+def _places(hashes: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Three places of a hash in a bitmap of ``bits``, a power of two of 2^32 at most."""
+    low, high = hashes & np.uint64(0xFFFFFFFF), hashes >> np.uint64(32)
+    return [((low + np.uint64(k) * high) & np.uint64(bits - 1)).astype(np.int64) for k in range(3)]
 
 
 def _bitmap(words: DataFrame, bits: int, page: int = 1 << 16) -> np.ndarray:
@@ -106,7 +132,11 @@ def _bitmap(words: DataFrame, bits: int, page: int = 1 << 16) -> np.ndarray:
 
     def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            at = np.array([p for w in pdf["word"] for p in _word_bits(w, bits)], np.int64)
+            mine, at = pdf["word"].tolist(), []
+            for some in _by_length(mine, CELLS):
+                letters = _letters([mine[i] for i in some])
+                at += [p for _, h in _pieces(letters, [letters.shape[1]]) for p in _places(h[:, 0], bits)]
+            at = np.concatenate([np.empty(0, np.int64), *at])
             yield pd.DataFrame({"page": at // page, "place": (at % page).astype(np.int32)})
 
     def drawn(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -121,6 +151,62 @@ def _bitmap(words: DataFrame, bits: int, page: int = 1 << 16) -> np.ndarray:
     return whole
 
 
+class _Prices:
+    """Costs of words of letters, found by the hashes of pieces and told apart by their letters."""
+
+    def __init__(self, words: list[str], costs: np.ndarray):
+        self.by_length = {}
+        for mine in _by_length(words, 1 << 62):
+            letters = _letters([words[i] for i in mine])
+            n = letters.shape[1]
+            hashes = next(h for _, h in _pieces(letters, [n]))[:, 0]
+            order = np.argsort(hashes, kind="stable")
+            drawn = np.zeros(1 << max(10, (8 * len(mine) - 1).bit_length()), bool)
+            drawn[(hashes & np.uint64(len(drawn) - 1)).astype(np.int64)] = True
+            self.by_length[n] = hashes[order], letters[order], costs[mine][order], drawn
+
+    def of(self, n: int, hashes: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, start and cost of the pieces of ``n`` letters that are words."""
+        if n not in self.by_length:
+            return (np.empty(0, np.int64),) * 2 + (np.empty(0),)
+        known, spelt, costs, drawn = self.by_length[n]
+        row, start = np.nonzero(drawn[(hashes & np.uint64(len(drawn) - 1)).astype(np.int64)])
+        found = hashes[row, start]
+        left, right = np.searchsorted(known, found), np.searchsorted(known, found, "right")
+        out = [(np.empty(0, np.int64),) * 2 + (np.empty(0),)]
+        while (open_ := left < right).any():  # once, but for words of the same hash
+            row, start, left, right = row[open_], start[open_], left[open_], right[open_]
+            same = (letters[row[:, None], start[:, None] + np.arange(n)] == spelt[left]).all(axis=1)
+            out.append((row[same], start[same], costs[left[same]]))
+            left = left + 1
+        return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def cheapest_of(letters: np.ndarray, prices: _Prices, lengths: list[int], reach: int, rarer: list) -> np.ndarray:
+    """Where the last piece of the least-cost split of each beginning of each run begins, by row and length of the beginning: ``cheapest`` for runs of one length.
+
+    ``rarer`` has for each run the pieces ``start, end, cost`` that ``prices`` does not know, or nothing.
+    """
+    runs, size = letters.shape
+    wide = min(reach, size)
+    unknown = UNKNOWN + UNKNOWN_LETTER * np.arange(wide, 0, -1)
+    cost = np.broadcast_to(unknown, (runs, size + 1, wide)).copy()  # by row, end, and start less (end - wide)
+    for n, hashes in _pieces(letters, [n for n in lengths if n <= wide]):
+        row, start, price = prices.of(n, hashes, letters)
+        cost[row, start + n, wide - n] = price
+    for i, pieces in enumerate(rarer):
+        for p in () if pieces is None else pieces:
+            if p["end"] - p["start"] <= wide:
+                cost[i, p["end"], wide - (p["end"] - p["start"])] = p["cost"]
+    least, begins, every = np.full((runs, wide + size + 1), np.inf), np.zeros((runs, size + 1), np.int64), np.arange(runs)
+    least[:, wide] = 0.0
+    for end in range(1, size + 1):
+        whole = least[:, end : end + wide] + cost[:, end]
+        first = whole.argmin(axis=1)  # the first of equal ones: the longer last piece
+        begins[:, end], least[:, wide + end] = end - wide + first, whole[every, first]
+    return begins
+
+
 def common_words(words: DataFrame, most: int = COMMON) -> tuple[DataFrame, DataFrame]:
     """The ``most`` commonest words of letters, ties by name, and the others."""
     letters = words.where(F.col("word").rlike("^[a-z]+$"))
@@ -140,12 +226,15 @@ def split_runs(runs: DataFrame, words: DataFrame, most: int = COMMON, bits: int
     join says which of them are words, so the split is exact however many words there are. A run is held whole by its task.
     """
     words = settled(words)
+    parts = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    runs = runs.repartition(parts)  # short in bytes, so adaptive execution would leave them to a few tasks
     sums = words.agg(F.sum("n").alias("total"), F.max(F.length("word")).alias("longest"), F.collect_set(F.when(F.col("word").rlike("^[a-z]+$"), F.length("word"))).alias("lengths")).first()
     total, reach, lengths = sums["total"] or 1, (sums["longest"] or 1) + SPARE, sorted(sums["lengths"])
     price = (-F.log(F.col("n") / total)).alias("cost")
     often, rare = common_words(words, most)
     table = often.select("word", price).toArrow()  # at most ``most`` rows
-    prices = runs.sparkSession.sparkContext.broadcast(dict(zip(table["word"].to_pylist(), table["cost"].to_pylist())))
+    held_words, costs = table["word"].to_pylist(), table["cost"].to_numpy()
+    prices = runs.sparkSession.sparkContext.broadcast((_Prices(held_words, costs), held_words, costs))
     n_rare = rare.count()
 
     priced = runs.select("run", F.lit(None).cast("array<struct<start:int,end:int,cost:double>>").alias("known"))
@@ -154,33 +243,47 @@ def split_runs(runs: DataFrame, words: DataFrame, most: int = COMMON, bits: int
         drawn = runs.sparkSession.sparkContext.broadcast(_bitmap(rare, size))
 
         def likely(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            seen, known = drawn.value, prices.value
+            seen = drawn.value
+            held = lambda at: seen[at >> 3] >> (7 - (at & 7)) & 1
             for pdf in batches:
-                out = []
-                for run in pdf["run"]:
-                    low = run.lower()
-                    for start in range(len(low)):
-                        for n in lengths:
-                            if start + n > len(low):
-                                break
-                            if (piece := low[start : start + n]) not in known and all(seen[p >> 3] >> (7 - (p & 7)) & 1 for p in _word_bits(piece, size)):
-                                out.append((run, start, start + n, piece))
-                yield pd.DataFrame(out, columns=["run", "start", "end", "word"])
+                mine = pdf["run"].tolist()
+                for some in _by_length(mine, CELLS):
+                    out = []
+                    for n, hashes in _pieces(_letters([mine[i] for i in some]), lengths):
+                        places = _places(hashes, size)
+                        row, start = np.nonzero(held(places[0]))
+                        for at in places[1:]:
+                            good = held(at[row, start]).astype(bool)
+                            row, start = row[good], start[good]
+                        out += [(mine[i], s, s + n, mine[i][s : s + n].lower()) for i, s in zip(some[row].tolist(), start.tolist())]
+                    yield pd.DataFrame(out, columns=["run", "start", "end", "word"])
 
         pieces = runs.mapInPandas(likely, "run string, start int, end int, word string")
         found = pieces.join(rare.select("word", price), "word").groupBy("run").agg(F.collect_list(F.struct("start", "end", "cost")).alias("known"))
-        priced = runs.join(found, "run", "left")
+        priced = runs.join(found, "run", "left").repartition(parts)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        often = prices.value
+        often, table = prices.value[0], None
         for pdf in batches:
-            out = []
-            for run, rarer in zip(pdf["run"], pdf["known"]):
-                low = run.lower()
-                known = {(s, s + n): often[low[s : s + n]] for s in range(len(low)) for n in lengths if s + n <= len(low) and low[s : s + n] in often}
-                known.update({(p["start"], p["end"]): p["cost"] for p in (() if rarer is None else rarer)})
-                begins = cheapest(len(run), known, reach)
-                out.append(" ".join(run[a:b] for a, b in zip(begins, [*begins[1:], len(run)])))
+            mine, rarer, out = pdf["run"].tolist(), pdf["known"].tolist(), [""] * len(pdf)
+            for some in _by_length(mine, CELLS // 64):
+                length = len(mine[some[0]])
+                if length * min(reach, length) > CELLS:  # by one, in little memory
+                    table = table or dict(zip(*prices.value[1:]))
+                    for i in some:
+                        low = mine[i].lower()
+                        known = {(s, s + n): table[low[s : s + n]] for s in range(length) for n in lengths if s + n <= length and low[s : s + n] in table}
+                        known.update({(p["start"], p["end"]): p["cost"] for p in (() if rarer[i] is None else rarer[i])})
+                        begins = cheapest(length, known, reach)
+                        out[i] = " ".join(mine[i][a:b] for a, b in zip(begins, [*begins[1:], length]))
+                    continue
+                last = cheapest_of(_letters([mine[i] for i in some]), often, lengths, reach, [rarer[i] for i in some]).tolist()
+                for i, begins in zip(some.tolist(), last):
+                    pieces, end = [], length
+                    while end > 0:
+                        pieces.append(mine[i][begins[end] : end])
+                        end = begins[end]
+                    out[i] = " ".join(pieces[::-1])
             yield pd.DataFrame({"run": pdf["run"], "split": out})
 
     return priced.mapInPandas(cut, "run string, split string")
@@ -193,17 +296,28 @@ def recovered(rows: DataFrame, words: DataFrame, key: list[str], text: str = "te
     """
     words = settled(words)
     mended = rows.withColumn(text, repaired(F.col(text)))
-    own = mended.select(*key, F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(GLUED), F.lit(0)))).alias("run"))
+    mended = settled(mended.withColumn("__runs", F.array_distinct(F.regexp_extract_all(text, F.lit(GLUED), F.lit(0)))))  # the repairs cost more than the rest
+    own = mended.select(*key, F.explode("__runs").alias("run"))
     often = F.broadcast(common_words(words, most)[0].select(F.col("word").alias("__word")))  # most runs are common words and go here
     own = own.join(often, F.lower("run") == F.col("__word"), "left_anti")
     glued = settled(own.select("run").distinct().join(words.select(F.col("word").alias("__word")), F.lower("run") == F.col("__word"), "left_anti"))
     splits = settled(split_runs(glued, words, most).where("run <> split"))
-    found = own.join(splits, "run").groupBy(*key).agg(F.map_from_entries(F.collect_set(F.struct("run", "split"))).alias("__splits"))
-    found = found.select(*[F.col(k).alias(f"__k_{k}") for k in key], "__splits")
-    met = mended.join(found, [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in key], "left")
-    parts = F.regexp_extract_all(text, F.lit("[A-Za-z]+|[^A-Za-z]+"), F.lit(0))
-    whole = F.array_join(F.transform(parts, lambda p: F.coalesce(F.try_element_at("__splits", p), p)), "")
-    return met.withColumn(text, F.when(F.col("__splits").isNull(), F.col(text)).otherwise(whole)).select(*rows.columns)
+    split = F.collect_set(F.struct("run", "split"))
+    found = own.join(splits, "run").groupBy(*key).agg(split.alias("__splits"))
+    found = found.select(*[F.col(k).alias(f"__k_{k}") for k in key], F.col("__splits.run").alias("__run"), F.col("__splits.split").alias("__split"))
+    met = mended.drop("__runs").join(found, [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in key], "left")
+    return met.withColumn(text, F.pandas_udf(_rejoined, "string")(F.col(text), F.col("__run"), F.col("__split"))).select(*rows.columns)
+
+
+def _rejoined(texts: pd.Series, runs: pd.Series, splits: pd.Series) -> pd.Series:
+    """Texts with their runs as they are split; a text without splits, or null, is left as it is."""
+    out = []
+    for text, run, split in zip(texts, runs, splits):
+        if text is not None and run is not None:
+            known = dict(zip(run, split))
+            text = re.sub(GLUED, lambda m: known.get(m[0], m[0]), text)
+        out.append(text)
+    return pd.Series(out, dtype=object)
 
 
 def first_picks(records: DataFrame, tops: DataFrame, session: str = "session", slack: float = 2.0, block: float = 4.0) -> DataFrame:
