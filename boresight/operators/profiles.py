@@ -1,9 +1,12 @@
-"""Entities with alike profiles: a set-similarity join with a prefix filter."""
+"""Entities with alike profiles: a set-similarity join with a prefix filter, or by bits where there are few items."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from boresight.sources.tables import settled
 
@@ -52,3 +55,66 @@ def alike(members: DataFrame, least: float, blocks: int = 4) -> DataFrame:
     met = met.where(F.get(F.array_intersect("a_prefix", "b_prefix"), F.lit(0)) == F.col("item")).withColumn("common", F.size(F.array_intersect("a_set", "b_set")))
     found = met.withColumn("jaccard", F.col("common") / (F.col("a_n") + F.col("b_n") - F.col("common")))
     return found.where(F.col("jaccard") >= least).select(F.col("a_profile").alias("left"), F.col("b_profile").alias("right"), "common", "jaccard")
+
+
+def alike_with(members: DataFrame, least: float, carried: list[str], most: int = 1024, block: int = 2048) -> DataFrame:
+    """``alike`` with the ``carried`` columns of both profiles, as they are where entity and profile are one, under their names with ``_left`` and ``_right``.
+
+    Where there are ``most`` items at most, a profile is a row of bits. Profiles are dealt by hash into blocks of about ``block``, and a
+    task compares all rows of one block with those of another by counting bits: over few items a prefix rules little out. Profiles are
+    shuffled once for each block, pairs not at all, and each pair is compared once. More items go by the prefix filter.
+    """
+    sets = settled(members.where(F.col("entity") == F.col("profile")).select("profile", "items", *carried))
+    each = sets.select("profile", F.explode("items").alias("item"))
+    items = [r[0] for r in each.select("item").distinct().limit(most + 1).collect()]
+    if len(items) > most:
+        found = alike(members, least)
+        for side in ("left", "right"):
+            found = found.join(sets.select(F.col("profile").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in carried]), side)
+        return found.select("left", "right", "common", "jaccard", *[f"{c}_{side}" for side in ("left", "right") for c in carried])
+    place = {x: i for i, x in enumerate(sorted(items))}
+    words, kind = -(-max(len(items), 1) // 64), sets.schema["profile"].dataType
+
+    def bits(batches):
+        for batch in batches:
+            lists = batch.column("items")
+            drawn = np.zeros((len(batch), words * 64), bool)
+            drawn[np.repeat(np.arange(len(batch)), lists.value_lengths().to_numpy()), [place[x] for x in lists.flatten().to_pylist()]] = True
+            body = np.packbits(drawn, axis=1, bitorder="little").tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column("profile"), pa.array([body[i : i + words * 8] for i in range(0, len(body), words * 8)], pa.binary()), *[batch.column(c) for c in carried]], names=["profile", "bits", *carried])
+
+    kept = [StructField(c, sets.schema[c].dataType) for c in carried]
+    schema = StructType([StructField("profile", kind), sets.select(F.lit(b"").alias("bits")).schema["bits"], *kept])
+    drawn = settled(sets.mapInArrow(bits, schema))
+    blocks, parts = max(1, -(-drawn.count() // block)), int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own, every = F.pmod(F.hash("profile"), F.lit(blocks)), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    again = drawn.select(*[F.col(c).alias(c) for c in drawn.columns])  # its own columns: the two sides must not share any
+    dealt = drawn.withColumn("__a", own).withColumn("__b", every), again.withColumn("__a", every).withColumn("__b", own)
+    dealt = [x.select("__a", "__b", *drawn.columns).repartition(parts, "__a", "__b") for x in dealt]
+    out = StructType([StructField("left", kind), StructField("right", kind), StructField("common", IntegerType()), StructField("jaccard", DoubleType()), *[StructField(f"{f.name}_{side}", f.dataType) for side in ("left", "right") for f in kept]])
+
+    nothing = members.sparkSession.createDataFrame([], out).toArrow()
+
+    def met(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not len(left) or not len(right):  # a block without rows
+            return nothing
+        right = right.sort_by("profile")
+        (mine, x), (other, y) = ((t.column("profile").to_numpy(), np.frombuffer(b"".join(t.column("bits").to_pylist()), "<u8").reshape(-1, words)) for t in (left, right))
+        m, n = (np.bitwise_count(v).sum(axis=1, dtype=np.int32) for v in (x, y))
+        y = np.ascontiguousarray(y.T)
+        of, to, shared, near = [], [], [], []
+        for i, first in enumerate(np.searchsorted(other, mine, "right").tolist()):
+            common = np.zeros(len(other) - first, np.int32)
+            for k in range(words):
+                common += np.bitwise_count(y[k, first:] & x[i, k])
+            jaccard = common / (m[i] + n[first:] - common)
+            good = np.flatnonzero(jaccard >= least)
+            of.append(np.full(len(good), i))
+            to.append(good + first)
+            shared.append(common[good])
+            near.append(jaccard[good])
+        of, to, shared, near = (np.concatenate([np.empty(0, t), *v]) for t, v in ((np.int64, of), (np.int64, to), (np.int32, shared), (float, near)))
+        left, right = left.take(pa.array(of)), right.take(pa.array(to))
+        return pa.table({"left": left.column("profile"), "right": right.column("profile"), "common": shared, "jaccard": near} | {f"{c}_{side}": t.column(c) for side, t in (("left", left), ("right", right)) for c in carried})
+
+    return dealt[0].groupBy("__a", "__b").cogroup(dealt[1].groupBy("__a", "__b")).applyInArrow(met, out)

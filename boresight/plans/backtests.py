@@ -51,8 +51,7 @@ def profile_pairs(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").select("user_id", F.concat("event_type", F.lit(":"), F.floor(F.col("value") / 30).cast("string")).alias("item"))
     members = profiles.profiles(e, "user_id", "item")
     sizes = members.groupBy("profile").agg(F.count("*").alias("n"))
-    left, right = (sizes.select(F.col("profile").alias(s), F.col("n").alias(f"n_{s}")) for s in ("left", "right"))
-    found = profiles.alike(members, 0.7).join(left, "left").join(right, "right")
+    found = profiles.alike_with(members.join(sizes, "profile"), 0.7, ["n"])
     return found.select("left", "right", "n_left", "n_right", "common", F.round("jaccard", 6).alias("jaccard"))
 
 
