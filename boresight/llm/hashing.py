@@ -71,7 +71,7 @@ def xxh64(text: bytes, starts: np.ndarray, sizes: np.ndarray, seed: int) -> np.n
     return out
 
 
-def in_turn(texts: list[bytes], most: int = 1 << 20) -> Iterator[list[bytes]]:
+def in_turn(texts: list[bytes], most: int = 1 << 19) -> Iterator[list[bytes]]:
     """The texts in order, in lists of at most so many bytes or of one text, so that what is made of a batch stays small."""
     held, size = [], 0
     for t in texts:
